@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bytebpe, language, quality, secrets, toxicity, wavelet
+from kerbside.llm import bytebpe, language, quality, secrets, substrings, toxicity, wavelet
 from kerbside.llm.common import shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "shrunk_rate")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/kerbside/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     wavelet.write_shards(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, END_ID)
@@ -73,6 +77,7 @@ def op10_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
     "op5_wavelet": op5_wavelet,
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
