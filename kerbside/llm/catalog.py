@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bytebpe, language, quality, secrets, substrings, toxicity, wavelet
+from kerbside.llm import bytebpe, contamination, language, quality, secrets, substrings, toxicity, wavelet
 from kerbside.llm.common import shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +43,31 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP4_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+bn AS (SELECT item_id, ws, least(len(ws), 13) AS n FROM b WHERE len(ws) > 0),
+bk AS (SELECT item_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM bn),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS win FROM bk),
+sizes AS (SELECT DISTINCT n FROM iw),
+dk AS (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM w, sizes WHERE len(ws) >= n),
+dw AS (SELECT doc_id, n, k, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS win FROM dk),
+m AS (SELECT doc_id, k, n, item_id FROM dw JOIN iw USING (n, win)),
+mk AS (SELECT DISTINCT doc_id, k, n FROM m),
+mu AS (SELECT doc_id, unnest(range(k, k + n)) AS i FROM mk),
+hits AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM mu GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS l FROM m GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/kerbside/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     wavelet.write_shards(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, END_ID)
@@ -78,9 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
     "op3_substrings": op3_substrings,
+    "op4_decontamination": op4_decontamination,
     "op5_wavelet": op5_wavelet,
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_bytebpe": op10_bytebpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
