@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import by_chars
+from kerbside.llm.common import by_chars, map_arrow
 
 #: Ids after which a shard is closed.
 SHARD_TOKENS = 1 << 20
@@ -134,24 +134,37 @@ class WordEncoder:
         self.levels = (self.library.get_vocab_size() - 1).bit_length()
         self.kind = "<u2" if self.levels <= 16 else "<u4"
         self.cache: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words not met before. A full stop or comma after a Latin letter or digit is a piece of its own."""
+        # Byte-level vocabularies write printable Latin-1 bytes as themselves and the rest from U+0100 on.
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = [b for b in range(256) if b not in printable]
+        sign = {b: chr(b) if b in printable else chr(0x100 + others.index(b)) for b in range(256)}
+        self.byte_signs = {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+    def learn(self, words: list[str], plain: bool) -> dict[str, bytes]:
+        """Ids of words not met before. A full stop or comma after a letter or digit is a piece of its own.
+
+        plain: the text is lower-case Latin-1, on which the normaliser does nothing; a word of letters is
+        then one piece for the library's model, and needs no normaliser or splitter.
+        """
         ends = {w: w[:-1] for w in words if w[-1:] in (".", ",") and w[-2:-1].isalnum() and w[-2] < "\u0100"}
         need = list(dict.fromkeys(v for w in words if (v := ends.get(w, w)) not in self.cache))
         need += [p for p in (".", ",") if p not in self.cache]
-        got = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(need, self.library.encode_batch_fast(need, add_special_tokens=False), strict=True)}
+        tokenize = self.library.model.tokenize
+        got = {w: np.array([t.id for t in tokenize(w if w.isascii() else w.translate(self.byte_signs))], self.kind).tobytes() for w in need if plain and w.isalpha()}
+        rest = [w for w in need if w not in got]
+        got |= {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
         known = lambda w: got[w] if w in got else self.cache[w]
         got |= {w: known(stem) + known(w[-1]) for w, stem in ends.items()}
         return {w: known(w) for w in words} | got
 
     def encode(self, text: str) -> bytes:
-        if text.isascii() and "<|" not in text:
+        plain = is_latin(text) and "<|" not in text
+        if plain:
             text = text.lower()  # as the vocabulary's own normaliser does, so that fewer words differ
         words = text.replace("\n", " ").split(" ")
         found = list(map(self.cache.get, words))
         if None in found:
-            got = self.learn(list(dict.fromkeys(w for w, f in zip(words, found, strict=True) if f is None)))
+            got = self.learn(list(dict.fromkeys(w for w, f in zip(words, found, strict=True) if f is None)), plain)
             found = [got[w] if f is None else f for w, f in zip(words, found, strict=True)]
             if len(self.cache) + len(got) > CACHE_WORDS:
                 self.cache.clear()
@@ -159,6 +172,13 @@ class WordEncoder:
         return b"".join(found)
 
 
+def is_latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 @lru_cache(1)
 def encoder(content: bytes) -> WordEncoder:
     return WordEncoder(content)
@@ -194,9 +214,9 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
         if ids:
             yield shard(start, doc_ids, ids, enc)
 
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # The planes hold the entropy of the ids already; zstd takes what is left of it.
-    ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
+    map_arrow(ordered, run, SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +226,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return shards.join(bases, "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base")
+    # A row for each task that wrote: no more than the scheduler holds of that job anyway.
+    return shards.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -222,7 +243,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     pieces = [ids[cuts[k] : cuts[k + 1]].astype("<u4").tobytes() for k in range(lo, hi)]
                     yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][lo:hi], pa.int64()), pa.array(row["start"] + cuts[lo:hi], pa.int64()), pa.array(row["doc_tokens"][lo:hi], pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.select("start", "n_tokens", "doc_ids", "doc_tokens", "zeros", "planes", "samples").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return map_arrow(shards.select("start", "n_tokens", "doc_ids", "doc_tokens", "zeros", "planes", "samples"), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def count_token(shards: DataFrame, token: int) -> DataFrame:
@@ -234,7 +255,7 @@ def count_token(shards: DataFrame, token: int) -> DataFrame:
             found = [WaveletMatrix(r["n_tokens"], r["zeros"], r["planes"], r["samples"]).count(token) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["start"] for r in rows], pa.int64()), pa.array(found, pa.int64())], names=["start", "n"])
 
-    return shards.select("start", "n_tokens", "zeros", "planes", "samples").mapInArrow(run, "start long, n long")
+    return map_arrow(shards.select("start", "n_tokens", "zeros", "planes", "samples"), run, "start long, n long")
 
 
 def locate_token(shards: DataFrame, token: int) -> DataFrame:
@@ -246,5 +267,5 @@ def locate_token(shards: DataFrame, token: int) -> DataFrame:
                 found = WaveletMatrix(r["n_tokens"], r["zeros"], r["planes"], r["samples"]).positions(token)
                 yield pa.RecordBatch.from_arrays([pa.array([r["start"] + p for p in found], pa.int64())], names=["position"])
 
-    return shards.select("start", "n_tokens", "zeros", "planes", "samples").mapInArrow(run, "position long")
+    return map_arrow(shards.select("start", "n_tokens", "zeros", "planes", "samples"), run, "position long")
 
