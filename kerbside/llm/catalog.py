@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bytebpe, contamination, language, quality, secrets, substrings, toxicity, wavelet
+from kerbside.llm import bytebpe, contamination, dartminhash, language, quality, secrets, substrings, toxicity, wavelet
 from kerbside.llm.common import shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,6 +75,10 @@ def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op4_decontamination": op4_decontamination,
     "op5_wavelet": op5_wavelet,
+    "op6_dartminhash": op6_dartminhash,
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_bytebpe": op10_bytebpe,
