@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bytebpe, contamination, dartminhash, language, quality, secrets, substrings, toxicity, wavelet
+from kerbside.llm import bytebpe, contamination, dartminhash, language, quality, secrets, substrings, toxicity, urls, wavelet
 from kerbside.llm.common import shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,6 +79,36 @@ def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no fetch times and no list comes with them, so both are made from the table: page
+    k is fetched 7919 k minutes into 2024 (modulo a year), and every host and parent domain of the
+    pages gets dated entries by the digits of its MD5 sum."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 7919 % 525600 * 60))
+    names = pages.select(F.explode(urls.parents(urls.host_of(F.col("url")))).alias("name")).distinct().where(F.contains(F.col("name"), F.lit(".")))
+    digit = lambda k: F.conv(F.substring(F.md5("name"), k, 2), 16, 10).cast("int")
+    day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+    dated = F.array(*(F.struct(F.when(digit(2 * k + 1) % 3 == 0, "block").otherwise("allow").alias("action"), day(digit(2 * k + 1) + 100 * k).alias("listed_at")) for k in range(3)))
+    entries = names.select("name", F.explode(dated).alias("e")).select("name", "e.*")
+    return urls.judge(captures, entries)
+
+
+OP7_SQL = """
+WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 525600) AS fetched_at,
+ nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host FROM pages),
+h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM c WHERE host IS NOT NULL),
+s AS (SELECT host, array_to_string(list_slice(l, k, len(l)), '.') AS name FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM h)),
+n AS (SELECT DISTINCT name FROM s WHERE contains(name, '.')),
+d AS (SELECT name, k, CAST('0x' || substr(md5(name), 2 * k + 1, 2) AS INT) AS v FROM n, (SELECT unnest(range(0, 3)) AS k)),
+e AS (SELECT name, TIMESTAMP '2024-01-01' + to_days(CAST(v + 100 * k AS INT)) AS valid_from, max(CASE WHEN v % 3 = 0 THEN 'block' ELSE 'allow' END) AS action FROM d GROUP BY 1, 2),
+i AS (SELECT *, lead(valid_from) OVER (PARTITION BY name ORDER BY valid_from) AS valid_to FROM e),
+m AS (SELECT page_id, url, fetched_at, i.name AS entry, action, valid_from, row_number() OVER (PARTITION BY page_id, url ORDER BY length(i.name) DESC) AS r
+ FROM c JOIN s USING (host) JOIN i ON i.name = s.name AND fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to))
+SELECT c.page_id, c.url, c.fetched_at, c.host, entry, action, valid_from, coalesce(action <> 'block', true) AS kept
+FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.url = c.url AND r = 1
+"""
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -98,9 +128,8 @@ def toxic_chain(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxic
 
 
 def op10_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS)
-    decoded = bytebpe.decode(encoded, RANKS, keep=["doc_id", "n_tokens", "ids"])
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    coded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, with_bytes=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -110,8 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_wavelet": op5_wavelet,
     "op6_dartminhash": op6_dartminhash,
+    "op7_urls": op7_urls,
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_bytebpe": op10_bytebpe,
 }
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL}

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kerbside.session import ship_package
+
+#: The most rows and bytes of one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 24
+#: Rows up to which a narrow table is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches that fit a worker even when texts are long.
+
+    Lowers the session's limits on Arrow batches to BATCH_ROWS and BATCH_BYTES where they are above.
+    """
+    ship_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is not None and not 0 < int(now.rstrip("b")) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -33,6 +55,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smaller(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has BROADCAST_ROWS rows at most; df should be cheap to count."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the tables that this application staged."""
     jvm = spark.sparkContext._jvm
@@ -40,6 +67,11 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_first(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The text and after it the kept columns, under names that cannot clash."""
+    return df.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep)))
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share a doc_id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -18,15 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import stage, text_key
+from kerbside.llm.common import smaller, stage, text_key
 
 #: Words in a benchmark window, in a fingerprinted gram, and grams in a winnowing window.
 WINDOW, GRAM = 13, 5
 WINNOW = WINDOW - GRAM + 1
 #: Share of hit words from which a document is contaminated.
 SHARE = 0.05
-#: Rows up to which a table of hashes or ids is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,11 +64,6 @@ def with_prints(df: DataFrame, short: list[int]) -> DataFrame:
     return df.withColumn("prints", F.concat(*kinds)).drop("_w", "_g", "_v", "_m")
 
 
-def smaller(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, n (words in the window) and window (its words, joined by blanks) of every window."""
     words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -120,4 +113,4 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str] |
     told = told.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / SHARE) >= F.col("n_words")))
     if clash := {"n_words", "n_hit", "items", "contaminated"} & set(keep):
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    return keyed.select("_id", "_tk", *keep).join(stage(told, "told"), ["_id", "_tk"]).drop("_id", "_tk")
+    return keyed.select("_id", "_tk", *keep).join(smaller(stage(told, "told")), ["_id", "_tk"]).drop("_id", "_tk")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import map_arrow, stage, text_key
+from kerbside.llm.common import map_arrow, smaller, stage, text_key
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -189,9 +189,8 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("u", "label")
 
 
-def classes(df: DataFrame, text: str = "text", keep: list[str] | None = None, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """The kept columns (doc_id by default), class_id and first (the class's first document, one row of it)."""
-    keep = ["doc_id"] if keep is None else keep
+def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: bool) -> DataFrame:
+    """The kept columns, id, tk, class_id and first."""
     keyed = df.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "tk": text_key(F.col(text))})
     signed = stage(sign_documents(keyed.select("id", "tk", F.col(text).cast("string").alias("text")), weighted), "signed")
     u = F.struct("id", "tk").alias("u")
@@ -223,7 +222,17 @@ def classes(df: DataFrame, text: str = "text", keep: list[str] | None = None, le
         links = stage(links.unionByName(more), "links")
     labels = components(links)
     named = signed.select("id", "tk", "node").join(nodes.select("node", "u"), "node").join(labels, "u", "left").select("id", "tk", F.coalesce("label", "u").alias("c")).dropDuplicates(["id", "tk"])
-    out = keyed.select(*keep, "id", "tk").join(stage(named, "classes"), ["id", "tk"], "left")
+    out = keyed.select(*{c: 1 for c in [*keep, "id", "tk"]}).join(smaller(stage(named, "classes")), ["id", "tk"], "left")
     first = (F.col("c").isNull()) | ((F.col("id") == F.col("c.id")) & (F.col("tk") == F.col("c.tk")))
     class_id = F.coalesce("c.id", "id")
-    return out.select(*keep, F.when(class_id != NO_ID, class_id).alias("class_id"), first.alias("first"))
+    return out.select(*keep, "id", "tk", F.when(class_id != NO_ID, class_id).alias("class_id"), first.alias("first"))
+
+
+def classes(df: DataFrame, text: str = "text", keep: list[str] | None = None, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+    """The kept columns (doc_id by default), class_id and first (the class's first document, one row of it)."""
+    return classed(df, text, ["doc_id"] if keep is None else keep, least, weighted).drop("id", "tk")
+
+
+def representatives(df: DataFrame, text: str = "text", least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+    """The rows of df that stand for their classes; of identical rows one."""
+    return classed(df, text, df.columns, least, weighted).where("first").dropDuplicates(["id", "tk"]).select(*df.columns)
