@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import with_columns
+from kerbside.llm.common import map_arrow, text_first, with_columns
 
 #: The bound of the training sample, in labelled documents.
 SAMPLE_ROWS = 8_000
@@ -89,7 +89,7 @@ def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, labels: np.ndarray,
     penalty = np.full(BUCKETS + n + 1, L1)
     penalty[BUCKETS:] = 0
     random = np.random.default_rng(seed)
-    active = [np.concatenate([r[live[r]], dense]) for r in rows]
+    active = [np.concatenate([r[live[r]], dense], dtype=np.int32) for r in rows]
     for _ in range(EPOCHS):
         for k in random.permutation(len(rows)):
             at = active[k]
@@ -102,7 +102,7 @@ def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, labels: np.ndarray,
             seen[at] += g * g
     touched = np.flatnonzero(seen)
     w[touched] = np.where(np.abs(z[touched]) <= penalty[touched], 0.0, -(z[touched] - np.sign(z[touched]) * penalty[touched]) / (1.0 + np.sqrt(seen[touched])) * RATE)
-    return Linear(w)
+    return Linear(w.astype(np.float32))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -148,16 +148,16 @@ def train(documents: DataFrame, labels: DataFrame, categories: list[str], rows:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            found = [sorted(features(t.as_py(), cache).tolist()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["doc_id", "f", *categories])
+            found = [np.sort(features(t.as_py(), cache)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], names=["doc_id", "f", *categories])
+
+    schema = "doc_id long, f binary, " + ", ".join(f"`{c}` double" for c in categories)
+    sample = map_arrow(joined.select(F.col("doc_id").cast("long"), "text", *categories), run, schema).collect()
+    sample.sort(key=lambda r: (r.doc_id, bytes(r.f)))  # the same model whatever the partitions
+    labelled = np.array([[np.nan if r[c] is None else r[c] for c in categories] for r in sample], float).reshape(-1, len(categories))
+    folds = np.array([zlib.crc32(str(r.doc_id).encode()) % FOLDS for r in sample], int)
+    return fit(categories, [np.frombuffer(r.f, np.int32) for r in sample], labelled, folds)
 
-    schema = "doc_id long, f array<int>, " + ", ".join(f"`{c}` double" for c in categories)
-    table = joined.select(F.col("doc_id").cast("long"), "text", *categories).mapInArrow(run, schema).toArrow()
-    order = np.argsort([f"{a}:{b}" for a, b in zip(table["doc_id"].to_pylist(), table["f"].to_pylist(), strict=True)], kind="stable") if len(table) else np.zeros(0, int)
-    ids = table["doc_id"].to_numpy()[order]
-    found = table["f"].combine_chunks()
-    y = np.column_stack([table[c].to_numpy()[order].astype(float) for c in categories]) if len(table) else np.zeros((0, len(categories)))
-    return fit(categories, [found[int(k)].values.to_numpy() for k in order], y, np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids]))
 
 
 def score(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -178,4 +178,4 @@ def score(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | Non
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep)
             yield with_columns(rest, keep, **dict(zip(names, new, strict=True)))
 
-    return df.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep))).mapInArrow(run, schema)
+    return map_arrow(text_first(df, text, keep), run, schema)
