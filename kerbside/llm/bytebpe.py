@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import by_chars, with_columns
+from kerbside.llm.common import by_chars, map_arrow, text_first, with_columns
 
 #: Code points handled at once.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19
 #: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 
 LETTER, NUMBER, OTHER, QUOTE, QUOTE_1, QUOTE_2, SPACE_JOINS, BLANK_ALONE, BLANK_RUN, EDGE = range(10)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, JOINING, IN_BLANKS, ONE_LEFT, TWO_LEFT = range(8)
@@ -200,7 +200,7 @@ def vocabulary(content: bytes) -> tuple[Merger, list[bytes]]:
 
 def encode_texts(texts: list[str], content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its ids and the byte at which each token starts."""
-    merger, by_id = vocabulary(content)
+    merger = vocabulary(content)[0]
     sizes = token_sizes(content)
     joined = "\0".join(["", *texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -239,15 +239,27 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def decode_ids(ids: np.ndarray, offsets: np.ndarray, content: bytes) -> bytes:
+    """The tokens' bytes; each must start where its offset says."""
+    if not np.array_equal(np.cumsum(token_sizes(content)[ids], dtype=np.int64)[:-1], offsets[1:]):
+        raise ValueError("offsets do not belong to these ids")
+    return b"".join(map(vocabulary(content)[1].__getitem__, ids.tolist()))
+
+
+def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None, with_bytes: bool = False) -> DataFrame:
     """The kept columns (all but the text unless named), ids and offsets, both as little-endian
-    unsigned 32-bit integers, and n_tokens."""
+    unsigned 32-bit integers, and n_tokens.
+
+    with_bytes: decode each text's ids too, where they were made, and give the bytes in place of the
+    offsets; the ids need not go through a second set of Python workers then.
+    """
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    if clash := {"ids", "offsets", "n_tokens"} & set(keep):
+    second = "bytes" if with_bytes else "offsets"
+    if clash := {"ids", second, "n_tokens"} & set(keep):
         raise ValueError(f"columns in the way: {sorted(clash)}")
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     fields = [df.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField(second, T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,28 +267,24 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] |
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep) if keep else None
             for a, b in by_chars(texts, GROUP_CHARS):
                 pairs = list(encode_texts(texts[a:b], content.value))
-                new = {"ids": pa.array([i.tobytes() for i, _ in pairs], pa.binary()), "offsets": pa.array([o.tobytes() for _, o in pairs], pa.binary()), "n_tokens": pa.array([len(i) for i, _ in pairs], pa.int64())}
+                more = [decode_ids(i, o, content.value) if with_bytes else o.tobytes() for i, o in pairs]
+                new = {"ids": pa.array([i.tobytes() for i, _ in pairs], pa.binary()), second: pa.array(more, pa.binary()), "n_tokens": pa.array([len(i) for i, _ in pairs], pa.int64())}
                 yield with_columns(rest.slice(a, b - a), keep, **new) if keep else pa.RecordBatch.from_arrays(list(new.values()), names=list(new))
 
-    return df.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep))).mapInArrow(run, schema)
+    return map_arrow(text_first(df, text, keep), run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns and `bytes`, put together from ids; each token must start where its offset says."""
+    """The kept columns and `bytes`, put together from ids and checked against their offsets."""
     keep = [c for c in df.columns if c not in ("ids", "offsets")] if keep is None else keep
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id, sizes = vocabulary(content.value)[1], token_sizes(content.value)
         for batch in batches:
-            out = []
-            for ids, offsets in zip(batch.column(0), batch.column(1), strict=True):
-                ids, offsets = (np.frombuffer(x.as_buffer() or b"", np.uint32) for x in (ids, offsets))
-                if not np.array_equal(np.cumsum(sizes[ids], dtype=np.int64)[:-1], offsets[1:]):
-                    raise ValueError("offsets do not belong to these ids")
-                out.append(b"".join(map(by_id.__getitem__, ids.tolist())))
+            pairs = ((np.frombuffer(x.as_buffer() or b"", np.uint32) for x in p) for p in zip(batch.column(0), batch.column(1), strict=True))
+            out = [decode_ids(ids, offsets, content.value) for ids, offsets in pairs]
             rest = batch.select(batch.schema.names[2:]).rename_columns(keep)
             yield with_columns(rest, keep, bytes=pa.array(out, pa.binary()))
 
-    return df.select("ids", "offsets", *keep).mapInArrow(run, schema)
+    return map_arrow(df.select("ids", "offsets", *keep), run, schema)
