@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import with_columns
+from kerbside.llm.common import map_arrow, text_first, with_columns
 
 #: The bound of the training sample: rows, and characters of all of them (longer texts are passed over).
 SAMPLE_ROWS, SAMPLE_TEXT_CHARS = 3_000, 20_000
@@ -136,8 +136,10 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample: the `rows` rows of the least hashes, each of at most SAMPLE_TEXT_CHARS."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_TEXT_CHARS))
-    order = F.xxhash64(F.lit("language"), F.col(text))
-    sample = usable.select(F.col(text).alias("t"), F.col(lang).alias("y"), order.alias("o")).orderBy("o", "y").limit(rows).collect()
+    hashed = usable.select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(F.lit("language"), F.col(text)).alias("o"))
+    # First the hash that ends the sample, so that no task sends more texts than the sample holds.
+    last = hashed.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    sample = [] if last is None else hashed.where(F.col("o") <= last).orderBy("o", "y").limit(rows).collect()
     return fit([(r.t, r.y) for r in sample])
 
 
@@ -163,4 +165,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep)
             yield with_columns(rest, keep, lang_pred=pa.array(names, pa.string()), score=pa.array(score, pa.float64()), rejected=pa.array(reject, pa.bool_()))
 
-    return df.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep))).mapInArrow(run, schema)
+    return map_arrow(text_first(df, text, keep), run, schema)
