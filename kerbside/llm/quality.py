@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import stage, with_columns
+from kerbside.llm.common import map_arrow, stage, text_first, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: Words in a window, and the share of repeated words beyond which a text fails.
@@ -71,7 +71,7 @@ def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep)
             yield with_columns(rest, keep, **{m: pa.array(c, pa.int64()) for m, c in zip(MEASURES, columns, strict=True)})
 
-    return df.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep))).mapInArrow(run, schema)
+    return map_arrow(text_first(df, text, keep), run, schema)
 
 
 def base_failed():
