@@ -47,6 +47,11 @@ def run_hashes(hashes: str, n: int) -> Column:
     return F.transform(places, lambda k: F.xxhash64(F.slice(hashes, k + 1, n)))
 
 
+def short_prints(n: int) -> Column:
+    """h, at and n of every run of n words."""
+    return F.transform(run_hashes("_w", n), lambda h, k: F.struct(h.alias("h"), k.alias("at"), F.lit(n).alias("n")))
+
+
 def with_prints(df: DataFrame, short: list[int]) -> DataFrame:
     """df (with words) and prints: h, at and n of every fingerprint; n is 0 for a winnowed one.
 
@@ -59,8 +64,7 @@ def with_prints(df: DataFrame, short: list[int]) -> DataFrame:
     df = df.withColumn("_m", F.array_distinct(F.transform(places, lambda k: F.array_min(F.slice("_v", k + 1, WINNOW)))))
     at = lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     kinds = [F.transform("_m", lambda v: F.struct(F.get("_g", at(v)).alias("h"), at(v).alias("at"), F.lit(0).alias("n")))]
-    for n in short:
-        kinds.append(F.transform(run_hashes("_w", n), lambda h, k, n=n: F.struct(h.alias("h"), k.alias("at"), F.lit(n).alias("n"))))
+    kinds += [short_prints(n) for n in short]
     return df.withColumn("prints", F.concat(*kinds)).drop("_w", "_g", "_v", "_m")
 
 
