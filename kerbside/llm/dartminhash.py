@@ -191,8 +191,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: bool) -> DataFrame:
     """The kept columns, id, tk, class_id and first."""
-    keyed = df.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "tk": text_key(F.col(text))})
-    signed = stage(sign_documents(keyed.select("id", "tk", F.col(text).cast("string").alias("text")), weighted), "signed")
+    keyed = df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tk": text_key(F.col(text))})
+    signed = stage(sign_documents(keyed.select(F.col("_id").alias("id"), F.col("_tk").alias("tk"), F.col(text).cast("string").alias("text")), weighted), "signed")
     u = F.struct("id", "tk").alias("u")
     # A node is the first document of its set; its copies meet here and nowhere else.
     nodes = stage(signed.groupBy("node").agg(F.min(u).alias("u"), F.first("bands").alias("bands")), "nodes")
@@ -221,18 +221,18 @@ def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: b
         seen = seen.unionByName(stage(pairs, "seen")) if turn < LEADER_ROUNDS else seen
         links = stage(links.unionByName(more), "links")
     labels = components(links)
-    named = signed.select("id", "tk", "node").join(nodes.select("node", "u"), "node").join(labels, "u", "left").select("id", "tk", F.coalesce("label", "u").alias("c")).dropDuplicates(["id", "tk"])
-    out = keyed.select(*{c: 1 for c in [*keep, "id", "tk"]}).join(smaller(stage(named, "classes")), ["id", "tk"], "left")
-    first = (F.col("c").isNull()) | ((F.col("id") == F.col("c.id")) & (F.col("tk") == F.col("c.tk")))
-    class_id = F.coalesce("c.id", "id")
-    return out.select(*keep, "id", "tk", F.when(class_id != NO_ID, class_id).alias("class_id"), first.alias("first"))
+    named = signed.select("id", "tk", "node").join(nodes.select("node", "u"), "node").join(labels, "u", "left").select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), F.coalesce("label", "u").alias("_c")).dropDuplicates(["_id", "_tk"])
+    out = keyed.select(*keep, "_id", "_tk").join(smaller(stage(named, "classes")), ["_id", "_tk"], "left")
+    first = (F.col("_c").isNull()) | ((F.col("_id") == F.col("_c.id")) & (F.col("_tk") == F.col("_c.tk")))
+    class_id = F.coalesce("_c.id", "_id")
+    return out.select(*keep, "_id", "_tk", F.when(class_id != NO_ID, class_id).alias("class_id"), first.alias("first"))
 
 
 def classes(df: DataFrame, text: str = "text", keep: list[str] | None = None, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """The kept columns (doc_id by default), class_id and first (the class's first document, one row of it)."""
-    return classed(df, text, ["doc_id"] if keep is None else keep, least, weighted).drop("id", "tk")
+    return classed(df, text, ["doc_id"] if keep is None else keep, least, weighted).drop("_id", "_tk")
 
 
 def representatives(df: DataFrame, text: str = "text", least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """The rows of df that stand for their classes; of identical rows one."""
-    return classed(df, text, df.columns, least, weighted).where("first").dropDuplicates(["id", "tk"]).select(*df.columns)
+    return classed(df, text, df.columns, least, weighted).where("first").dropDuplicates(["_id", "_tk"]).select(*df.columns)
