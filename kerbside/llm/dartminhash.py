@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ from kerbside.llm.common import map_arrow, smaller, stage, text_key
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 LEADER_ROUNDS = 3
+#: For pairs that no leader decided: coordinates of a byte each, the estimate from which a pair is compared
+#: whole (4.5 standard deviations below the least similarity), and nodes of a bucket in a task's block.
+SKETCH, DOUBT, BLOCK = 512, 4.5, 256
 #: Rows up to which a table of pairs is broadcast to the sets; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 CACHE_WORDS = 300_000
@@ -78,8 +82,15 @@ def shingles(text: str, cache: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray
     return np.unique(mix(total + U(len(words)) * U(len(words) < SHINGLE)), return_counts=True)
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and rank of every dart with a rank in [low, high) that hits an element's strip.
+@lru_cache(64)
+def poisson_steps(area: float) -> np.ndarray:
+    """The cumulative probabilities of 0, 1, 2, ... darts on an area."""
+    n = np.arange(int(area + 12 * np.sqrt(area) + 12))
+    return np.cumsum(np.exp(n * np.log(area) - area - np.cumsum(np.log(np.maximum(n, 1)))))
+
+
+def darts(elements: np.ndarray, weights: np.ndarray, heights: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and rank of every dart with a rank in one of the ranges that hits an element's strip.
 
     Darts of a strip fall in cells one unit of weight wide: a Poisson number of them, by the cell's hash.
     """
@@ -89,35 +100,39 @@ def darts(elements: np.ndarray, weights: np.ndarray, low: float, high: float) ->
         row = np.repeat(np.arange(len(n)), n)
         at = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.float64)
         cells, owner = mix(elements[row] + at.astype(U)), weights[row]
-    seed = mix(cells ^ U(int(high / LOWEST)))
-    area = high - low
-    most = int(area + 12 * np.sqrt(area) + 12)
-    chance = np.cumsum(np.exp(np.arange(most) * np.log(area) - area - np.cumsum(np.log(np.maximum(np.arange(most), 1)))))
-    count = np.searchsorted(chance, uniform(seed))
+    seed = mix(np.concatenate([cells ^ U(int(high / LOWEST)) for _, high in heights]))
+    share = uniform(seed).reshape(len(heights), -1)
+    count = np.concatenate([np.searchsorted(poisson_steps(high - low), s) for (low, high), s in zip(heights, share, strict=True)])
     row = np.repeat(np.arange(len(seed)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     dart = mix(seed[row] + nth.astype(U) * U(MIX[0]))
-    hit = at[row] + uniform(mix(dart + U(1))) <= owner[row]
-    return dart[hit], (low + area * uniform(mix(dart + U(2))))[hit]
+    which, cell = row // max(len(cells), 1), row % max(len(cells), 1)
+    low, area = (np.array(v)[which] for v in ([h[0] for h in heights], [h[1] - h[0] for h in heights]))
+    rank = low + area * uniform(mix(dart + U(2)))
+    if len(cells) != len(elements) or (weights != 1).any():
+        hit = at[cell] + uniform(mix(dart + U(1))) <= owner[cell]
+        dart, rank = dart[hit], rank[hit]
+    return dart, rank
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """The earliest dart's hash for each coordinate."""
     best, rank = np.zeros(size, U), np.full(size, np.inf)
     enough = (size * np.log(size) + 2 * size) / max(weights.sum(), 1e-9)
-    low, high = 0.0, LOWEST
+    heights = [(0.0, LOWEST)]
+    while heights[-1][1] < enough:
+        heights.append((heights[-1][1], heights[-1][1] * 2))
     while True:
-        dart, at = darts(elements, weights, low, high)
-        where = (dart % U(size)).astype(np.int64)
-        order = np.lexsort((at, where))
-        first = np.ones(len(order), bool)
-        first[1:] = where[order][1:] != where[order][:-1]
-        pick = order[first]
-        pick = pick[at[pick] < rank[where[pick]]]
-        best[where[pick]], rank[where[pick]] = dart[pick], at[pick]
-        if high >= enough and np.isfinite(rank).all():
+        dart, at = darts(elements, weights, heights)
+        order = np.argsort(-at, kind="stable")  # the earliest of a coordinate is written last
+        where, new = (dart[order] % U(size)).astype(np.int64), np.full(size, np.inf)
+        found = np.zeros(size, U)
+        found[where], new[where] = dart[order], at[order]
+        earlier = new < rank
+        best[earlier], rank[earlier] = found[earlier], new[earlier]
+        if np.isfinite(rank).all():
             return best
-        low, high = high, high * 2
+        heights = [(heights[-1][1], heights[-1][1] * 2)]
 
 
 def bands(sign: np.ndarray) -> np.ndarray:
@@ -160,8 +175,7 @@ def similarity(a: bytes, b: bytes, weighted: bool) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float, weighted: bool) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
-    pairs = stage(pairs, "pairs")
+    """The pairs (a, b) of nodes, from a staged table, whose sets are similar enough."""
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("u"))
     if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ends = F.broadcast(ends)
@@ -175,6 +189,52 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float, weighted: bool) ->
     return stage(map_arrow(both, run, pairs.schema), "links")
 
 
+def undecided(at: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """Pairs of nodes of different components in one bucket whose sketches come near the least similarity.
+
+    A bucket is cut into blocks, and every pair of blocks is looked at in a task of its own, so no task
+    holds a bucket and no pair leaves a task unless its sketches are alike. A pair is told in its first
+    common band only.
+    """
+    edge = least - DOUBT * np.sqrt(least * (1 - least) / SKETCH)
+    rest = stage(at.select("u").distinct(), "rest")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for whole in batch.column(1):
+                x = np.frombuffer(whole.as_py(), U).reshape(-1, 1 + weighted)
+                w = x[:, 1].astype(float) if weighted else np.ones(len(x))
+                out.append((mix(signature(np.ascontiguousarray(x[:, 0]), w, SKETCH)) >> U(56)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["u", "sketch"])
+
+    kind = rest.schema["u"].dataType.simpleString()
+    sketches = map_arrow(sets.join(smaller(rest), "u").dropDuplicates(["u"]).select("u", "whole"), sketch, f"u {kind}, sketch binary")
+    told = stage(sketches.join(nodes.select("u", "bands"), "u"), "sketches")
+    size = at.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    rows = at.join(size, ["band", "value"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(told, "u").select(F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "band", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), F.xxhash64("label").alias("label"), "u", "sketch", "bands")
+
+    def compare(table: pa.Table) -> pa.Table:
+        left, right = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        bands = np.array(table["bands"].to_pylist(), np.int64)
+        label, band = table["label"].to_numpy(), table["band"][0].as_py()
+        a, b = [], []
+        for k in left:
+            far = right[label[right] != label[k]]
+            near = far[(marks[far] == marks[k]).mean(axis=1) >= edge]
+            near = near[~(bands[near, :band] == bands[k, :band]).any(axis=1)]
+            a += [k] * len(near)
+            b += near.tolist()
+        u = table["u"].combine_chunks()
+        return pa.table({"a": u.take(pa.array(a, pa.int64())), "b": u.take(pa.array(b, pa.int64()))})
+
+    pairs = rows.groupBy("task").applyInArrow(compare, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """u and its label, the least node linked to it, for every node of the links (a, b)."""
     edges = stage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -201,26 +261,28 @@ def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: b
     lead = members.groupBy("band", "value").agg(F.min("u").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
     star = stage(members.join(lead, ["band", "value"]).select("band", "value", "a", F.col("u").alias("b")), "star")
 
-    links = verified(star.where("a != b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least, weighted)
-    seen = star.where("a != b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    seen = stage(star.where("a != b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = verified(seen, sets, least, weighted)
     for turn in range(LEADER_ROUNDS + 1):
         labels = components(links)
         at = star.select("band", "value", F.col("b").alias("u")).join(labels, "u", "left").withColumn("label", F.coalesce("label", "u"))
         mixed = at.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "value")
         at = stage(at.join(mixed, ["band", "value"]), "mixed")
+        if at.isEmpty():  # every bucket holds one component: no pair is left
+            break
         if turn < LEADER_ROUNDS:
             # In turn the least node of the bucket, of its last component, and of its first one's end.
             pick = [F.min(F.struct("u", "label")), F.min_by(F.struct("u", "label"), F.struct("label", "u")), F.max_by(F.struct("u", "label"), F.struct("label", "u"))][turn]
             leader = at.groupBy("band", "value").agg(pick.alias("l"))
             pairs = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).select(F.least("u", "l.u").alias("a"), F.greatest("u", "l.u").alias("b"))
         else:
-            other = at.select("band", "value", F.col("u").alias("v"), F.col("label").alias("other"))
-            pairs = at.join(other, ["band", "value"]).where("label < other").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
-        more = verified(pairs, sets, least, weighted)
-        seen = seen.unionByName(stage(pairs, "seen")) if turn < LEADER_ROUNDS else seen
-        links = stage(links.unionByName(more), "links")
-    labels = components(links)
+            pairs = undecided(at, nodes, sets, least, weighted)
+        pairs = stage(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            seen = seen.unionByName(pairs)
+            links = stage(links.unionByName(verified(pairs, sets, least, weighted)), "links")
+    else:
+        labels = components(links)
     named = signed.select("id", "tk", "node").join(nodes.select("node", "u"), "node").join(labels, "u", "left").select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), F.coalesce("label", "u").alias("_c")).dropDuplicates(["_id", "_tk"])
     out = keyed.select(*keep, "_id", "_tk").join(smaller(stage(named, "classes")), ["_id", "_tk"], "left")
     first = (F.col("_c").isNull()) | ((F.col("_id") == F.col("_c.id")) & (F.col("_tk") == F.col("_c.tk")))
