@@ -80,3 +80,30 @@ def trial_statistics(trials: DataFrame, by: str, value: str) -> DataFrame:
     middle = trials.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), nearest_rank(value, 0.5).alias("median"), (F.max(value) - F.min(value)).alias("range"))
     off = trials.join(middle.select(by, "median"), by).withColumn("_d", F.abs(F.col(value) - F.col("median"))).groupBy(by).agg((nearest_rank("_d", 0.5) * NORMAL).alias("nmad"))
     return middle.join(off, by).withColumn("nmad", F.when(F.col("n") >= 3, F.col("nmad")))
+
+
+def cell_status(cells: DataFrame, structure_votes: int = 3, canopy_extent: float = 2.0, canopy_gap: float = 0.5) -> DataFrame:
+    """structure before canopy (by extent, then by gap) before measured; without a height it abstained."""
+    status = F.when(F.col("structure") >= structure_votes, "structure").when(F.col("h95").isNull(), "abstained").when(F.col("h95") > canopy_extent, "canopy").when(F.col("gap") > canopy_gap, "canopy").otherwise("measured")
+    return cells.withColumn("status", status)
+
+
+def quality_summary(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Tallies of statuses, coverage, the greatest spread, and what blocks acceptance."""
+    g = cells.groupBy(*by).agg(F.count("*").alias("cells"), counted(F.col("status") == "measured").alias("measured"), counted(F.col("status") == "abstained").alias("abstained"), F.max("spread").alias("spread"), counted(F.col("h95") > 0.1).alias("above_middle"), counted(F.col("h95") > 0.3).alias("above_tall"))
+    blockers = F.array_compact(F.array(F.when(F.col("measured") == 0, "nothing measured"), F.when(F.col("abstained") > F.col("measured"), "mostly abstained"), F.when(F.col("spread") > 0.2, "frames disagree")))
+    return g.withColumns({"coverage": share(F.col("measured"), F.col("cells")), "blockers": F.array_join(blockers, "; ")})
+
+
+def review_picks(cells: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Cells to look at: the tallest, the lowest, the one whose frames differ most and the least supported."""
+    measured = cells.where(F.col("h95").isNotNull())
+    pick = lambda f, c, sign: f(key, F.struct(F.col(c), sign * F.col(key)))
+    return measured.groupBy(*by).agg(pick(F.max_by, "h95", -1).alias("tallest"), pick(F.min_by, "h95", 1).alias("lowest"), pick(F.max_by, "spread", -1).alias("widest"), pick(F.min_by, "samples", 1).alias("weakest"))
+
+
+def class_fractions(scores: DataFrame, by: list[str], array: str) -> DataFrame:
+    """Share of each class, the class of a row being its highest score and of equals the lowest class."""
+    best = (F.array_position(array, F.array_max(array)) - 1).cast("long")
+    n = scores.select(*by, best.alias("class")).groupBy(*by, "class").agg(F.count("*").alias("n"))
+    return n.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))

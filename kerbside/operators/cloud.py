@@ -180,3 +180,19 @@ def eroded(masks: DataFrame, column: str, width: int, radius: int) -> DataFrame:
             yield b.assign(**{column: out})[columns]
 
     return masks.mapInPandas(run, masks.schema)
+
+
+def top_roughness(points: DataFrame, by: list[str], height: str, band: float = 0.05) -> DataFrame:
+    """The 98th percentile and the scaled median absolute deviation of heights within the band around it."""
+    from kerbside.functions.stats import NORMAL
+
+    top = points.groupBy(*by).agg(nearest_rank(height, 0.98).alias("p98"))
+    near = points.join(top, by).where(F.abs(F.col(height) - F.col("p98")) <= band)
+    middle = near.groupBy(*by).agg(nearest_rank(height, 0.5).alias("_m"), F.count("*").alias("n"))
+    off = near.join(middle, by).withColumn("_d", F.abs(F.col(height) - F.col("_m"))).groupBy(*by).agg((nearest_rank("_d", 0.5) * NORMAL).alias("roughness"))
+    return top.join(middle.drop("_m"), by).join(off, by)
+
+
+def uniform_cap(points: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """`most` rows by the least hashes of their keys: the same rows whatever the partitions."""
+    return points.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)

@@ -68,3 +68,25 @@ def feature_collection(features: DataFrame, geometry: str, properties: list[str]
 def frame_number(name: Column) -> Column:
     """The digits of a frame's file name."""
     return F.nullif(F.regexp_replace(name, "[^0-9]", ""), F.lit("")).cast("int")
+
+
+def with_positions(frames: DataFrame, packets: DataFrame, name: str, order: str) -> DataFrame:
+    """Frames with the position of their number; of several packets the later one counts."""
+    fields = [c for c in packets.columns if c not in ("canonical", order)]
+    last = packets.groupBy("canonical").agg(F.max_by(F.struct(*fields), order).alias("_p"))
+    return frames.withColumn("canonical", frame_number(F.col(name))).join(last, "canonical", "left").select(*frames.columns, "canonical", "_p.*")
+
+
+def band_polygon(path: DataFrame, key: str, order: str, half_m: float) -> DataFrame:
+    """A closed GeoJSON ring around a path (lat, lon): its left side forward, its right side back."""
+    o = Window.partitionBy(key).orderBy(order)
+    first = lambda f, c: F.coalesce(f(c).over(o), F.col(c))
+    flat = F.cos(F.radians("lat")) * 111320.0
+    dx, dy = (first(F.lead, "lon") - first(F.lag, "lon")) * flat, (first(F.lead, "lat") - first(F.lag, "lat")) * 111320.0
+    sides = path.withColumns({"_x": dx, "_y": dy, "_f": flat}).withColumn("_l", F.hypot("_x", "_y")).where("_l > 0")
+    east, north = -F.col("_y") / F.col("_l") * half_m / F.col("_f"), F.col("_x") / F.col("_l") * half_m / 111320.0
+    at = lambda s: F.array(F.round(F.col("lon") + s * east, 9), F.round(F.col("lat") + s * north, 9))
+    g = sides.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), at(1).alias("l"), at(-1).alias("r")))).alias("v"))
+    left, right = F.transform("v", lambda p: p["l"]), F.reverse(F.transform("v", lambda p: p["r"]))
+    ring = F.concat(left, right, F.slice(left, 1, 1))
+    return g.where(F.size("v") >= 2).select(key, F.size(ring).cast("long").alias("corners"), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("geometry"))

@@ -90,3 +90,26 @@ def pack(groups: DataFrame, keys: list[str], order: str, size: str, most: int) -
         return F.struct(F.concat(acc["out"], F.array(F.struct(g["o"].cast("bigint").alias("o"), number.alias("pack")))).alias("out"), number.alias("pack"), F.when(fits, acc["held"] + g["s"]).otherwise(g["s"]).alias("held"))
 
     return listed.select(*keys, F.explode(F.aggregate("g", empty, put, lambda a: a["out"])).alias("p")).select(*keys, F.col("p.o").alias(order), "p.pack")
+
+
+def even_selection(frames: DataFrame, count: int) -> DataFrame:
+    """Of each session the frames nearest to `count` evenly spaced distances, each once, in order."""
+    from kerbside.operators.asof import nearest
+
+    ends = frames.groupBy("session_id").agg(F.min("distance").alias("d0"), F.max("distance").alias("d1"))
+    k = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    targets = k.select("session_id", "k", (F.col("d0") + (F.col("d1") - F.col("d0")) * F.col("k") / max(count - 1, 1)).alias("distance"))
+    near = nearest(targets, frames.select("session_id", "distance", "frame_id"), ["session_id"], "distance", ["frame_id"], "frame_id")
+    return near.groupBy("session_id", "frame_id").agg(F.min("k").alias("k"))
+
+
+def thinned(path: DataFrame, key: str, order: str, least_m: float = 0.5) -> DataFrame:
+    """Vertices (x, y) of a path at least least_m from the last one kept; a fold over one path's vertices."""
+    listed = path.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), "x", "y"))).alias("v"))
+    kind = "array<struct<o:bigint,x:double,y:double>>"
+
+    def put(kept, v):
+        last = F.element_at(kept, -1)
+        return F.when(F.size(kept) == 0, F.array(v)).when(F.hypot(v["x"] - last["x"], v["y"] - last["y"]) >= least_m, F.concat(kept, F.array(v))).otherwise(kept)
+
+    return listed.select(key, F.explode(F.aggregate(F.col("v").cast(kind), F.array().cast(kind), put)).alias("p")).select(key, F.col("p.o").alias(order), "p.x", "p.y")

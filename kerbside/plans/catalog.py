@@ -512,3 +512,84 @@ def retry_poison_split(s, d):
     from kerbside.streaming.messages import fate
 
     return shim.table(s, d, "events").select("event_id", fate(F.col("event_type") == "error", (F.col("event_id") % 5 + 1).cast("int")).alias("fate"))
+
+
+def judged_cells(s, d):
+    """Cells of the votes by supplier, with stand-ins for structures and gaps."""
+    v = shim.table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("column"), (F.col("l_partkey") % 60).alias("cell")).agg(F.count("*").alias("samples"), stats.nearest_rank("l_quantity", 0.95).alias("h"), (F.max("l_quantity") - F.min("l_quantity")).alias("s"), F.sum((F.col("l_tax") == 0).cast("int")).alias("structure"))
+    enough = F.col("samples") >= 3
+    cell = v.select("column", "cell", "samples", F.when(enough, F.col("h") / 20).alias("h95"), F.when(enough, F.col("s") / 100).alias("spread"), F.col("structure"), (F.col("s") / 50).alias("gap"))
+    return cells.cell_status(cell)
+
+
+JUDGED = ", v AS (SELECT l_suppkey % 20 AS col, l_partkey % 60 AS cell, count(*) AS samples, quantile_disc(l_quantity, 0.95) AS h, max(l_quantity) - min(l_quantity) AS s, count(*) FILTER (l_tax = 0) AS structure FROM lineitem GROUP BY 1, 2), c AS (SELECT col, cell, samples, CASE WHEN samples >= 3 THEN h / 20 END AS h95, CASE WHEN samples >= 3 THEN s / 100 END AS spread, structure, s / 50 AS gap FROM v), j AS (SELECT *, CASE WHEN structure >= 3 THEN 'structure' WHEN h95 IS NULL THEN 'abstained' WHEN h95 > 2.0 THEN 'canopy' WHEN gap > 0.5 THEN 'canopy' ELSE 'measured' END AS status FROM c)"
+
+
+@query(JUDGED + " SELECT col AS \"column\", cell, status FROM j")
+def cell_status(s, d):
+    return judged_cells(s, d).select("column", "cell", "status")
+
+
+@query(JUDGED + ", q AS (SELECT col, count(*) AS cells, count(*) FILTER (status = 'measured') AS measured, count(*) FILTER (status = 'abstained') AS abstained, max(spread) AS spread, count(*) FILTER (h95 > 0.1) AS above_middle, count(*) FILTER (h95 > 0.3) AS above_tall FROM j GROUP BY 1) SELECT col AS \"column\", cells, measured, abstained, spread, above_middle, above_tall, measured / cells::DOUBLE AS coverage, concat_ws('; ', CASE WHEN measured = 0 THEN 'nothing measured' END, CASE WHEN abstained > measured THEN 'mostly abstained' END, CASE WHEN spread > 0.2 THEN 'frames disagree' END) AS blockers FROM q")
+def quality_summary(s, d):
+    return cells.quality_summary(judged_cells(s, d), ["column"])
+
+
+@query(JUDGED + " SELECT col AS \"column\", arg_max(cell, (h95, -cell)) AS tallest, arg_min(cell, (h95, cell)) AS lowest, arg_max(cell, (spread, -cell)) AS widest, arg_min(cell, (samples, cell)) AS weakest FROM j WHERE h95 IS NOT NULL GROUP BY 1")
+def review_samples(s, d):
+    return cells.review_picks(judged_cells(s, d), ["column"], "cell")
+
+
+@query(", b AS (SELECT label, list_position(embedding, list_max(embedding)) - 1 AS class FROM embeddings), n AS (SELECT label, class, count(*) AS n FROM b GROUP BY 1, 2) SELECT label, CAST(class AS BIGINT) AS class, n, n / sum(n) OVER (PARTITION BY label) AS fraction FROM n")
+def class_fractions_argmax(s, d):
+    return cells.class_fractions(shim.table(s, d, "embeddings"), ["label"], "embedding")
+
+
+@query(", p AS (SELECT l_suppkey AS g, l_quantity / 10 AS y FROM lineitem), t AS (SELECT g, quantile_disc(y, 0.98) AS p98 FROM p GROUP BY 1), n AS (SELECT p.g, y FROM p JOIN t ON p.g = t.g AND abs(y - p98) <= 0.3), m AS (SELECT g, quantile_disc(y, 0.5) AS m, count(*) AS n FROM n GROUP BY 1), r AS (SELECT n.g, quantile_disc(abs(y - m), 0.5) * 1.4826 AS roughness FROM n JOIN m ON n.g = m.g GROUP BY 1) SELECT t.g, p98, n, roughness FROM t JOIN m ON m.g = t.g JOIN r ON r.g = t.g")
+def height_p98_roughness(s, d):
+    return cloud.top_roughness(shim.table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), (F.col("l_quantity") / 10).alias("y")), ["g"], "y", 0.3)
+
+
+@query(DRIVE + ", e AS (SELECT session_id, min(distance) AS d0, max(distance) AS d1 FROM drive GROUP BY 1), t AS (SELECT session_id, k, d0 + (d1 - d0) * k / 15 AS target FROM e, range(16) r(k)), n AS (SELECT t.session_id, k, frame_id, row_number() OVER (PARTITION BY t.session_id, k ORDER BY abs(distance - target), distance) AS i FROM t JOIN drive USING (session_id)) SELECT session_id, frame_id, CAST(min(k) AS INT) AS k FROM n WHERE i = 1 GROUP BY 1, 2")
+def even_distance_selection(s, d):
+    return telemetry.even_selection(drive(s, d), 16)
+
+
+@query()
+def road_edge_thinning(s, d):
+    path = shim.fixes(s, d).select("session_id", F.row_number().over(telemetry.ordered("event_id")).alias("ord"), (F.col("speed") * 0.2).alias("x"), (F.col("accuracy") * 0.05).alias("y"))
+    return telemetry.thinned(path, "session_id", "ord", 0.5)
+
+
+@query()
+def geojson_band(s, d):
+    return documents.band_polygon(shim.fixes(s, d).withColumn("ord", F.struct("t", "event_id")), "session_id", "ord", 5.0)
+
+
+@query(", p AS (SELECT event_id % 400 AS canonical, event_id, lat, lon FROM fixes QUALIFY row_number() OVER (PARTITION BY event_id % 400 ORDER BY event_id DESC) = 1) SELECT 'frame_' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '.jpg' AS name, CAST(c_custkey AS INT) AS canonical, lat, lon FROM customer LEFT JOIN p ON canonical = c_custkey")
+def frame_join_positions(s, d):
+    frames = shim.table(s, d, "customer").select(F.concat(F.lit("frame_"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit(".jpg")).alias("name"))
+    packets = shim.fixes(s, d).select((F.col("event_id") % 400).cast("int").alias("canonical"), "event_id", "lat", "lon")
+    return documents.with_positions(frames, packets, "name", "event_id")
+
+
+@query("SELECT segment_id, window_index, coalesce(n.cells, o.cells) AS cells FROM (SELECT segment_id, window_index, cells FROM windows) o LEFT JOIN (SELECT segment_id, window_index, cells + 100 AS cells FROM windows WHERE cells < 5) n USING (segment_id, window_index)")
+def merge_frame_readings(s, d):
+    old = shim.windows(s, d).select("segment_id", "window_index", "cells")
+    return changes.patch(old, old.where("cells < 5").withColumn("cells", F.col("cells") + 100), ["segment_id", "window_index"])
+
+
+@query(f"SELECT session_id, {SUMMARY} FROM readings GROUP BY 1")
+def session_detail_counts(s, d):
+    return readings.summary(source(s, d), ["session_id"])
+
+
+@query("SELECT coalesce(a.order_id, b.order_id) AS order_id, coalesce(a.status, b.status) AS status FROM (SELECT * FROM worders WHERE order_id % 3 <> 0) a FULL JOIN (SELECT order_id, upper(status) AS status FROM worders WHERE order_id % 2 = 0) b ON a.order_id = b.order_id")
+def merge_observations_local_wins(s, d):
+    o = shim.orders(s, d).select("order_id", "status")
+    return changes.merge_observations(o.where("order_id % 3 <> 0"), o.where("order_id % 2 = 0").withColumn("status", F.upper("status")), ["order_id"], "status")
+
+
+@query()
+def uniform_cap(s, d):
+    return cloud.uniform_cap(shim.points(s, d), "point_id", 100)
