@@ -30,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import flat, stage, text_key
+from kerbside.llm.common import flat, map_arrow, stage, text_key
 
 WIDTH, GRAM = 100, 20
-#: One document in so many is looked at for anchors to deal by window; as many of its rows make one hot.
-SAMPLED, HOT_IN_SAMPLE, MOST_HOT = 64, 16, 50_000
-GROUP_BYTES, PIECE_BYTES = 1 << 21, 1 << 22
+#: One document in so many is looked at for anchors to deal by window. Hot is an anchor with more than one
+#: of HOT_SHARE of the sample's spans (or a quarter of a partition), and HOT_IN_SAMPLE at least.
+SAMPLED, HOT_IN_SAMPLE, HOT_SHARE, MOST_HOT = 64, 16, 4096, 50_000
+GROUP_BYTES, PIECE_BYTES = 1 << 18, 1 << 20
 #: Spans that are sorted at once.
-SORT_SPANS = 40_000
+SORT_SPANS = 16_000
 
 U = np.uint64
 #: Odd bases of the polynomial hashes and multipliers of the mixing step.
@@ -60,8 +61,10 @@ class Powers:
 
     def reach(self, n: int) -> None:
         if len(self.up) <= n:
-            grow = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(2 * n, U(b))]))
-            self.up, self.down = grow(self.base), grow(pow(self.base, -1, 1 << 64))
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                powers = np.full(n + n // 4 + 1, U(b))
+                powers[0] = 1
+                setattr(self, name, np.multiply.accumulate(powers, out=powers))
 
 
 POWERS = [Powers(b) for b in BASES]
@@ -206,10 +209,12 @@ def compare(hashes: Hashes, data: np.ndarray, start: np.ndarray, length: np.ndar
 
 def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether data[a : a + n] and data[b : b + n] are the same, row by row."""
-    steps = np.arange(int(n.max(initial=0)))
-    rows = len(data) - 1
-    same = data[np.minimum(a[:, None] + steps, rows)] == data[np.minimum(b[:, None] + steps, rows)]
-    return (same | (steps >= n[:, None])).all(axis=1)
+    steps, last, out = np.arange(int(n.max(initial=0))), len(data) - 1, np.ones(len(a), bool)
+    for k in range(0, len(a), 4096):
+        rows = slice(k, k + 4096)
+        same = data[np.minimum(a[rows, None] + steps, last)] == data[np.minimum(b[rows, None] + steps, last)]
+        out[rows] = (same | (steps >= n[rows, None])).all(axis=1)
+    return out
 
 
 def repeated_windows(spans: list[bytes], left: np.ndarray, lowest: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +299,7 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted.as_py():
                 for c, v in (w | {"did": did.as_py(), "tk": tk.as_py(), "span": data[w["s0"] : w["s1"] + WIDTH]}).items():
                     out[c].append(v)
-            if len(out["h"]) > 50_000:
+            if len(out["h"]) > 5_000:
                 yield pa.RecordBatch.from_pydict(out, schema=CUT_ARROW)
                 out = {c: [] for c in out}
         yield pa.RecordBatch.from_pydict(out, schema=CUT_ARROW)
@@ -334,8 +339,8 @@ def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Both hashes of every window of the spans; done as in find_spans."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        for lo in range(0, len(table), 10_000):
-            part = table.slice(lo, 10_000)
+        for lo in range(0, len(table), 2_000):
+            part = table.slice(lo, 2_000)
             spans = part["span"].to_pylist()
             did, tk, s0, s1 = (part[c].to_numpy() for c in ("did", "tk", "s0", "s1"))
             data = np.frombuffer(b"".join(spans), np.uint8)
@@ -378,14 +383,16 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hot_anchors(documents: DataFrame) -> DataFrame:
     """Anchor hashes that many different spans of the sample have: where rows go, not what is found."""
     sample = documents.where(F.pmod(F.xxhash64("did", "tk"), F.lit(SAMPLED)) == 0)
-    spans = sample.mapInArrow(find_spans, SPANS).where(~F.col("done")).groupBy("h").agg(F.count("*").alias("n"))
-    return spans.where(F.col("n") >= HOT_IN_SAMPLE).orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h")
+    spans = stage(map_arrow(sample, find_spans, SPANS).where(~F.col("done")).groupBy("h").agg(F.count("*").alias("n")), "anchors")
+    total = spans.agg(F.sum("n")).first()[0] or 0
+    share = max(HOT_SHARE, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spans.where(F.col("n") >= max(HOT_IN_SAMPLE, total / share)).orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h")
 
 
 def find_repeats(documents: DataFrame) -> DataFrame:
     """Runs (did, tk, start, end) of repeated bytes of documents (did, tk, bytes), some overlapping."""
     hot = hot_anchors(documents).withColumn("hot", F.lit(True))
-    spans = documents.mapInArrow(find_spans, SPANS).join(F.broadcast(hot), "h", "left").withColumn("hot", F.col("hot").isNotNull())
+    spans = map_arrow(documents, find_spans, SPANS).join(F.broadcast(hot), "h", "left").withColumn("hot", F.col("hot").isNotNull())
     # A span that is done needs no group any more; a hot anchor's spans only meet their equals.
     to = F.when(F.col("done"), F.xxhash64("did", "s0")).when(F.col("hot"), F.xxhash64("h", "h2")).otherwise(F.col("h"))
     dealt = spans.withColumn("to", to)
@@ -395,9 +402,9 @@ def find_repeats(documents: DataFrame) -> DataFrame:
     repeat = F.col("done") | ~F.col("first")
     told = stage(ranked.where(repeat | F.col("others") | F.col("hot")).select("h", "hot", "did", "tk", "p", "s0", "s1", repeat.alias("repeat")), "spans")
     wanted = told.where(~F.col("repeat")).groupBy("did", "tk").agg(F.collect_set(F.struct("h", "hot", "p", "s0", "s1")).alias("wanted"))
-    cut = stage(documents.join(wanted, ["did", "tk"]).select("did", "tk", "bytes", "wanted").mapInArrow(cut_spans, CUT), "cut")
-    by_sort = cut.where(~F.col("hot")).repartition("h").sortWithinPartitions("h").mapInArrow(sort_spans, REPEATS)
-    windows = cut.where("hot").mapInArrow(cut_windows, WINDOWS).withColumn("to", F.when(F.col("done"), F.xxhash64("did", "s")).otherwise(F.col("w")))
+    cut = stage(map_arrow(documents.join(wanted, ["did", "tk"]).select("did", "tk", "bytes", "wanted"), cut_spans, CUT), "cut")
+    by_sort = map_arrow(cut.where(~F.col("hot")).repartition("h").sortWithinPartitions("h"), sort_spans, REPEATS)
+    windows = map_arrow(cut.where("hot"), cut_windows, WINDOWS).withColumn("to", F.when(F.col("done"), F.xxhash64("did", "s")).otherwise(F.col("w")))
     earlier = F.rank().over(Window.partitionBy("to", "w", "w2", "done").orderBy("did", "tk", "s"))
     by_window = windows.withColumn("r", earlier).where(F.col("done") | (F.col("r") > 1)).select("did", "tk", F.col("s").alias("start"), (F.col("s") + WIDTH).alias("end"))
     whole = told.where("repeat").select("did", "tk", F.col("s0").alias("start"), (F.col("s1") + WIDTH).alias("end"))
@@ -410,7 +417,7 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
     whole = df.select(F.col("doc_id").cast("long").alias("doc_id"), did.alias("did"), text_key(F.col(text)).alias("tk"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("bytes"))
     repeats = find_repeats(whole.select("did", "tk", "bytes")).groupBy("did", "tk").agg(F.collect_set(F.struct("start", "end")).alias("repeats"))
     joined = whole.join(repeats, ["did", "tk"], "left").select("doc_id", "bytes", "repeats")
-    return joined.mapInArrow(remove, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>")
+    return map_arrow(joined, remove, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>")
 
 
 def digests(removed: DataFrame) -> DataFrame:
