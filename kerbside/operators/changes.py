@@ -64,3 +64,10 @@ def monthly_reference(orders: DataFrame, created: str, tie: str, prefix: str) ->
     month = F.date_format(created, "yyyyMM")
     number = F.row_number().over(Window.partitionBy(month).orderBy(created, tie)) + 1000
     return orders.withColumn("reference", F.concat_ws("-", F.lit(prefix), month, number.cast("string")))
+
+
+def cascade_delete(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Parents without the keys in gone, and each child table (with its column of that key) without theirs."""
+    ids = gone.select(F.col(key).alias("_gone")).distinct()
+    left = {n: df.join(ids, F.col(c) == F.col("_gone"), "left_anti") for n, (df, c) in children.items()}
+    return parents.join(ids, F.col(key) == F.col("_gone"), "left_anti"), left

@@ -593,3 +593,11 @@ def merge_observations_local_wins(s, d):
 @query()
 def uniform_cap(s, d):
     return cloud.uniform_cap(shim.points(s, d), "point_id", 100)
+
+
+@query(", gone AS (SELECT session_id FROM sessions WHERE session_id % 10 = 0) SELECT segment_id, session_id, state FROM segments WHERE session_id NOT IN (SELECT session_id FROM gone)")
+def cascade_delete(s, d):
+    sessions = shim.sessions(s, d)
+    gone = sessions.where("session_id % 10 = 0")
+    left = changes.cascade_delete(sessions, {"segments": (shim.segments(s, d), "session_id")}, gone, "session_id")[1]
+    return left["segments"].select("segment_id", "session_id", "state")
