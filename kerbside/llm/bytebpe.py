@@ -31,7 +31,7 @@ from kerbside.llm.common import by_chars, map_arrow, text_first, with_columns
 #: Code points handled at once.
 GROUP_CHARS = 1 << 19
 #: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 
 LETTER, NUMBER, OTHER, QUOTE, QUOTE_1, QUOTE_2, SPACE_JOINS, BLANK_ALONE, BLANK_RUN, EDGE = range(10)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, JOINING, IN_BLANKS, ONE_LEFT, TWO_LEFT = range(8)

@@ -42,7 +42,7 @@ LEADER_ROUNDS = 3
 SKETCH, DOUBT, BLOCK = 512, 4.5, 256
 #: Rows up to which a table of pairs is broadcast to the sets; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 NO_ID = -(1 << 63)
 
 U = np.uint64

@@ -35,7 +35,7 @@ BUCKETS, FOLDS, EPOCHS = 1 << 20, 4, 2
 BEGINNINGS = (4, 5)
 #: Labelled documents a feature must occur in, and the L1 term.
 LEAST_ROWS, L1, RATE = 8, 2.0, 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -177,5 +177,6 @@ def score(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | Non
             new = [pa.array(c, pa.float64()) for c in p.T] + [pa.array(c >= t, pa.bool_()) for c, t in zip(p.T, chain.thresholds, strict=True)]
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep)
             yield with_columns(rest, keep, **dict(zip(names, new, strict=True)))
+        chain.cache.clear()  # the worker lives on and serves other stages
 
     return map_arrow(text_first(df, text, keep), run, schema)
