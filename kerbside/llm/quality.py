@@ -6,8 +6,8 @@ its documents: one bad page does not reject a small host, a thousand bad pages r
 
 Defined results: a null text has no words and fails; a null host is no host, so its documents are
 judged alone; repeated rows count and come back each; an empty table gives an empty result; other
-columns pass through. The host table has one row for each host; joining it back leaves a hot host's rows
-to Spark's skew join, and nothing of a host is gathered.
+columns pass through. The host table has one row for each host; it is broadcast to the documents
+while it is small, and beyond that a hot host's rows are left to Spark's skew join.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import map_arrow, stage, text_first, with_columns
+from kerbside.llm.common import map_arrow, smaller, stage, text_first, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: Words in a window, and the share of repeated words beyond which a text fails.
@@ -96,6 +96,6 @@ def judge(df: DataFrame, host: str = "source", text: str = "text", keep: list[st
     """The kept columns and measures of every document, base_failed, its host's shrunk_rate and kept."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
     measured = stage(measure(df, text, keep).withColumn("base_failed", base_failed()), "quality")
-    hosts = host_rates(measured, host, "base_failed").select(F.col(host).alias("_host"), "shrunk_rate")
-    out = measured.join(hosts, F.col(host) == F.col("_host"), "left").drop("_host")
+    hosts = stage(host_rates(measured, host, "base_failed").select(F.col(host).alias("_host"), "shrunk_rate"), "hosts")
+    out = measured.join(smaller(hosts), F.col(host) == F.col("_host"), "left").drop("_host")
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("shrunk_rate"), F.lit(0.0)) <= host_rate))
