@@ -151,8 +151,8 @@ def sign_documents(df: DataFrame, weighted: bool) -> DataFrame:
             for k, text in enumerate(batch.column(2)):
                 found, counts = shingles(text.as_py() or "", cache)
                 if len(found):
-                    whole = np.column_stack([found, counts.astype(U)]).tobytes() if weighted else found.tobytes()
-                    node = hashlib.blake2b(whole, digest_size=16).digest()
+                    node = hashlib.blake2b(found.tobytes() + (counts.tobytes() if weighted else b""), digest_size=16).digest()
+                    whole = np.column_stack([found, counts.astype(U)]).tobytes() if weighted else np.unique((found >> U(32)).astype(np.uint32)).tobytes()
                     if node not in known:
                         known[node] = bands(signature(found, counts.astype(float) if weighted else np.ones(len(found)))).view(np.int64)
                     rows.append((k, node, known[node], whole))
@@ -165,13 +165,21 @@ def sign_documents(df: DataFrame, weighted: bool) -> DataFrame:
     return map_arrow(df.select("id", "tk", "text"), run, "id long, tk long, node binary, bands array<long>, whole binary")
 
 
+def stored(whole: bytes, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of a stored set. A plain set is stored by 32 bits of each hash: two shingles of
+    one pair of texts fall together with probability n * n / 2**32, and then change the similarity by 1 / n."""
+    if weighted:
+        x = np.frombuffer(whole, U).reshape(-1, 2)
+        return np.ascontiguousarray(x[:, 0]), x[:, 1].astype(float)
+    x = np.frombuffer(whole, np.uint32)
+    return x, np.ones(len(x))
+
+
 def similarity(a: bytes, b: bytes, weighted: bool) -> float:
-    x, y = (np.frombuffer(v, U).reshape(-1, 1 + weighted) for v in (a, b))
-    _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
-    if not weighted:
-        return len(i) / (len(x) + len(y) - len(i))
-    both = np.minimum(x[i, 1], y[j, 1]).sum()
-    return float(both) / float(x[:, 1].sum() + y[:, 1].sum() - both)
+    (x, v), (y, w) = stored(a, weighted), stored(b, weighted)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = np.minimum(v[i], w[j]).sum()
+    return float(both / (v.sum() + w.sum() - both))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float, weighted: bool) -> DataFrame:
@@ -203,9 +211,8 @@ def undecided(at: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, we
         for batch in batches:
             out = []
             for whole in batch.column(1):
-                x = np.frombuffer(whole.as_py(), U).reshape(-1, 1 + weighted)
-                w = x[:, 1].astype(float) if weighted else np.ones(len(x))
-                out.append((mix(signature(np.ascontiguousarray(x[:, 0]), w, SKETCH)) >> U(56)).astype(np.uint8).tobytes())
+                x, w = stored(whole.as_py(), weighted)
+                out.append((mix(signature(mix(x.astype(U)), w, SKETCH)) >> U(56)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["u", "sketch"])
 
     kind = rest.schema["u"].dataType.simpleString()
