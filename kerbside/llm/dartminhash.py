@@ -36,10 +36,10 @@ from kerbside.llm.common import map_arrow, smaller, stage, text_key
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: For pairs that no leader decided: coordinates of a byte each, the estimate from which a pair is compared
 #: whole (4.5 standard deviations below the least similarity), and nodes of a bucket in a task's block.
-SKETCH, DOUBT, BLOCK = 512, 4.5, 256
+SKETCH, DOUBT, BLOCK = 1024, 4.5, 1024
 #: Rows up to which a table of pairs is broadcast to the sets; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 CACHE_WORDS = 100_000
@@ -278,8 +278,8 @@ def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: b
         if at.isEmpty():  # every bucket holds one component: no pair is left
             break
         if turn < LEADER_ROUNDS:
-            # In turn the least node of the bucket, of its last component, and of its first one's end.
-            pick = [F.min(F.struct("u", "label")), F.min_by(F.struct("u", "label"), F.struct("label", "u")), F.max_by(F.struct("u", "label"), F.struct("label", "u"))][turn]
+            # In turn the least node of the bucket, and of its first component by label.
+            pick = [F.min(F.struct("u", "label")), F.min_by(F.struct("u", "label"), F.struct("label", "u"))][turn]
             leader = at.groupBy("band", "value").agg(pick.alias("l"))
             pairs = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).select(F.least("u", "l.u").alias("a"), F.greatest("u", "l.u").alias("b"))
         else:
