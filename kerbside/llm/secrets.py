@@ -38,7 +38,8 @@ DIGEST_DIGITS = {32, 40, 56, 64, 96, 128}
 HEX_ONLY = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: One character again and again, a number, or words joined by separators or capitals: names, not keys.
-NAME = re.compile(r"(?:(.)\1*|[0-9_-]+|[A-Za-z]?[a-z]{2,}(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}(?![0-9])))*[_/+=-]*)\Z")
+#: No part gives back what it took, so a run is read once.
+NAME = re.compile(r"(?:(.)\1*|[0-9_-]+|[A-Za-z]?[a-z]{2,}+(?:[_/+=-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+(?![0-9])))*+[_/+=-]*)\Z")
 
 
 def known_name(run: str) -> bool:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -115,6 +116,14 @@ def test_random_runs_are_found_and_names_are_not(spark):
     assert all(all(s[0] == "hex" for s in v) for k, v in got.items() if k > 1)
 
 
+def test_long_slugs_are_read_once():
+    slugs = ["com/blog/" + "-".join(["words"] * 13) + "-12345", "com/blog/" + "-".join(["words"] * 13) + "-A", "abcd" * 9 + "12345"]
+    started = time.monotonic()
+    assert all(secrets.random_spans(s, library(), secrets.CHARS_PER_TOKEN) == [] for s in slugs[:2])
+    secrets.random_spans(slugs[2], library(), secrets.CHARS_PER_TOKEN)
+    assert time.monotonic() - started < 5
+
+
 def test_redaction_replaces_every_span(spark, odd, empty):
     text = "a token = 'abcdefghijklmnop' b " + "9f" * 8 + " c"
     out = secrets.redact(secrets.scan(frame(spark, [(1, text)]), RANKS, public_tokenizers.PATTERN), "#").first().text
