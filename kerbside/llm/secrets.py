@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 A random string costs a subword vocabulary many tokens: it gets few characters out of each. Runs of
-key characters with a low ratio are reported, after digests and identifiers that are known not to be
-secrets are left out. The patterns' own spans always stay.
+key characters with a low ratio are reported; separators, digests, UUIDs and numbers, which are known not to be
+secrets, do not count. The patterns' own spans always stay.
 
 Defined results: a null text scans as an empty one; an empty text has no spans; a repeated row is
 scanned again; other columns pass through. Texts are scanned whole, one at a time, with no shuffle.
@@ -27,6 +27,8 @@ from kerbside.llm.common import map_arrow, text_first, with_columns
 CHARS_PER_TOKEN = 2.2
 #: Shortest run that the method judges.
 LEAST_RUN = 20
+#: Fewest characters of it outside separators, UUIDs, digests and numbers.
+LEAST_KEY = 12
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -36,15 +38,16 @@ RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 #: Digest lengths in hex digits (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_DIGITS = {32, 40, 56, 64, 96, 128}
 HEX_ONLY = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
-UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-#: One character again and again, a number, or words joined by separators or capitals: names, not keys.
-#: No part gives back what it took, so a run is read once.
-NAME = re.compile(r"(?:(.)\1*|[0-9_-]+|[A-Za-z]?[a-z]{2,}+(?:[_/+=-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+(?![0-9])))*+[_/+=-]*)\Z")
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
+#: What lies between separators.
+PART = re.compile(r"[A-Za-z0-9]+")
+#: One character again and again, a number or a time.
+NUMBER = re.compile(r"(?:(.)\1*|[0-9]+(?:T[0-9]+)?Z?)\Z")
 
 
-def known_name(run: str) -> bool:
-    """A digest of known length, a UUID, a number or a name made of words."""
-    return bool((len(run) in DIGEST_DIGITS and HEX_ONLY.match(run)) or UUID.match(run) or NAME.match(run))
+def fixed(part: str) -> bool:
+    """A digest of known length or a number."""
+    return bool((len(part) in DIGEST_DIGITS and HEX_ONLY.match(part)) or NUMBER.match(part))
 
 
 @lru_cache(2)
@@ -62,9 +65,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
+def parts(run: str, encoding) -> list[tuple[int, int, list[int]]]:
+    """(start, end, characters of each token) of the parts that may be random: no separators, UUIDs, digests or numbers."""
+    open_run = UUID.sub(lambda m: "-" * len(m[0]), run)
+    return [(m.start(), m.end(), [len(t) for t in encoding.decode_tokens_bytes(encoding.encode_ordinary(m[0]))]) for m in PART.finditer(open_run) if not fixed(m[0])]
+
+
+def gains(part: tuple[int, int, list[int]], ratio: float) -> list[float]:
+    """By how many characters each token falls short of the ratio. A part of one token is a word and never short."""
+    start, end, sizes = part
+    return [min(0.0, ratio - sizes[0])] if len(sizes) == 1 and end - start > 1 else [ratio - n for n in sizes]
+
+
 def random_spans(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
-    """Runs that cost many tokens. A long run of words is no candidate: it is cheap."""
-    return [(m.start(), 3, m.end()) for m in RUN.finditer(text) if not known_name(m[0]) and len(m[0]) < ratio * len(encoding.encode_ordinary(m[0]))]
+    """Runs that cost many tokens. Only the vocabulary judges letters: common words are cheap."""
+    found = []
+    for m in RUN.finditer(text):
+        judged = parts(m[0], encoding)
+        if sum(e - s for s, e, _ in judged) >= LEAST_KEY and sum(sum(gains(p, ratio)) for p in judged) > 0:
+            found.append((m.start(), 3, m.end()))
+    return found
 
 
 def scan(df: DataFrame, ranks_path: str, pattern: str, ratio: float = CHARS_PER_TOKEN, text: str = "text") -> DataFrame:

@@ -116,6 +116,14 @@ def test_random_runs_are_found_and_names_are_not(spark):
     assert all(all(s[0] == "hex" for s in v) for k, v in got.items() if k > 1)
 
 
+def test_letters_are_judged_by_the_vocabulary():
+    spans = lambda text: secrets.random_spans(text, library(), secrets.CHARS_PER_TOKEN)
+    for key in ("xkqzvbnwjhgfdsrtplmc", "kq72xv9mzpt384hwbn51", "XKQZVBNWJHGFDSRTPLMC"):
+        assert spans(f"use {key} now") == [(4, 3, 24)]
+    for name in ("com/blog/2024/01/15/the-title-of-this-page-12345", "btn-xs-ml-2-mr-2-pt-3-pb-4-md-6", "backup-2024-01-15T12-30-00Z", "internationalization", "MAXIMUM_VALUE_EXCEEDED_ERROR", "img/123e4567-e89b-12d3-a456-426614174000/d41d8cd98f00b204e9800998ecf8427e"):
+        assert spans(name) == []
+
+
 def test_long_slugs_are_read_once():
     slugs = ["com/blog/" + "-".join(["words"] * 13) + "-12345", "com/blog/" + "-".join(["words"] * 13) + "-A", "abcd" * 9 + "12345"]
     started = time.monotonic()
