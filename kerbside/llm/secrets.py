@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,22 +26,24 @@ from kerbside.llm.common import map_arrow, text_first, with_columns
 
 #: Characters for each token below which a run counts as random.
 CHARS_PER_TOKEN = 2.2
-#: Shortest run that the method judges.
+#: Shortest run that is judged as one, and fewest letters of a plain word that are judged inside a run.
 LEAST_RUN = 20
-#: Fewest characters of it outside separators, UUIDs, digests and numbers.
+#: Fewest characters judged at all, without separators, UUIDs, digests and numbers.
 LEAST_KEY = 12
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_KEY},}}")
 #: Digest lengths in hex digits (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_DIGITS = {32, 40, 56, 64, 96, 128}
 HEX_ONLY = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 UUID = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
 #: What lies between separators.
 PART = re.compile(r"[A-Za-z0-9]+")
+#: Letters of one case, or a capital before small ones: a word may look so, and rare ones cost many tokens.
+PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)\Z")
 #: One character again and again, a number or a time.
 NUMBER = re.compile(r"(?:(.)\1*|[0-9]+(?:T[0-9]+)?Z?)\Z")
 
@@ -77,13 +80,63 @@ def gains(part: tuple[int, int, list[int]], ratio: float) -> list[float]:
     return [min(0.0, ratio - sizes[0])] if len(sizes) == 1 and end - start > 1 else [ratio - n for n in sizes]
 
 
+def short_windows(tokens: list[tuple[int, int, int, float]], least: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of all windows that fall short, of tokens (start, end, characters that count, gain), without tokens at their ends that do not.
+
+    From each token on, the shortest window of `least` characters that count; and all tokens.
+    """
+    k, held, gain = 0, 0, 0.0
+    windows = [(0, len(tokens), sum(t[3] for t in tokens))] if sum(t[2] for t in tokens) >= least else []
+    for j, token in enumerate(tokens):
+        held, gain = held + token[2], gain + token[3]
+        while held - tokens[k][2] >= least:
+            held, gain, k = held - tokens[k][2], gain - tokens[k][3], k + 1
+        if held >= least:
+            windows.append((k, j + 1, gain))
+    for k, end, gain in windows:
+        if gain > 1e-9:
+            while tokens[k][3] <= 0:
+                k += 1
+            while tokens[end - 1][3] <= 0:
+                end -= 1
+            yield tokens[k][0], tokens[end - 1][1]
+
+
+def random_parts(run: str, judged: list[tuple[int, int, list[int]]], ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of whole parts of a run that hold a window below the ratio, so that words beside a key do not hide it."""
+    mixed, found = [], []
+    for part in judged:
+        at, tokens, plain = part[0], [], bool(PLAIN.match(run[part[0] : part[1]]))
+        for n, gain in zip(part[2], gains(part, ratio), strict=True):
+            tokens.append((at, at + n, n, gain))
+            at += n
+        if plain and part[1] - part[0] >= LEAST_RUN:
+            found += short_windows(tokens, LEAST_RUN)
+        mixed += [(s, e, 0, min(0.0, g)) for s, e, _, g in tokens] if plain else tokens
+    found += short_windows(mixed, LEAST_KEY)
+    starts, ends = [s for s, _, _ in judged], [e for _, e, _ in judged]
+    out: list[tuple[int, int]] = []
+    for s, e in sorted({(starts[bisect_right(starts, s) - 1], ends[bisect_left(ends, e)]) for s, e in found}):
+        while run[e : e + 1] == "=":  # base64's padding
+            e += 1
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def random_spans(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
-    """Runs that cost many tokens. Only the vocabulary judges letters: common words are cheap."""
+    """Runs that cost many tokens, else their parts that do. Only the vocabulary judges letters: common words are cheap."""
     found = []
     for m in RUN.finditer(text):
         judged = parts(m[0], encoding)
-        if sum(e - s for s, e, _ in judged) >= LEAST_KEY and sum(sum(gains(p, ratio)) for p in judged) > 0:
+        if sum(e - s for s, e, _ in judged) < LEAST_KEY:
+            continue
+        if len(m[0]) >= LEAST_RUN and sum(sum(gains(p, ratio)) for p in judged) > 0:
             found.append((m.start(), 3, m.end()))
+        else:
+            found += [(m.start() + s, 3, m.start() + e) for s, e in random_parts(m[0], judged, ratio)]
     return found
 
 

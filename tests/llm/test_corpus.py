@@ -124,6 +124,18 @@ def test_letters_are_judged_by_the_vocabulary():
         assert spans(name) == []
 
 
+def test_words_beside_a_key_do_not_hide_it():
+    found = lambda text: [text[a:b] for a, _, b in secrets.random_spans(text, library(), secrets.CHARS_PER_TOKEN)]
+    words = "international/organization/administration/documentation"
+    for key in ("q7Zx9KfP2vLw8RtY3mNbXc5d", "q7Zx9KfP2vLw", "kq72xv9mzpt384", "xkqzvbnwjhgfdsrtplmc", "q7Zx9KfP2vLw8RtY3mNbXQ=="):
+        assert found(f"{words}/{key}") == [key] and found(f"{words}/{key}/{words}") == [key]
+    assert found("international" * 3 + "q7Zx9KfP2vLw8RtY") == ["international" * 3 + "q7Zx9KfP2vLw8RtY"]
+    assert found(f"{words}/q7Zx9Kf+P2vLw8/R4t") == ["q7Zx9Kf+P2vLw8/R4t"]
+    assert found("id q7Zx9KfP2vLw") == ["q7Zx9KfP2vLw"] and found("id q7Zx9KfP2vL") == []
+    for name in (words, "SomeLongCamelCaseIdentifier", "whederlyblend", f"{words}/2024-01-15T12-30-00Z", "lib/x86_64-linux-gnu/python3", "win32x64setup", f"{words}/123e4567-e89b-12d3-a456-426614174000/x"):
+        assert found(name) == []
+
+
 def test_long_slugs_are_read_once():
     slugs = ["com/blog/" + "-".join(["words"] * 13) + "-12345", "com/blog/" + "-".join(["words"] * 13) + "-A", "abcd" * 9 + "12345"]
     started = time.monotonic()
