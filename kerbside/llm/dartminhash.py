@@ -257,7 +257,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: bool) -> DataFrame:
-    """The kept columns, id, tk, class_id and first."""
+    """The kept columns, id, tk, class_id, first, and whether the text has words and so a class."""
     keyed = df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tk": text_key(F.col(text))})
     signed = stage(sign_documents(keyed.select(F.col("_id").alias("id"), F.col("_tk").alias("tk"), F.col(text).cast("string").alias("text")), weighted), "signed")
     u = F.struct("id", "tk").alias("u")
@@ -294,14 +294,19 @@ def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: b
     out = keyed.select(*keep, "_id", "_tk").join(smaller(stage(named, "classes")), ["_id", "_tk"], "left")
     first = (F.col("_c").isNull()) | ((F.col("_id") == F.col("_c.id")) & (F.col("_tk") == F.col("_c.tk")))
     class_id = F.coalesce("_c.id", "_id")
-    return out.select(*keep, "_id", "_tk", F.when(class_id != NO_ID, class_id).alias("class_id"), first.alias("first"))
+    return out.select(*keep, "_id", "_tk", F.when(class_id != NO_ID, class_id).alias("class_id"), first.alias("first"), F.col("_c").isNotNull().alias("_classed"))
 
 
 def classes(df: DataFrame, text: str = "text", keep: list[str] | None = None, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """The kept columns (doc_id by default), class_id and first (the class's first document, one row of it)."""
-    return classed(df, text, ["doc_id"] if keep is None else keep, least, weighted).drop("_id", "_tk")
+    return classed(df, text, ["doc_id"] if keep is None else keep, least, weighted).drop("_id", "_tk", "_classed")
 
 
 def representatives(df: DataFrame, text: str = "text", least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """The rows of df that stand for their classes; of identical rows one."""
-    return classed(df, text, df.columns, least, weighted).where("first").dropDuplicates(["_id", "_tk"]).select(*df.columns)
+    """The rows of df that stand for their classes; of rows of one class with one doc_id and text one.
+
+    Texts without words have no class and are told apart by all columns.
+    """
+    found = classed(df, text, df.columns, least, weighted).where("first")
+    wordless = F.when(~F.col("_classed"), F.struct(*df.columns))
+    return found.withColumn("_row", wordless).dropDuplicates(["_id", "_tk", "_row"]).select(*df.columns)

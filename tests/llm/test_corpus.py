@@ -298,6 +298,12 @@ def test_classes_equal_brute_force(spark, odd, empty, monkeypatch, rounds):
     assert dartminhash.representatives(empty).count() == 0
 
 
+def test_wordless_rows_without_an_id_all_stay(spark):
+    rows = [(None, None, "a"), (None, "", "b"), (None, "", "b"), (None, "  ", "a"), (1, None, "a"), (1, "x y", "a"), (1, "x y", "b")]
+    out = dartminhash.representatives(frame(spark, rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 5 and {tuple(r) for r in out} >= {rows[0], rows[1], rows[3], rows[4]}
+
+
 # 7 URL lists
 
 
