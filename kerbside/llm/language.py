@@ -134,12 +134,13 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample: the `rows` rows of the least hashes, each of at most SAMPLE_TEXT_CHARS."""
+    """Fit on a bounded sample: the `rows` texts of the least hashes, each once for a language and of at most SAMPLE_TEXT_CHARS."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_TEXT_CHARS))
     hashed = usable.select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(F.lit("language"), F.col(text)).alias("o"))
     # First the hash that ends the sample, so that no task sends more texts than the sample holds.
-    last = hashed.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
-    sample = [] if last is None else hashed.where(F.col("o") <= last).orderBy("o", "y").limit(rows).collect()
+    # A text counts once, or one that is copied often would take the whole sample.
+    last = hashed.select("o", "y").distinct().orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    sample = [] if last is None else hashed.where(F.col("o") <= last).dropDuplicates(["o", "y"]).orderBy("o", "y").limit(rows).collect()
     return fit([(r.t, r.y) for r in sample])
 
 

@@ -333,6 +333,14 @@ def test_languages_are_told_apart_on_held_out_rows(spark, odd):
     assert {r.lang_pred for r in language.predict(odd, language.fit([])).collect()} == {"und"}
 
 
+def test_a_copied_text_counts_once_in_the_sample(spark):
+    hash_of = lambda t: spark.range(1).select(F.xxhash64(F.lit("language"), F.lit(t))).first()[0]
+    copied = min((f"the words of page {k}" for k in range(30)), key=hash_of)
+    others = [t for t in (f"die worte der seite {k}" for k in range(30)) if hash_of(t) > hash_of(copied)][:10]
+    model = language.train(frame(spark, [(copied, "en")] * 50 + [(t, "de") for t in others], "text string, lang string"), rows=8)
+    assert model.languages == ["de", "en"]
+
+
 def test_chain_finds_toxic_rows_it_has_not_seen():
     dice = random.Random(8)
     clean = ["".join(dice.choice("aeioubcd") for _ in range(4)) for _ in range(80)]
