@@ -10,10 +10,13 @@ windows always share an anchor at the same offset, and one anchor stands for a w
    is a merge sort whose comparisons find the common extension of two suffixes by binary search over
    prefix polynomial hashes; neighbours' extensions are verified byte by byte. Windows are equal when
    their suffixes share enough after the anchor and their bytes before it are the same.
-3. anchors in very many different spans (found in a sample of documents, which decides where rows go but
-   not what is found) are not sorted in one place: their windows are dealt by their own hashes.
+3. anchors in very many different spans. A sample of documents shows such anchors; a window takes one only
+   when it holds no other gram, so few spans meet there. What still meets in numbers that one sort should
+   not hold, known from the sample or not, is dealt by its windows.
 
-Bytes are compared in case 2; cases 1 and 3 rely on two 64-bit hashes over different bases.
+The sample decides where rows go, not what is found. Polynomial hashes pick anchors and order suffixes;
+they never decide equality alone: bytes are compared in case 2, and in cases 1 and 3, whose bytes lie in
+different tasks, 128-bit BLAKE2b digests of the bytes are.
 
 Defined results: texts are UTF-8 bytes, a null one is empty; documents are ordered by doc_id (a null one
 first), those of one doc_id by a hash of their text, and identical rows are one document that comes
@@ -22,27 +25,29 @@ back for each; a text shorter than WIDTH keeps everything; an empty table gives
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import flat, map_arrow, stage, text_key
 
 WIDTH, GRAM = 100, 20
-#: One document in so many is looked at for anchors to deal by window. Hot is an anchor with more than one
-#: of HOT_SHARE of the sample's spans (or a quarter of a partition), and HOT_IN_SAMPLE at least.
-SAMPLED, HOT_IN_SAMPLE, HOT_SHARE, MOST_HOT = 64, 16, 4096, 50_000
+#: One document in so many is looked at for hot grams: those in HOT_IN_SAMPLE documents of the sample at
+#: least that make up more than one in HOT_SHARE of all its grams; so there are no more than HOT_SHARE.
+SAMPLED, HOT_IN_SAMPLE, HOT_SHARE = 256, 8, 1 << 16
 GROUP_BYTES, PIECE_BYTES = 1 << 18, 1 << 20
-#: Spans that are sorted at once.
-SORT_SPANS = 16_000
+#: Spans that are sorted at once, and spans whose windows are digested at once.
+SORT_SPANS, WINDOW_SPANS = 16_000, 2_000
+#: Bits of a look-up of hot anchors: the table is a first sieve, so that few grams are searched for.
+SIEVE_BITS = 20
 
 U = np.uint64
-#: Odd bases of the polynomial hashes and multipliers of the mixing step.
-BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
+#: Odd base of the polynomial hashes and multipliers of the mixing step.
+BASE = 0x5851F42D4C957F2D
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 NO_ID = -(1 << 63)
 
@@ -67,14 +72,14 @@ class Powers:
                 setattr(self, name, np.multiply.accumulate(powers, out=powers))
 
 
-POWERS = [Powers(b) for b in BASES]
+POWERS = Powers(BASE)
 
 
 class Hashes:
     """Prefix polynomial hashes of a buffer: the hash of any slice in two look-ups."""
 
-    def __init__(self, data: np.ndarray, which: int = 0) -> None:
-        self.powers = POWERS[which]
+    def __init__(self, data: np.ndarray) -> None:
+        self.powers = POWERS
         self.powers.reach(len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, U)
         np.cumsum((data.astype(U) + U(1)) * self.powers.down[: len(data)], out=self.prefix[1:])
@@ -108,17 +113,51 @@ def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield group
 
 
-def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Of every span: the text's number, anchor and span hash, anchor position, first and last window start."""
-    out: dict[str, list[np.ndarray]] = {c: [] for c in ("text", "h", "h2", "p", "s0", "s1")}
+class Hot:
+    """The hashes of hot anchors: whether each of many hashes is one."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(hashes)
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[self.place(self.hashes)] = True
+
+    @staticmethod
+    def place(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> U(64 - SIEVE_BITS)).astype(np.int64)
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Indices of the hashes that are hot."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        maybe = np.flatnonzero(self.sieve[self.place(hashes)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        return maybe[self.hashes[at] == hashes[maybe]]
+
+
+def digests_of(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit digest of each slice."""
+    made = b"".join(blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    both = np.frombuffer(made, U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def anchors(texts: list[bytes], hot: Hot) -> dict[str, np.ndarray]:
+    """Of every span: the text's number, anchor hash, digest, anchor position, first and last window start.
+
+    Hot grams come after all others, whatever their hashes.
+    """
+    out: dict[str, list[np.ndarray]] = {c: [] for c in ("text", "h", "d1", "d2", "p", "s0", "s1")}
     for group in pieces(texts):
-        data = np.frombuffer(b"".join(g[2] for g in group), np.uint8)
+        whole = b"".join(g[2] for g in group)
+        data = np.frombuffer(whole, np.uint8)
         ends = np.cumsum([len(g[2]) for g in group])
-        one, two = Hashes(data), Hashes(data, 1)
+        one = Hashes(data)
         at = np.arange(len(data) - GRAM + 1)
         grams = mix(one.slices(at, at + GRAM))
         # The position in the low bits makes ties go left. 24 bits are enough for a group.
-        least = sliding_min(grams & U(0xFFFFFFFFFF000000) | at.astype(U), WIDTH - GRAM + 1)
+        key = grams >> U(1) & U(0x7FFFFFFFFF000000) | at.astype(U)
+        key[hot.among(grams)] |= U(1 << 63)
+        least = sliding_min(key, WIDTH - GRAM + 1)
         p, s = (least & U(0xFFFFFF)).astype(np.int64), at[: len(least)]
         piece = np.searchsorted(ends, s, side="right")
         inside = s + WIDTH <= ends[piece]
@@ -131,10 +170,12 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
         offset = np.array([g[1] for g in group])[piece] - begin
         out["text"].append(np.array([g[0] for g in group])[piece])
         out["h"].append(grams[p])
-        out["h2"].append(mix(two.slices(s0, s1 + WIDTH) + mix((p - s0).astype(U) << U(32) | (s1 - s0).astype(U))))
+        d1, d2 = digests_of(whole, s0, s1 + WIDTH)
+        out["d1"].append(d1)
+        out["d2"].append(d2)
         for c, v in (("p", p), ("s0", s0), ("s1", s1)):
             out[c].append(v + offset)
-    return {c: flat(v, np.int64 if c not in ("h", "h2") else U) for c, v in out.items()}
+    return {c: flat(v, np.int64 if c not in ("h", "d1", "d2") else U) for c, v in out.items()}
 
 
 def order_of(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -269,25 +310,46 @@ def columns(**c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.view(kind.get(v.dtype, v.dtype))) for v in c.values()], names=list(c))
 
 
-def find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find_spans(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[pa.RecordBatch]:
     """Spans of (did, tk, bytes); done: the batch alone shows that an earlier one is equal."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        found = anchors(texts)
+        found = anchors(batch.column(2).to_pylist(), hot)
         ids, keys = (batch.column(c).to_numpy()[found["text"]] for c in (0, 1))
         if not len(ids):
             continue
         rank = order_of(ids, keys, found["s0"])
-        first, heads = first_of_group((found["h2"], found["h"]), rank)
+        first, heads = first_of_group((found["d2"], found["d1"]), rank)
         done = rank > rank[first]
         keep = done.copy()
         keep[heads] = True
-        rows = {"h": found["h"], "h2": found["h2"], "did": ids, "tk": keys, "p": found["p"], "s0": found["s0"], "s1": found["s1"], "done": done}
+        heat = np.zeros(len(ids), bool)
+        heat[hot.among(found["h"])] = True
+        rows = {"h": found["h"], "d1": found["d1"], "d2": found["d2"], "did": ids, "tk": keys, "s0": found["s0"], "shape": packed(found["p"] - found["s0"], found["s1"] - found["s0"], heat, done)}
         yield columns(**{c: v[keep] for c, v in rows.items()})
 
 
-SPANS = "h long, h2 long, did long, tk long, p long, s0 long, s1 long, done boolean"
-REPEATS = "did long, tk long, start long, end long"
+def packed(before: np.ndarray, more: np.ndarray, hot: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """Where the anchor and the last window lie, counted from the first window, and two marks, in one small
+    number: a shuffled row is mostly hashes, and all else in it should cost next to nothing."""
+    return (before << 9 | more << 2 | hot.astype(np.int64) << 1 | done).astype(np.int32)
+
+
+SPANS = "h long, d1 long, d2 long, did long, tk long, s0 long, shape int"
+
+
+def unpacked() -> dict[str, Column]:
+    shape, s0 = F.col("shape"), F.col("s0")
+    bit = lambda k: shape.bitwiseAND(F.lit(k)) == k
+    return {"p": s0 + F.shiftright(shape, 9), "s1": s0 + F.shiftright(shape, 2).bitwiseAND(F.lit(127)), "hot": bit(2), "done": bit(1)}
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h of each different gram of each text of (bytes)."""
+    for batch in batches:
+        for group in pieces(batch.column(0).to_pylist()):
+            for _, _, part in group:
+                one, at = Hashes(np.frombuffer(part, np.uint8)), np.arange(len(part) - GRAM + 1)
+                yield columns(h=np.unique(mix(one.slices(at, at + GRAM))))
 
 
 def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,17 +371,40 @@ CUT = "h long, hot boolean, did long, tk long, p long, s0 long, s1 long, span bi
 CUT_ARROW = pa.schema([("h", pa.int64()), ("hot", pa.bool_()), ("did", pa.int64()), ("tk", pa.int64()), ("p", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("span", pa.binary())])
 
 
+FOUND = "did long, tk long, start long, end long, w1 long, w2 long"
+
+
+def found_rows(did: np.ndarray, tk: np.ndarray, start: np.ndarray, end: np.ndarray, w1: np.ndarray | None = None, w2: np.ndarray | None = None) -> pa.RecordBatch:
+    """Repeats, or windows with their digests that may be."""
+    none = pa.nulls(len(did), pa.int64())
+    digest = [none if w is None else pa.array(w.view(np.int64)) for w in (w1, w2)]
+    return pa.RecordBatch.from_arrays([*(pa.array(v) for v in (did, tk, start, end)), *digest], names=["did", "tk", "start", "end", "w1", "w2"])
+
+
 def sort_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among spans that arrive in the order of their anchors' hashes."""
+    """Repeats among spans that arrive in the order of their anchors' hashes.
+
+    An anchor that alone has more than SORT_SPANS spans gives its windows, so no more than twice that
+    many spans are held.
+    """
     held: list[pa.RecordBatch] = []
+    over: int | None = None
 
     def found(table: pa.Table) -> pa.RecordBatch:
         did, tk, p, s0, s1 = (table[c].to_numpy() for c in ("did", "tk", "p", "s0", "s1"))
         most, fewest = repeated_windows(table["span"].to_pylist(), p - s0, p - s1, order_of(did, tk, p))
         hit = most >= 0
-        return columns(did=did[hit], tk=tk[hit], start=(p - most)[hit], end=(p - fewest + WIDTH)[hit])
+        return found_rows(did[hit], tk[hit], (p - most)[hit], (p - fewest + WIDTH)[hit])
 
     for batch in batches:
+        h = batch.column(0).to_numpy()
+        if over is not None:
+            more = int(np.searchsorted(h, over, side="right"))
+            yield from cut_windows(iter([batch.slice(0, more)]))
+            batch, h = batch.slice(more), h[more:]
+            if not len(h):
+                continue
+            over = None
         held.append(batch)
         if sum(b.num_rows for b in held) >= SORT_SPANS:
             table = pa.Table.from_batches(held)
@@ -327,36 +412,46 @@ def sort_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
             if cut:
                 yield found(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
+            held = table.slice(cut).combine_chunks().to_batches()
+            if len(h) - cut >= SORT_SPANS:
+                over = int(h[-1])
+                yield from cut_windows(iter(held))
+                held = []
     if held and sum(b.num_rows for b in held):
         yield found(pa.Table.from_batches(held))
 
 
-WINDOWS = "w long, w2 long, did long, tk long, s long, done boolean"
+def runs_of(did: np.ndarray, tk: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """did, tk, start and end of the runs of bytes under windows that start at each place."""
+    order = np.lexsort((start, tk, did))
+    did, tk, start = did[order], tk[order], start[order]
+    new = np.ones(len(start), bool)
+    new[1:] = (did[1:] != did[:-1]) | (tk[1:] != tk[:-1]) | (start[1:] > start[:-1] + WIDTH)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1 if len(start) else first
+    return did[first], tk[first], start[first], start[last] + WIDTH
 
 
 def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both hashes of every window of the spans; done as in find_spans."""
+    """Windows of the spans with their digests; those that repeat an earlier one of the batch, as runs."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        for lo in range(0, len(table), 2_000):
-            part = table.slice(lo, 2_000)
+        for lo in range(0, len(table), WINDOW_SPANS):
+            part = table.slice(lo, WINDOW_SPANS)
             spans = part["span"].to_pylist()
             did, tk, s0, s1 = (part[c].to_numpy() for c in ("did", "tk", "s0", "s1"))
-            data = np.frombuffer(b"".join(spans), np.uint8)
             begin = np.cumsum([len(s) for s in spans]) - [len(s) for s in spans]
             n = s1 - s0 + 1
             row = np.repeat(np.arange(len(spans)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = begin[row] + step
-            w, w2 = (mix(Hashes(data, k).slices(at, at + WIDTH)) for k in (0, 1))
-            rows = {"w": w, "w2": w2, "did": did[row], "tk": tk[row], "s": s0[row] + step}
-            rank = order_of(rows["did"], rows["tk"], rows["s"])
-            first, heads = first_of_group((w2, w), rank)
+            w1, w2 = digests_of(b"".join(spans), at, at + WIDTH)
+            did, tk, start = did[row], tk[row], s0[row] + step
+            rank = order_of(did, tk, start)
+            first, heads = first_of_group((w2, w1), rank)
             done = rank > rank[first]
-            keep = done.copy()
-            keep[heads] = True
-            yield columns(**{c: v[keep] for c, v in (rows | {"done": done}).items()})
+            yield found_rows(*runs_of(did[done], tk[done], start[done]))
+            yield found_rows(did[heads], tk[heads], start[heads], start[heads] + WIDTH, w1[heads], w2[heads])
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,35 +475,37 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], k) for c, k in kinds.items())], names=["doc_id", *kinds])
 
 
-def hot_anchors(documents: DataFrame) -> DataFrame:
-    """Anchor hashes that many different spans of the sample have: where rows go, not what is found."""
-    sample = documents.where(F.pmod(F.xxhash64("did", "tk"), F.lit(SAMPLED)) == 0)
-    spans = stage(map_arrow(sample, find_spans, SPANS).where(~F.col("done")).groupBy("h").agg(F.count("*").alias("n")), "anchors")
-    total = spans.agg(F.sum("n")).first()[0] or 0
-    share = max(HOT_SHARE, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spans.where(F.col("n") >= max(HOT_IN_SAMPLE, total / share)).orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h")
+def hot_grams(documents: DataFrame) -> np.ndarray:
+    """Hashes of the grams in many documents of the sample: where rows go, not what is found."""
+    sample = documents.where(F.pmod(F.xxhash64("did", "tk"), F.lit(SAMPLED)) == 0).select("bytes")
+    grams = stage(map_arrow(sample, count_grams, "h long").groupBy("h").agg(F.count("*").alias("n")), "grams")
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    # At most HOT_SHARE rows: each has more than that share of them all.
+    hot = grams.where(F.col("n") >= max(HOT_IN_SAMPLE, total / HOT_SHARE)).select("h").toArrow()
+    return hot["h"].to_numpy().view(U)
 
 
 def find_repeats(documents: DataFrame) -> DataFrame:
     """Runs (did, tk, start, end) of repeated bytes of documents (did, tk, bytes), some overlapping."""
-    hot = hot_anchors(documents).withColumn("hot", F.lit(True))
-    spans = map_arrow(documents, find_spans, SPANS).join(F.broadcast(hot), "h", "left").withColumn("hot", F.col("hot").isNotNull())
+    hot = documents.sparkSession.sparkContext.broadcast(hot_grams(documents))
+    spans = map_arrow(documents, lambda batches: find_spans(batches, Hot(hot.value)), SPANS)
     # A span that is done needs no group any more; a hot anchor's spans only meet their equals.
-    to = F.when(F.col("done"), F.xxhash64("did", "s0")).when(F.col("hot"), F.xxhash64("h", "h2")).otherwise(F.col("h"))
-    dealt = spans.withColumn("to", to)
-    equal, near = Window.partitionBy("to", "h", "h2", "done").orderBy("did", "tk", "s0"), Window.partitionBy("to")
-    ranked = dealt.repartition("to").withColumn("first", F.rank().over(equal) == 1)
-    ranked = ranked.withColumn("others", F.min("h2").over(near) != F.max("h2").over(near))
+    shape = unpacked()
+    to = F.when(shape["done"], F.xxhash64("did", "s0")).when(shape["hot"], F.col("d1")).otherwise(F.col("h"))
+    equal, near = Window.partitionBy("to", "h", "d1", "d2", "done").orderBy("did", "tk", "s0"), Window.partitionBy("to")
+    ranked = spans.repartition(to).withColumns({"to": to, "done": shape["done"]}).withColumn("first", F.rank().over(equal) == 1)
+    ranked = ranked.withColumn("others", F.min("d1").over(near) != F.max("d1").over(near))
     repeat = F.col("done") | ~F.col("first")
-    told = stage(ranked.where(repeat | F.col("others") | F.col("hot")).select("h", "hot", "did", "tk", "p", "s0", "s1", repeat.alias("repeat")), "spans")
+    told = stage(ranked.withColumns(shape).where(repeat | F.col("others") | F.col("hot")).select(F.when(~repeat, F.col("h")).alias("h"), "hot", "did", "tk", "p", "s0", "s1", repeat.alias("repeat")), "spans")
     wanted = told.where(~F.col("repeat")).groupBy("did", "tk").agg(F.collect_set(F.struct("h", "hot", "p", "s0", "s1")).alias("wanted"))
     cut = stage(map_arrow(documents.join(wanted, ["did", "tk"]).select("did", "tk", "bytes", "wanted"), cut_spans, CUT), "cut")
-    by_sort = map_arrow(cut.where(~F.col("hot")).repartition("h").sortWithinPartitions("h"), sort_spans, REPEATS)
-    windows = map_arrow(cut.where("hot"), cut_windows, WINDOWS).withColumn("to", F.when(F.col("done"), F.xxhash64("did", "s")).otherwise(F.col("w")))
-    earlier = F.rank().over(Window.partitionBy("to", "w", "w2", "done").orderBy("did", "tk", "s"))
-    by_window = windows.withColumn("r", earlier).where(F.col("done") | (F.col("r") > 1)).select("did", "tk", F.col("s").alias("start"), (F.col("s") + WIDTH).alias("end"))
+    by_sort = map_arrow(cut.where(~F.col("hot")).repartition("h").sortWithinPartitions("h"), sort_spans, FOUND)
+    by_window = map_arrow(cut.where("hot"), cut_windows, FOUND)
+    found = stage(by_sort.unionByName(by_window), "found")
+    earlier = F.rank().over(Window.partitionBy("w1", "w2").orderBy("did", "tk", "start"))
+    windows = found.where(F.col("w1").isNotNull()).withColumn("r", earlier).where("r > 1")
     whole = told.where("repeat").select("did", "tk", F.col("s0").alias("start"), (F.col("s1") + WIDTH).alias("end"))
-    return whole.unionByName(by_sort).unionByName(by_window)
+    return whole.unionByName(found.where(F.col("w1").isNull()).select(*whole.columns)).unionByName(windows.select(*whole.columns))
 
 
 def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
@@ -422,17 +519,3 @@ def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
 
 def digests(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[tuple[int, bytes]]) -> dict[int, tuple[int, int, str]]:
-    """The same by a table of all windows, for tests: n_removed, n_spans and kept_sha256 by doc_id."""
-    seen, out = set(), {}
-    for doc_id, data in sorted(texts):
-        gone = np.zeros(len(data) + 1, bool)
-        for s in range(len(data) - WIDTH + 1):
-            if data[s : s + WIDTH] in seen:
-                gone[s : s + WIDTH] = True
-            seen.add(data[s : s + WIDTH])
-        kept = bytes(np.frombuffer(data, np.uint8)[~gone[:-1]])
-        out[doc_id] = (int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    return out

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -183,14 +184,28 @@ def test_hosts_are_shrunk_and_joined_back(spark, empty):
 # 3 substrings
 
 
+def brute_force(texts: list[tuple[int, bytes]]) -> dict[int, tuple[int, int, str]]:
+    """The same by a table of all windows: n_removed, n_spans and kept_sha256 by doc_id."""
+    seen, out = set(), {}
+    for doc_id, data in sorted(texts):
+        gone = np.zeros(len(data) + 1, bool)
+        for s in range(len(data) - substrings.WIDTH + 1):
+            if data[s : s + substrings.WIDTH] in seen:
+                gone[s : s + substrings.WIDTH] = True
+            seen.add(data[s : s + substrings.WIDTH])
+        kept = bytes(np.frombuffer(data, np.uint8)[~gone[:-1]])
+        out[doc_id] = (int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
 def removed(spark, rows):
     got = substrings.digests(substrings.remove_repeats(frame(spark, rows))).collect()
     return {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in got}
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
-    if hot:
+@pytest.mark.parametrize("way", ["sort", "hot", "overflow"])
+def test_repeats_equal_brute_force(spark, monkeypatch, way):
+    if way == "hot":
         monkeypatch.setattr(substrings, "SAMPLED", 1)
         monkeypatch.setattr(substrings, "HOT_IN_SAMPLE", 2)
     dice = random.Random(5)
@@ -201,12 +216,42 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
         text = "".join(dice.choice("abcdefgh") for _ in range(dice.randint(0, 150))) + base[a : a + dice.randint(50, 400)] + "".join(dice.choice("ab") for _ in range(dice.randint(0, 200))) + ("a" * dice.randint(0, 300) if k % 3 == 0 else "")
         rows.append((k, text))
     rows += [(100, base), (101, base), (102, ""), (103, "short")]
-    assert removed(spark, rows) == substrings.brute_force([(i, t.encode()) for i, t in rows])
+    want = brute_force([(i, t.encode()) for i, t in rows])
+    if way == "overflow":  # in one process, so that the small limits hold in it
+        docs = sorted((i, t.encode()) for i, t in rows)
+        assert overflown(docs, monkeypatch) == {i: w[0] for i, w in want.items()}
+        return
+    assert removed(spark, rows) == want
+
+
+def overflown(docs, monkeypatch):
+    """Bytes removed when every anchor with two spans gives its windows."""
+    monkeypatch.setattr(substrings, "SORT_SPANS", 2)
+    monkeypatch.setattr(substrings, "WINDOW_SPANS", 3)
+    data = dict(docs)
+    batch = pa.RecordBatch.from_pydict({"did": [d[0] for d in docs], "tk": [0] * len(docs), "bytes": [d[1] for d in docs]})
+    spans = pa.Table.from_batches(list(substrings.find_spans(iter([batch]), substrings.Hot(np.zeros(0, np.uint64))))).to_pylist()
+    cover = {i: np.zeros(len(t), bool) for i, t in docs}
+    cut = []
+    for s in spans:
+        p, s1 = s["s0"] + (s["shape"] >> 9), s["s0"] + (s["shape"] >> 2 & 127)
+        if s["shape"] & 1:
+            cover[s["did"]][s["s0"] : s1 + substrings.WIDTH] = True
+        else:
+            cut.append({"h": s["h"], "hot": False, "did": s["did"], "tk": 0, "p": p, "s0": s["s0"], "s1": s1, "span": data[s["did"]][s["s0"] : s1 + substrings.WIDTH]})
+    cut = pa.Table.from_pylist(sorted(cut, key=lambda c: c["h"]), substrings.CUT_ARROW).to_batches(max_chunksize=5)
+    seen = set()
+    for r in sorted((r for b in substrings.sort_spans(iter(cut)) for r in b.to_pylist()), key=lambda r: (r["did"], r["start"])):
+        if r["w1"] is None or (r["w1"], r["w2"]) in seen:
+            cover[r["did"]][r["start"] : r["end"]] = True
+        elif r["w1"] is not None:
+            seen.add((r["w1"], r["w2"]))
+    return {i: int(c.sum()) for i, c in cover.items()}
 
 
 def test_repeats_in_one_long_text_and_odd_rows(spark, odd, empty):
     got = removed(spark, [(1, "long text " * 20000), (2, None)])
-    assert got == substrings.brute_force([(1, b"long text " * 20000), (2, b"")])
+    assert got == brute_force([(1, b"long text " * 20000), (2, b"")])
     rows = substrings.digests(substrings.remove_repeats(odd)).collect()
     assert len(rows) == len(ODD) and all(r.n_removed == 0 for r in rows if r.doc_id in (1, 2, 3, 4))
     assert substrings.remove_repeats(empty).count() == 0
