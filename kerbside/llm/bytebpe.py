@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +34,6 @@ CACHE_PIECES = 250_000
 
 LETTER, NUMBER, OTHER, QUOTE, QUOTE_1, QUOTE_2, SPACE_JOINS, BLANK_ALONE, BLANK_RUN, EDGE = range(10)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, JOINING, IN_BLANKS, ONE_LEFT, TWO_LEFT = range(8)
-#: The code points that Unicode calls white space.
-WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What may follow a quotation mark in a contraction.
 SHORT_ENDS, LONG_ENDS = "stmd", ("re", "ve", "ll")
 
@@ -86,14 +83,18 @@ def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 @lru_cache(1)
 def code_point_classes() -> np.ndarray:
+    """The class of every code point, once for each worker.
+
+    Which characters are letters, numbers or blanks changes with Unicode's versions, so the library whose
+    ids are wanted says it: a pattern of the class alone picks its characters from all there are.
+    """
+    import tiktoken
+
     out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        major = unicodedata.category(chr(c))[0]
-        if major == "L":
-            out[c] = LETTER
-        elif major == "N":
-            out[c] = NUMBER
-    out[WHITE_SPACE] = BLANK_RUN
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK_RUN, r"\s")):
+        picked = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)
+        out[np.frombuffer(bytes(picked).decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
