@@ -5,7 +5,9 @@ key characters with a low ratio are reported; separators, digests, UUIDs and num
 secrets, do not count. The patterns' own spans always stay.
 
 Defined results: a null text scans as an empty one; an empty text has no spans; a repeated row is
-scanned again; other columns pass through. Texts are scanned whole, one at a time, with no shuffle.
+scanned again; other columns pass through, but for a column secret_spans, which raises ValueError. Texts
+are scanned whole, one at a time, with no shuffle, in time that grows with their length; spans that start
+together come in the order of KINDS.
 """
 
 from __future__ import annotations
@@ -140,6 +142,23 @@ def random_spans(text: str, encoding, ratio: float) -> list[tuple[int, int, int]
     return found
 
 
+def outside(found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Those of the found spans that no base span holds; both are in order of their starts."""
+    k, reach = 0, 0
+    for span in found:
+        while k < len(base) and base[k][0] <= span[0]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if span[2] > reach:
+            yield span
+
+
+def spans_of(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all spans, in order."""
+    base = base_spans(text)
+    return sorted([*base, *outside(random_spans(text, encoding, ratio), base)])
+
+
 def scan(df: DataFrame, ranks_path: str, pattern: str, ratio: float = CHARS_PER_TOKEN, text: str = "text") -> DataFrame:
     """All columns of df and `secret_spans`: kind, start and end (code points, end exclusive), in order.
 
@@ -158,10 +177,7 @@ def scan(df: DataFrame, ranks_path: str, pattern: str, ratio: float = CHARS_PER_
         for batch in batches:
             out = []
             for value in batch.column(0):
-                t = value.as_py() or ""
-                base = base_spans(t)
-                more = [s for s in random_spans(t, encoding, ratio) if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
-                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + more)])
+                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(value.as_py() or "", encoding, ratio)])
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep)
             yield with_columns(rest, keep, secret_spans=pa.array(out, arrow))
 

@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ def empty(spark):
 # 10 byte-level BPE
 
 
+@lru_cache(1)
 def library():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -55,6 +57,15 @@ def test_bpe_equals_the_library():
         assert bytebpe.decode_ids(ids, offsets, content) == text.encode()
 
 
+def test_every_code_point_has_the_librarys_class():
+    enc, content = library(), bytebpe.read_ranks(RANKS)
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for lo in range(0, len(points), 100_000):
+        texts = ["".join(f"{chr(c)}'s\0" for c in points[k : k + 1000]) for k in range(lo, min(lo + 100_000, len(points)), 1000)]
+        for text, (ids, _) in zip(texts, bytebpe.encode_texts(texts, content), strict=True):
+            assert enc.encode_ordinary(text) == ids.tolist()
+
+
 def test_bpe_rows(odd, empty):
     extra = odd.withColumns({"lang": F.lit("x"), "_text": F.lit(1)})
     coded = bytebpe.encode(extra, RANKS)
@@ -137,6 +148,55 @@ def test_words_beside_a_key_do_not_hide_it():
         assert found(name) == []
 
 
+def slow_spans(text):
+    """The contract's patterns read again, without the scanner's shortcuts, and random spans outside them."""
+    out = []
+    for kind, pattern, least in (("assign", r"""(?a)(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 0), ("access", "AKIA[A-Z0-9]+", 18), ("hex", "[0-9a-f]+", 16)):
+        at = 0
+        while m := re.compile(pattern).search(text, at):
+            at = m.end()
+            if len(m[2]) >= 12 if kind == "assign" else m.end() - m.start() >= least:
+                out.append((m.start(), ["assign", "access", "hex", "random"].index(kind), m.end()))
+    more = [s for s in secrets.random_spans(text, library(), secrets.CHARS_PER_TOKEN) if all(not (b[0] <= s[0] and s[2] <= b[2]) for b in out)]
+    return sorted(out), sorted(out + more)
+
+
+def test_the_query_equals_a_plain_reading(spark):
+    from kerbside.llm import catalog
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in catalog.op1_secrets(spark, "/root/testdata/sf0.001").collect()}
+    listed = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    assert len(got) == len(docs)
+    for d in docs:
+        base, every = slow_spans(d.text or "")
+        r = got[d.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert (r.base_sha256, r.spans) == (hashlib.sha256(listed(base).encode()).hexdigest(), listed(every))
+
+
+def test_spans_inside_base_spans_are_not_told_again():
+    dice = random.Random(12)
+    for _ in range(200):
+        base = sorted((a, dice.randint(0, 2), a + dice.randint(1, 20)) for a in (dice.randint(0, 80) for _ in range(6)))
+        found = sorted((a, 3, a + dice.randint(1, 15)) for a in (dice.randint(0, 90) for _ in range(8)))
+        assert list(secrets.outside(found, base)) == [s for s in found if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
+
+
+def test_long_runs_are_read_in_linear_time():
+    dice = random.Random(5)
+    enc = library()
+    secrets.spans_of("warm up", enc, secrets.CHARS_PER_TOKEN)
+    for signs in ("abcdefghijklmnopqrstuvwxyz", "acgt", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        text = "".join(dice.choices(signs, k=1_000_000))
+        started = time.monotonic()
+        secrets.spans_of(text, enc, secrets.CHARS_PER_TOKEN)
+        assert time.monotonic() - started < 30
+    many = "token=abcdefghijklmnop q7Zx9KfP2vLw8RtY3mNb " * 20_000
+    started = time.monotonic()
+    assert len(secrets.spans_of(many, enc, secrets.CHARS_PER_TOKEN)) == 40_000 and time.monotonic() - started < 60
+
+
 def test_long_slugs_are_read_once():
     slugs = ["com/blog/" + "-".join(["words"] * 13) + "-12345", "com/blog/" + "-".join(["words"] * 13) + "-A", "abcd" * 9 + "12345"]
     started = time.monotonic()
