@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm import bytebpe, contamination, dartminhash, language, quality, secrets, substrings, toxicity, urls, wavelet
-from kerbside.llm.common import shared_dir
+from kerbside.llm.common import new_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -69,7 +68,7 @@ FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/kerbside/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     wavelet.write_shards(table(spark, sf_dir, "documents"), path, WORD_VOCABULARY, END_ID)
     documents = wavelet.read_documents(wavelet.read_shards(spark, path))
     return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -95,8 +94,8 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 525600) AS fetched_at,
- nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host FROM pages),
-h AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM c WHERE host IS NOT NULL),
+ nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^]/?#@]*\\]|[^/?#:@]*)', 1)), '.'), '') AS host FROM pages),
+h AS (SELECT DISTINCT host, CASE WHEN regexp_matches(host, '^(\\[.*|[0-9]+([.][0-9]+){3})$') THEN [host] ELSE string_split(host, '.') END AS l FROM c WHERE host IS NOT NULL),
 s AS (SELECT host, array_to_string(list_slice(l, k, len(l)), '.') AS name FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS k FROM h)),
 n AS (SELECT DISTINCT name FROM s WHERE contains(name, '.')),
 d AS (SELECT name, k, CAST('0x' || substr(md5(name), 2 * k + 1, 2) AS INT) AS v FROM n, (SELECT unnest(range(0, 3)) AS k)),

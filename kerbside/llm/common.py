@@ -16,23 +16,41 @@ from kerbside.session import ship_package
 
 #: The most rows and bytes of one Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1024, 1 << 24
-#: Rows up to which a narrow table is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of rows up to which a table is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. Only a session without spark.checkpoint.dir gets a local one."""
+    """The folder every executor sees. A local session without spark.checkpoint.dir gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='kerbside-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path under the shared folder that no one uses yet; drop_stages() knows it."""
+    path = f"{shared_dir(spark)}/kerbside/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    staged(spark).append(path)
+    return path
+
+
+def staged(spark: SparkSession) -> list[str]:
+    """Paths this application has staged and not dropped, oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_kerbside_staged"):
+        context._kerbside_staged = []
+    return context._kerbside_staged
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema) in batches that fit a worker even when texts are long.
 
-    Lowers the session's limits on Arrow batches to BATCH_ROWS and BATCH_BYTES where they are above.
+    Lowers the session's limits on Arrow batches to BATCH_ROWS and BATCH_BYTES where they are above, and
+    leaves them so: Spark reads them when the plan runs, not when it is made.
     """
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
@@ -47,24 +65,39 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage the way checkpoint() does, but keeps columns prunable; a lost executor costs
-    no recomputation. Tables live as long as the shared folder.
+    no recomputation. Tables live until drop_stages() or as long as the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kerbside/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def smaller(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has BROADCAST_ROWS rows at most; df should be cheap to count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def row_bytes(column: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a broadcast, upwards."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 24 + F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(column, F.lit(0).cast("long"), lambda acc, v: acc + row_bytes(v, kind.elementType))
+        return 32 + F.coalesce(each, F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((row_bytes(column[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.lit(16)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete the tables that this application staged."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kerbside/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def smaller(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows have BROADCAST_BYTES at most; df should be cheap to read."""
+    size = df.agg(F.sum(sum((row_bytes(F.col(f.name), f.dataType) for f in df.schema), F.lit(32)).cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
+
+
+def drop_stages(spark: SparkSession, first: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables that this application staged, from the first-th on, but for those to keep."""
+    jvm, paths = spark.sparkContext._jvm, staged(spark)
+    for name in [p for p in paths[first:] if p not in keep]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        paths.remove(name)
 
 
 def text_first(df: DataFrame, text: str, keep: list[str]) -> DataFrame:

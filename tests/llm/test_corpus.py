@@ -424,6 +424,21 @@ def test_url_filter_judges_by_the_day(spark):
     assert all(r.kept for r in urls.judge(make(pages, "page_id int, url string, fetched_at string"), lists.limit(0)).collect())
 
 
+def test_hosts_and_ties(spark, empty):
+    day = "2024-01-05 00:00:00"
+    hosts = {"http://a@b@bad.com/x": "bad.com", "http://Bad.com./": "bad.com", "http://[2001:db8::1]:80/x": "[2001:db8::1]", "http://10.0.0.1/": "10.0.0.1", "http://u:p@sub.bad.com:8080?q@r": "sub.bad.com", "http:///x": None, "//bad.com": None, "http://bad.com/a@good.com": "bad.com", "http://...": None, "http://" + "a." * 5000 + "bad.com": "a." * 5000 + "bad.com"}
+    rows = frame(spark, [(k, u) for k, u in enumerate(hosts)], "k int, url string").select("k", "url", urls.host_of(F.col("url")).alias("h")).collect()
+    assert {r.url: r.h for r in rows} == hosts
+    lists = frame(spark, [("BAD.com.", "block", day), ("bad.com", "permit", day), ("10.0.0.1", "block", day), ("0.0.1", "block", day), ("com", "allow", day)], "name string, action string, listed_at string")
+    pages = frame(spark, [(u, "2024-02-01 00:00:00") for u in [*hosts, "http://10.9.0.0.1/", "http://10.8.0.1/", "http://x.com"]], "url string, fetched_at string")
+    got = {r.url: (r.kept, r.entry) for r in urls.judge(pages, lists).collect()}
+    assert got["http://a@b@bad.com/x"] == got["http://Bad.com./"] == got["http://u:p@sub.bad.com:8080?q@r"] == (False, "bad.com")
+    assert got["http://10.0.0.1/"] == (False, "10.0.0.1") and got["http://10.8.0.1/"] == (True, None) and got["http://x.com"] == (True, "com")
+    assert urls.judge(pages.limit(0), lists).count() == 0
+    with pytest.raises(ValueError):
+        urls.judge(pages.withColumn("hit", F.lit(1)), lists)
+
+
 # 8 language, 9 toxicity
 
 
