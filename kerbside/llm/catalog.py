@@ -35,7 +35,40 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", "shrunk_rate")
+    rates = [F.round(f"rate_{r}", 6).alias(f"rate_{r}") for r in quality.RULES]
+    return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept", *rates, "host_rule")
+
+
+def _rate_sql(rule: str) -> str:
+    """The shrunk rate of a rule, and the limit beyond which it rejects a host."""
+    m, v = f"m_{rule}", f"v_{rule}"
+    weight = f"greatest(4, coalesce({m} * (1 - {m}) / nullif({v}, 0) - 1, 1e12))"
+    return f"(f_{rule} + {m} * {weight}) / (n + {weight}) AS rate_{rule}, least(0.5, greatest(0.25, {m} + 2 * sqrt({v}))) AS limit_{rule}"
+
+
+def _prior_sql(rule: str) -> str:
+    m = f"(sum(f_{rule}) / sum(n))"
+    return f"{m} AS m_{rule}, greatest(0, coalesce((sum(f_{rule} * f_{rule} / n) - sum(n) * {m} * {m} - (count(*) - 1) * {m} * (1 - {m})) / nullif(sum(n) - count(*), 0), 0)) AS v_{rule}"
+
+
+OP2_SQL = f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+k AS (SELECT row_number() OVER () AS r, * FROM w),
+g AS (SELECT r, unnest(range(1, len(ws) - 3)) AS k, ws FROM k WHERE len(ws) >= 5),
+s AS (SELECT r, k, array_to_string(list_slice(ws, k, k + 4), ' ') AS five FROM g),
+d AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, five) AS c FROM s) WHERE c > 1),
+p AS (SELECT r, count(DISTINCT i) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + 5)) AS i FROM d) GROUP BY r),
+x AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda a: length(a))), 0) AS BIGINT) AS word_chars,
+ CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, list_filter(string_split(t, chr(10)), lambda a: regexp_matches(a, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(n_repeat_words, 0) AS n_repeat_words FROM k LEFT JOIN p USING (r)),
+m AS (SELECT * EXCLUDE ls, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines FROM x),
+f AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeated, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > n_words AS lines FROM m),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(count(*) FILTER ({r}) AS DOUBLE) AS f_{r}" for r in quality.RULES)} FROM f WHERE source IS NOT NULL GROUP BY source),
+q AS (SELECT {", ".join(map(_prior_sql, quality.RULES))} FROM h),
+j AS (SELECT source, {", ".join(map(_rate_sql, quality.RULES))} FROM h, q),
+v AS (SELECT *, CASE {" ".join(f"WHEN rate_{r} > limit_{r} THEN '{r}'" for r in quality.RULES)} END AS host_rule FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeated AS base_failed, NOT (short OR repeated) AND host_rule IS NULL AS kept, {", ".join(f"round(rate_{r}, 6) AS rate_{r}" for r in quality.RULES)}, host_rule
+FROM f LEFT JOIN v USING (source)
+"""
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,4 +176,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bytebpe": op10_bytebpe,
 }
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL}

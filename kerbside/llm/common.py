@@ -105,6 +105,16 @@ def text_first(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(keep)))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with marks added to those that the columns have already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows that share a doc_id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -1,33 +1,40 @@
 """Quality rules of documents, and of the hosts they come from.
 
-Each document is measured whole. The failures of a rule set are counted by host, a beta prior is fitted
-to all hosts' rates by moments, and a host whose shrunk failure rate is too high is rejected with all
-its documents: one bad page does not reject a small host, a thousand bad pages reject a large one.
+Each document is measured whole. For each rule the failures are counted by host; a beta prior is fitted
+to the hosts' rates by the moments of a beta-binomial, so that hosts of different sizes weigh by their
+documents and the spread that small numbers make by chance does not count; and each host's rate is
+shrunk towards the prior's mean. A host whose shrunk rate stands out is rejected with all its documents:
+one bad page does not reject a small host, a thousand bad pages reject a large one.
 
 Defined results: a null text has no words and fails; a null host is no host, so its documents are
-judged alone; repeated rows count and come back each; an empty table gives an empty result; other
-columns pass through. The host table has one row for each host; it is broadcast to the documents
-while it is small, and beyond that a hot host's rows are left to Spark's skew join.
+judged alone; repeated rows count and come back each; an empty table gives an empty result; where no
+host differs from the rest beyond chance all shrunk rates are the mean and no host is rejected; other
+columns pass through, but for the names of new ones, which raise ValueError. Texts are read whole, one
+at a time. The host table has one row for each host; it is broadcast to the documents while it is
+small, and beyond that a hot host's rows are left to Spark's skew join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import map_arrow, smaller, stage, text_first, with_columns
+from kerbside.llm.common import free_names, map_arrow, smaller, stage, text_first, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: Words in a window, and the share of repeated words beyond which a text fails.
 WINDOW, MOST_REPEATED = 5, 0.2
 LEAST_WORDS = 10
-#: A host is rejected when its shrunk failure rate is above this.
-HOST_RATE = 0.5
+#: A host is rejected when its shrunk failure rate of a rule is above the prior's mean by more than SPREADS
+#: of its standard deviations, and above HOST_FLOOR; above HOST_CEILING always.
+SPREADS, HOST_FLOOR, HOST_CEILING = 2.0, 0.25, 0.5
+#: Documents that the prior weighs as much as at least, so that one page never rejects its host.
+LEAST_WEIGHT = 4.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -74,28 +81,54 @@ def measure(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     return map_arrow(text_first(df, text, keep), run, schema)
 
 
-def base_failed():
-    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MOST_REPEATED) * F.col("n_words"))
+#: What fails a document (the first two), and what only counts against its host.
+RULES: dict[str, Callable[[], Column]] = {
+    "short": lambda: F.col("n_words") < LEAST_WORDS,
+    "repeated": lambda: 100 * F.col("n_repeat_words") > int(100 * MOST_REPEATED) * F.col("n_words"),
+    "symbols": lambda: 10 * F.col("n_symbols") > F.col("n_words"),
+    "lines": lambda: 10 * F.col("n_dup_lines") > F.col("n_words"),
+}
 
 
-def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
-    """host, n_docs, n_failed and shrunk_rate: the mean of the rate's posterior under the fitted prior.
+def base_failed() -> Column:
+    return RULES["short"]() | RULES["repeated"]()
 
-    The prior's mean is the mean rate m of the hosts and its weight k comes from their variance v:
-    k = m (1 - m) / v - 1, at least 1; with no spread at all the prior weighs as much as a host.
-    """
-    hosts = judged.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg("n_docs").alias("size"))
-    weight = F.greatest(F.lit(1.0), F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.col("size")))
-    # The prior is one row, so this join only adds two constants to each host.
-    return hosts.crossJoin(F.broadcast(prior)).select(host, "n_docs", "n_failed", ((F.col("n_failed") + F.col("m") * weight) / (F.col("n_docs") + weight)).alias("shrunk_rate"))
 
+def host_rates(measured: DataFrame, host: str, rules: list[str]) -> DataFrame:
+    """Of each host: n_docs, and for each rule the documents that fail it, the shrunk rate (the mean of the
+    rate's posterior under the fitted prior) and the limit.
 
-def judge(df: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None, host_rate: float = HOST_RATE) -> DataFrame:
-    """The kept columns and measures of every document, base_failed, its host's shrunk_rate and kept."""
+    With m the share of all documents that fail, n and r a host's documents and its rate, the sum of
+    n (r - m)^2 over K hosts of N documents is expected to be (K - 1) m (1 - m) + (N - K) v for rates
+    that vary by v. The prior's weight is m (1 - m) / v - 1, at least LEAST_WEIGHT, and beyond all numbers
+    where v is 0.
+    """
+    failed = [F.sum(RULES[r]().cast("long")).alias(f"failed_{r}") for r in rules]
+    hosts = measured.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), *failed)
+    n, m = F.col("n_docs"), {r: F.sum(f"failed_{r}") / F.sum("n_docs") for r in rules}
+    # n (r - m)^2 adds up to the sum of f^2 / n, less N m^2, for f documents that fail.
+    spread = {r: F.sum(F.col(f"failed_{r}") ** 2 / n) - F.sum(n) * m[r] ** 2 - (F.count("*") - 1) * m[r] * (1 - m[r]) for r in rules}
+    prior = hosts.agg(*(e for r in rules for e in (m[r].alias(f"m_{r}"), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(spread[r], F.sum(n) - F.count("*")), F.lit(0.0))).alias(f"v_{r}"))))
+    out = ["host", "n_docs"]
+    for r in rules:
+        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
+        weight = F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.try_divide(m * (1 - m), v) - 1, F.lit(1e12)))
+        limit = F.least(F.lit(HOST_CEILING), F.greatest(F.lit(HOST_FLOOR), m + SPREADS * F.sqrt(v)))
+        out += [f"failed_{r}", ((F.col(f"failed_{r}") + m * weight) / (n + weight)).alias(f"rate_{r}"), limit.alias(f"limit_{r}")]
+    # The prior is one row, so this join only adds constants to each host.
+    return hosts.crossJoin(F.broadcast(prior)).select(*out)
+
+
+def judge(df: DataFrame, host: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns and measures of every document, base_failed, its host's rates by rule (null without
+    a host), host_rule (the first rule that rejects the host, null if none does) and kept."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    measured = stage(measure(df, text, keep).withColumn("base_failed", base_failed()), "quality")
-    hosts = stage(host_rates(measured, host, "base_failed").select(F.col(host).alias("_host"), "shrunk_rate"), "hosts")
-    out = measured.join(smaller(hosts), F.col(host) == F.col("_host"), "left").drop("_host")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("shrunk_rate"), F.lit(0.0)) <= host_rate))
+    rates = [f"rate_{r}" for r in RULES]
+    if clash := {"base_failed", "host_rule", "kept", *rates} & set(keep):
+        raise ValueError(f"columns in the way: {sorted(clash)}")
+    (at,) = free_names(keep, "_host")
+    measured = stage(measure(df.withColumn(at, F.col(host).cast("string")), text, [*keep, at]).withColumn("base_failed", base_failed()), "quality")
+    reject = F.coalesce(*(F.when(F.col(f"rate_{r}") > F.col(f"limit_{r}"), F.lit(r)) for r in RULES))
+    hosts = stage(host_rates(measured, at, list(RULES)).select(F.col("host").alias(at), *rates, reject.alias("host_rule")), "hosts")
+    out = measured.join(smaller(hosts), at, "left")
+    return out.select(*keep, *MEASURES, "base_failed", *rates, "host_rule", (~F.col("base_failed") & F.col("host_rule").isNull()).alias("kept"))
