@@ -15,7 +15,8 @@ which loses no link between classes. Components come from min-label steps with p
 Defined results: words are runs of non-blank characters, lower-cased; a text with fewer than five words
 is one shingle; a text without words (or null) is a class of its own; documents are ordered by doc_id
 (null first) and those of one doc_id by a hash of their text; the class id is the least doc_id of the
-class; identical rows come back each; other columns pass through.
+class; identical rows come back each; other columns pass through under any name but those of the new
+ones, which raise ValueError; very long texts are read whole; a similarity of exactly the least counts.
 
 With BANDS x ROWS = 40 x 6 a pair at similarity 0.8 shares no band with probability 5e-6.
 """
@@ -31,17 +32,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kerbside.llm.common import map_arrow, smaller, stage, text_key
+from kerbside.llm.common import free_names, map_arrow, smaller, stage, text_key
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 LEADER_ROUNDS = 2
 #: For pairs that no leader decided: coordinates of a byte each, the estimate from which a pair is compared
-#: whole (4.5 standard deviations below the least similarity), and nodes of a bucket in a task's block.
+#: whole (4.5 standard deviations below the least similarity; None: every pair is), and nodes of a bucket
+#: in a task's block.
 SKETCH, DOUBT, BLOCK = 1024, 4.5, 1024
-#: Rows up to which a table of pairs is broadcast to the sets; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
 CACHE_WORDS = 100_000
 NO_ID = -(1 << 63)
 
@@ -141,78 +142,80 @@ def bands(sign: np.ndarray) -> np.ndarray:
 
 
 def sign_documents(df: DataFrame, weighted: bool) -> DataFrame:
-    """id, tk, node (a digest of the set), bands and the set's hashes (with counts if weighted) of texts with words."""
+    """at, id, tk of every row, and node (a digest of the set), bands and the set, null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             known: dict[bytes, np.ndarray] = {}
-            for k, text in enumerate(batch.column(2)):
+            for text in batch.column(3):
                 found, counts = shingles(text.as_py() or "", cache)
-                if len(found):
-                    node = hashlib.blake2b(found.tobytes() + (counts.tobytes() if weighted else b""), digest_size=16).digest()
-                    whole = np.column_stack([found, counts.astype(U)]).tobytes() if weighted else np.unique((found >> U(32)).astype(np.uint32)).tobytes()
-                    if node not in known:
-                        known[node] = bands(signature(found, counts.astype(float) if weighted else np.ones(len(found)))).view(np.int64)
-                    rows.append((k, node, known[node], whole))
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
-                names=["id", "tk", "node", "bands", "whole"],
-            )
-
-    return map_arrow(df.select("id", "tk", "text"), run, "id long, tk long, node binary, bands array<long>, whole binary")
-
-
-def stored(whole: bytes, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and weights of a stored set. A plain set is stored by 32 bits of each hash: two shingles of
-    one pair of texts fall together with probability n * n / 2**32, and then change the similarity by 1 / n."""
-    if weighted:
-        x = np.frombuffer(whole, U).reshape(-1, 2)
-        return np.ascontiguousarray(x[:, 0]), x[:, 1].astype(float)
-    x = np.frombuffer(whole, np.uint32)
-    return x, np.ones(len(x))
-
-
-def similarity(a: bytes, b: bytes, weighted: bool) -> float:
-    (x, v), (y, w) = stored(a, weighted), stored(b, weighted)
+                if not len(found):
+                    rows.append((None, None, None))
+                    continue
+                whole = packed(found, counts if weighted else np.ones(1, np.int64))
+                node = hashlib.blake2b(whole, digest_size=16).digest()
+                if node not in known:
+                    known[node] = bands(signature(found, counts.astype(float) if weighted else np.ones(len(found)))).view(np.int64)
+                rows.append((node, known[node], whole))
+            new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=["at", "id", "tk", "node", "bands", "whole"])
+
+    schema = T.StructType([*df.schema.fields[:3], *T._parse_datatype_string("node binary, bands array<long>, whole binary").fields])
+    return map_arrow(df, run, schema)
+
+
+def packed(found: np.ndarray, counts: np.ndarray) -> bytes:
+    """A set's hashes, with their weights where one is above 1, and a mark that says so."""
+    return found.tobytes() + (counts.astype(np.uint32).tobytes() + b"w" if counts.max() > 1 else b"s")
+
+
+def stored(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of a stored set."""
+    if whole[-1:] == b"s":
+        x = np.frombuffer(whole, U, len(whole) // 8)
+        return x, np.ones(len(x))
+    n = len(whole) // 12
+    return np.frombuffer(whole, U, n), np.frombuffer(whole, np.uint32, n, 8 * n).astype(float)
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    (x, v), (y, w) = stored(a), stored(b)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     both = np.minimum(v[i], w[j]).sum()
     return float(both / (v.sum() + w.sum() - both))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float, weighted: bool) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes, from a staged table, whose sets are similar enough."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("u"))
-    if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
+    ends = smaller(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("u")))
     both = sets.join(ends, "u").groupBy("a", "b").agg(F.max(F.when(F.col("u") == F.col("a"), F.col("whole"))).alias("x"), F.max(F.when(F.col("u") == F.col("b"), F.col("whole"))).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similarity(x.as_py(), y.as_py(), weighted) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return stage(map_arrow(both, run, pairs.schema), "links")
 
 
-def undecided(at: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, weighted: bool) -> DataFrame:
+def undecided(at: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs of nodes of different components in one bucket whose sketches come near the least similarity.
 
     A bucket is cut into blocks, and every pair of blocks is looked at in a task of its own, so no task
     holds a bucket and no pair leaves a task unless its sketches are alike. A pair is told in its first
     common band only.
     """
-    edge = least - DOUBT * np.sqrt(least * (1 - least) / SKETCH)
+    edge = 0.0 if DOUBT is None else least - DOUBT * np.sqrt(least * (1 - least) / SKETCH)
     rest = stage(at.select("u").distinct(), "rest")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for whole in batch.column(1):
-                x, w = stored(whole.as_py(), weighted)
-                out.append((mix(signature(mix(x.astype(U)), w, SKETCH)) >> U(56)).astype(np.uint8).tobytes())
+                x, w = stored(whole.as_py())
+                out.append((mix(signature(mix(x), w, SKETCH)) >> U(56)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["u", "sketch"])
 
     kind = rest.schema["u"].dataType.simpleString()
@@ -256,20 +259,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = now.select("u", "label")
 
 
-def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: bool) -> DataFrame:
-    """The kept columns, id, tk, class_id, first, and whether the text has words and so a class."""
-    keyed = df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tk": text_key(F.col(text))})
-    signed = stage(sign_documents(keyed.select(F.col("_id").alias("id"), F.col("_tk").alias("tk"), F.col(text).cast("string").alias("text")), weighted), "signed")
+def classed(signed: DataFrame, least: float) -> DataFrame:
+    """id, tk and the class (its first document) of every row of signed documents, which is staged."""
     u = F.struct("id", "tk").alias("u")
     # A node is the first document of its set; its copies meet here and nowhere else.
-    nodes = stage(signed.groupBy("node").agg(F.min(u).alias("u"), F.first("bands").alias("bands")), "nodes")
-    sets = signed.select(u, "whole")
+    signed_words = signed.where(F.col("node").isNotNull())
+    nodes = stage(signed_words.groupBy("node").agg(F.min(u).alias("u"), F.first("bands").alias("bands")), "nodes")
+    sets = signed_words.select(u, "whole")
     members = nodes.select("u", F.posexplode("bands").alias("band", "value"))
     lead = members.groupBy("band", "value").agg(F.min("u").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
     star = stage(members.join(lead, ["band", "value"]).select("band", "value", "a", F.col("u").alias("b")), "star")
 
     seen = stage(star.where("a != b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links = verified(seen, sets, least, weighted)
+    links = verified(seen, sets, least)
     for turn in range(LEADER_ROUNDS + 1):
         labels = components(links)
         at = star.select("band", "value", F.col("b").alias("u")).join(labels, "u", "left").withColumn("label", F.coalesce("label", "u"))
@@ -283,30 +285,53 @@ def classed(df: DataFrame, text: str, keep: list[str], least: float, weighted: b
             leader = at.groupBy("band", "value").agg(pick.alias("l"))
             pairs = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).select(F.least("u", "l.u").alias("a"), F.greatest("u", "l.u").alias("b"))
         else:
-            pairs = undecided(at, nodes, sets, least, weighted)
+            pairs = undecided(at, nodes, sets, least)
         pairs = stage(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             seen = seen.unionByName(pairs)
-            links = stage(links.unionByName(verified(pairs, sets, least, weighted)), "links")
+            links = stage(links.unionByName(verified(pairs, sets, least)), "links")
     else:
         labels = components(links)
-    named = signed.select("id", "tk", "node").join(nodes.select("node", "u"), "node").join(labels, "u", "left").select(F.col("id").alias("_id"), F.col("tk").alias("_tk"), F.coalesce("label", "u").alias("_c")).dropDuplicates(["_id", "_tk"])
-    out = keyed.select(*keep, "_id", "_tk").join(smaller(stage(named, "classes")), ["_id", "_tk"], "left")
-    first = (F.col("_c").isNull()) | ((F.col("_id") == F.col("_c.id")) & (F.col("_tk") == F.col("_c.tk")))
-    class_id = F.coalesce("_c.id", "_id")
-    return out.select(*keep, "_id", "_tk", F.when(class_id != NO_ID, class_id).alias("class_id"), first.alias("first"), F.col("_c").isNotNull().alias("_classed"))
+    named = nodes.select("node", "u").join(smaller(labels), "u", "left").select("node", F.coalesce("label", "u").alias("class"))
+    return signed.select("at", "id", "tk", "node").join(named, "node", "left").drop("node")
+
+
+def signed_documents(df: DataFrame, text: str, keep: list[str], weighted: bool) -> DataFrame:
+    """at (the kept columns), id, tk, node, bands and whole of every document, staged."""
+    at = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep))) if keep else F.struct(F.lit(1).alias("none"))
+    rows = df.select(at.alias("at"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key(F.col(text)).alias("tk"), F.col(text).cast("string").alias("text"))
+    return stage(sign_documents(rows, weighted), "signed")
 
 
-def classes(df: DataFrame, text: str = "text", keep: list[str] | None = None, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """The kept columns (doc_id by default), class_id and first (the class's first document, one row of it)."""
-    return classed(df, text, ["doc_id"] if keep is None else keep, least, weighted).drop("_id", "_tk", "_classed")
+def classes(df: DataFrame, text: str = "text", keep: list[str] | None = None, least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
+    """The kept columns (doc_id by default), class_id and first (the class's first document, one row of it).
+
+    The kept columns travel with the signatures; long ones are better joined afterwards.
+    """
+    keep = ["doc_id"] if keep is None else keep
+    if clash := {"class_id", "first"} & set(keep):
+        raise ValueError(f"columns in the way: {sorted(clash)}")
+    out = classed(signed_documents(df, text, keep, weighted), least)
+    first = F.col("class").isNull() | ((F.col("id") == F.col("class.id")) & (F.col("tk") == F.col("class.tk")))
+    class_id = F.coalesce("class.id", "id")
+    return out.select(*(F.col("at")[f"c{k}"].alias(c) for k, c in enumerate(keep)), F.when(class_id != NO_ID, class_id).alias("class_id"), first.alias("first"))
 
 
-def representatives(df: DataFrame, text: str = "text", least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+def representatives(df: DataFrame, text: str = "text", least: float = SIMILARITY, weighted: bool = True) -> DataFrame:
     """The rows of df that stand for their classes; of rows of one class with one doc_id and text one.
 
-    Texts without words have no class and are told apart by all columns.
+    Texts without words have no class and are told apart by all columns. Only keys are joined: texts
+    stay where they are, but for those whose doc_id and text come twice.
     """
-    found = classed(df, text, df.columns, least, weighted).where("first")
-    wordless = F.when(~F.col("_classed"), F.struct(*df.columns))
-    return found.withColumn("_row", wordless).dropDuplicates(["_id", "_tk", "_row"]).select(*df.columns)
+    found = stage(classed(signed_documents(df, text, [], weighted), least), "classes")
+    gone = found.where((F.col("id") != F.col("class.id")) | (F.col("tk") != F.col("class.tk"))).select("id", "tk").distinct()
+    twice = stage(found.groupBy("id", "tk").agg(F.count("*").alias("n"), F.max(F.col("class").isNotNull()).alias("has")).where("n > 1").select("id", "tk", "has"), "twice")
+    i, k, row, has = free_names(df.columns, "_id", "_tk", "_row", "_has")
+    keyed = df.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), k: text_key(F.col(text))})
+    stay = keyed.join(smaller(gone.select(F.col("id").alias(i), F.col("tk").alias(k))), [i, k], "left_anti")
+    if twice.isEmpty():
+        return stay.select(*df.columns)
+    marked = stay.join(smaller(twice.select(F.col("id").alias(i), F.col("tk").alias(k), F.col("has").alias(has))), [i, k], "left")
+    wordless = F.when(~F.col(has), F.struct(*df.columns))
+    once = marked.where(F.col(has).isNotNull()).withColumn(row, wordless).dropDuplicates([i, k, row])
+    return marked.where(F.col(has).isNull()).select(*df.columns).unionByName(once.select(*df.columns))
