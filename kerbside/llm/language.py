@@ -7,7 +7,9 @@ which a prediction should be rejected are fitted on a part of the sample that tr
 
 Defined results: a text that is null or has no letter is `und` with score 0 and is rejected; training
 leaves out null labels and such texts; with no training rows at all every text is `und`; repeated rows
-are predicted each; other columns pass through. Whole texts are read in training and prediction.
+are predicted each and count once in training; of languages with one score the first by name is told;
+other columns pass through, but for the names of new ones, which raise ValueError. Prediction reads whole
+texts of any length; training takes texts of at most SAMPLE_TEXT_CHARS, and those whole.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from kerbside.llm.common import map_arrow, text_first, with_columns
 
-#: The bound of the training sample: rows, and characters of all of them (longer texts are passed over).
+#: The bound of the training sample: rows, and characters of each (longer texts are not trained on).
 SAMPLE_ROWS, SAMPLE_TEXT_CHARS = 3_000, 20_000
 BUCKETS, DIMENSIONS = 1 << 15, 16
 EPOCHS, RATE = 4, 0.5

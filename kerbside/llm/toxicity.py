@@ -9,8 +9,9 @@ L1 term leaves words without evidence at weight zero.
 
 Defined results: a null or empty text has no features and gets each category's base rate; with no
 labelled rows every probability is 0; null labels are left out of their category; labels of repeated
-documents count each time; repeated rows are scored each; other columns pass through. Whole texts are
-read in training and scoring.
+documents count each time, within the sample's bound; repeated rows are scored each; a score at its
+threshold is positive; other columns pass through, but for the names of new ones, which raise
+ValueError. Whole texts, long ones too, are read in training and scoring.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from kerbside.llm.common import map_arrow, text_first, with_columns
 
-#: The bound of the training sample, in labelled documents.
+#: The bound of the training sample, in pairs of a label row and a document of its doc_id.
 SAMPLE_ROWS = 8_000
 BUCKETS, FOLDS, EPOCHS = 1 << 20, 4, 2
 #: Characters of the word's beginnings that are features beside the word: inflected forms share them.
@@ -137,29 +138,33 @@ def fit(categories: list[str], rows: list[np.ndarray], labels: np.ndarray, folds
 
 
 def train(documents: DataFrame, labels: DataFrame, categories: list[str], rows: int = SAMPLE_ROWS) -> Chain:
-    """Fit on the labelled documents of the least id hashes, `rows` of them at most.
+    """Fit on `rows` pairs of a label row and its document at most, those of the least hashes.
 
-    The sample's ids are bounded by that parameter, so they are broadcast to the scan of documents; the
-    texts become feature numbers where they are read.
+    First the hash that ends the sample is found, from ids alone; so only the sample's texts become
+    feature numbers, where they are read, and only those come to the driver.
     """
-    picked = labels.select(F.col("doc_id"), *(F.col(c).cast("double") for c in categories)).where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), *categories).limit(rows)
-    joined = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    named = [F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)]
+    picked = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), *named, F.xxhash64("doc_id").alias("o")).orderBy("o", *(f"y{k}" for k in range(len(named)))).limit(rows)
+    whole = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    # `rows` of a few numbers each are broadcast at most.
+    pairs = whole.select("id", F.xxhash64("id", F.length("text")).alias("p")).join(F.broadcast(picked.select("id")), "id")
+    last = pairs.select("p").orderBy("p").limit(rows).agg(F.max("p")).first()[0]
+    joined = whole.join(F.broadcast(picked.drop("o")), "id").where(F.xxhash64("id", F.length("text")) <= (0 if last is None else last)).select("id", "text", *(f"y{k}" for k in range(len(named))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             found = [np.sort(features(t.as_py(), cache)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], names=["doc_id", "f", *categories])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], names=["id", "f", *(f"y{k}" for k in range(len(categories)))])
 
-    schema = "doc_id long, f binary, " + ", ".join(f"`{c}` double" for c in categories)
-    sample = map_arrow(joined.select(F.col("doc_id").cast("long"), "text", *categories), run, schema).collect()
-    sample.sort(key=lambda r: (r.doc_id, bytes(r.f)))  # the same model whatever the partitions
-    labelled = np.array([[np.nan if r[c] is None else r[c] for c in categories] for r in sample], float).reshape(-1, len(categories))
-    folds = np.array([zlib.crc32(str(r.doc_id).encode()) % FOLDS for r in sample], int)
+    schema = "id long, f binary, " + ", ".join(f"y{k} double" for k in range(len(categories)))
+    sample = map_arrow(joined, run, schema).limit(rows).collect()
+    sample.sort(key=lambda r: (r.id, bytes(r.f)))  # the same model whatever the partitions
+    labelled = np.array([[np.nan if y is None else y for y in r[2:]] for r in sample], float).reshape(-1, len(categories))
+    folds = np.array([zlib.crc32(str(r.id).encode()) % FOLDS for r in sample], int)
     return fit(categories, [np.frombuffer(r.f, np.int32) for r in sample], labelled, folds)
 
 
-
 def score(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all by default), and p_<category> and is_<category> of each category."""
     keep = df.columns if keep is None else keep
