@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -110,6 +111,36 @@ def test_no_documents_make_no_shards(spark, empty, tmp_path):
     assert wavelet.read_documents(wavelet.read_shards(spark, str(tmp_path / "t"))).count() == 0
 
 
+# queries that SQL can express
+
+
+def as_sets(rows):
+    return sorted(map(repr, rows))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_queries_equal_their_sql(spark, monkeypatch, sf, broadcast):
+    import duckdb
+
+    from kerbside.llm import catalog, common
+
+    if not broadcast:  # what a large input does
+        if sf == "sf0.01":
+            return
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    db = duckdb.connect()
+    db.sql("SET TimeZone = 'UTC'")
+    for name in ("documents", "benchmark", "pages"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/{sf}/{name}.parquet'")
+    for name, sql in catalog.ORACLES.items():
+        want = db.sql(sql)
+        got = catalog.QUERIES[name](spark, f"/root/testdata/{sf}")
+        assert sorted(got.columns) == sorted(want.columns), name
+        columns = sorted(got.columns)
+        assert as_sets(map(tuple, got.select(*columns).collect())) == as_sets(want.select(*(f'"{c}"' for c in columns)).fetchall()), name
+
+
 # 1 secrets
 
 
@@ -232,13 +263,32 @@ def test_measures_equal_brute_force():
         assert quality.measure_text(text) == slow_measures(text)
 
 
-def test_hosts_are_shrunk_and_joined_back(spark, empty):
+def test_hosts_change_verdicts(spark, empty):
     good = "one two three four five six seven eight nine ten eleven"
-    rows = [(k, "bad", "x") for k in range(200)] + [(1000, "bad", good)] + [(k, f"h{k % 40}", good) for k in range(2000, 2400)] + [(5000, "small", "x"), (5001, None, good), (5002, None, None)]
-    got = {r.doc_id: r for r in quality.judge(frame(spark, rows, "doc_id long, source string, text string")).collect()}
-    assert not got[1000].kept and got[2000].kept and got[5001].kept and not got[5002].kept
-    assert got[0].shrunk_rate < 1 and got[5000].shrunk_rate < got[0].shrunk_rate
+    bad = [(k, "bad", "x") for k in range(200)] + [(1000 + k, "bad", good) for k in range(20)]
+    fair = [(k, f"h{k % 40}", good if k % 13 else "x") for k in range(2000, 2800)]
+    odd = [(5000, "small", "x"), (5001, None, good), (5002, None, None), (5003, "signs", good), *((k, "signs", good + " # # #") for k in range(6000, 6100))]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, bad + fair + odd, "doc_id long, source string, text string")).collect()}
+    table = {h: (r.host_rule, r.kept) for h, r in {"bad": got[1000], "h": got[2001], "small": got[5000], None: got[5001], "signs": got[5003]}.items()}
+    assert table == {"bad": ("short", False), "h": (None, True), "small": (None, False), None: (None, True), "signs": ("symbols", False)}
+    assert not got[1000].base_failed and not got[5002].kept and got[5001].rate_short is None
+    assert got[5000].rate_short < got[0].rate_short < 1
+
+
+def test_rates_without_any_spread_are_the_mean(spark):
+    singles = [(k, f"h{k}", "x" if k % 4 == 0 else "a b c d e f g h i j") for k in range(400)]
+    rows = quality.judge(frame(spark, singles, "doc_id long, source string, text string")).collect()
+    assert {round(r.rate_short, 6) for r in rows} == {0.25} and not any(r.host_rule for r in rows)
+
+
+def test_quality_rows(spark, odd, empty):
     assert quality.judge(empty.withColumn("source", F.lit("a"))).count() == 0
+    rows = quality.judge(odd.withColumns({"source": F.lit("a"), "_host": F.lit("mine"), "host": F.lit(1)})).collect()
+    assert len(rows) == len(ODD) and {r._host for r in rows} == {"mine"}
+    assert {(r.n_words, r.n_repeat_words, r.base_failed) for r in rows if r.doc_id == 6} == {(40_000, 40_000, True)}
+    for name in ("kept", "n_words", "host_rule", "base_failed", "rate_short"):
+        with pytest.raises(ValueError):
+            quality.judge(odd.withColumns({"source": F.lit("a"), name: F.lit(1)}))
 
 
 # 3 substrings
@@ -355,6 +405,10 @@ def test_contamination_equals_brute_force(spark, empty):
     found = contamination.contamination(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()
     got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in found}
     assert got == {i: slow_hits(t, items) for i, t in rows}
+    stay = contamination.clean(frame(spark, rows).withColumns({"_id": F.lit(7), "id": F.lit(8), "n": F.lit(9)}), frame(spark, items, "item_id long, text string"))
+    assert {tuple(r) for r in stay.collect()} == {(i, t, 7, 8, 9) for i, t in rows if not got[i][3]}
+    kept = contamination.contamination(frame(spark, ODD).withColumns({"_id": F.lit(7), "tk": F.lit(8), "h": F.lit(9)}), frame(spark, items, "item_id long, text string"), keep=["_id", "tk", "h"])
+    assert [tuple(r[:3]) for r in kept.collect()] == [(7, 8, 9)] * len(ODD)
     none = contamination.contamination(frame(spark, ODD), frame(spark, [], "item_id long, text string")).collect()
     assert len(none) == len(ODD) and not any(r.n_hit for r in none)
     assert contamination.contamination(empty, frame(spark, items, "item_id long, text string")).count() == 0
@@ -387,7 +441,7 @@ def test_classes_equal_brute_force(spark, odd, empty, monkeypatch, rounds):
             if k % 3:
                 t[dice.randint(0, 59)] = word()
             rows.append((len(rows), " ".join(t)))
-    got = {r.doc_id: r.class_id for r in dartminhash.classes(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.class_id for r in dartminhash.classes(frame(spark, rows), weighted=False).collect()}
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
     want = {i: i for i in sets}
     for _ in rows:
@@ -398,11 +452,52 @@ def test_classes_equal_brute_force(spark, odd, empty, monkeypatch, rounds):
     assert got == want
     if not rounds:
         return
-    out = dartminhash.representatives(odd.withColumn("id", F.lit("mine"))).collect()
-    assert len(out) == len(ODD) - 1 and {r.id for r in out} == {"mine"}
+    out = dartminhash.representatives(odd.withColumns({c: F.lit(f"my {c}") for c in ("id", "_id", "_tk", "_row", "class_id", "first", "node")})).collect()
+    assert len(out) == len(ODD) - 1 and {tuple(r[2:]) for r in out} == {("my id", "my _id", "my _tk", "my _row", "my class_id", "my first", "my node")}
+    kept = dartminhash.classes(odd.withColumns({"_id": F.lit(7), "_tk": F.lit(8)}), keep=["_id", "_tk"]).collect()
+    assert [tuple(r[:2]) for r in kept] == [(7, 8)] * len(ODD)
+    with pytest.raises(ValueError):
+        dartminhash.classes(odd.withColumn("class_id", F.lit(1)), keep=["doc_id", "class_id"])
     assert dartminhash.representatives(empty).count() == 0
 
 
+@pytest.mark.parametrize("doubt", [4.5, None])
+def test_weighted_classes_equal_brute_force(spark, monkeypatch, doubt):
+    monkeypatch.setattr(dartminhash, "LEADER_ROUNDS", 0 if doubt is None else 2)
+    monkeypatch.setattr(dartminhash, "DOUBT", doubt)
+    dice = random.Random(16)
+    rows = []
+    for _ in range(14):
+        line, more = (" ".join("".join(dice.choice("abcdefgh") for _ in range(5)) for _ in range(n)) for n in (12, 30))
+        for _ in range(dice.randint(2, 6)):
+            rows.append((len(rows), " ".join([line] * dice.randint(1, 6) + [more])))
+    bags = {i: Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in rows}
+    want = {i: i for i in bags}
+    for _ in rows:
+        for a in bags:
+            for b in bags:
+                if (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total():
+                    want[a] = want[b] = min(want[a], want[b])
+    got = {r.doc_id: r.class_id for r in dartminhash.classes(frame(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 14
+    assert {r.doc_id for r in dartminhash.representatives(frame(spark, rows)).collect()} == set(want.values())
+
+
+def test_all_of_the_smallest_table_by_brute_force(spark):
+    from kerbside.llm import catalog
+
+    bags = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        w = (r.text or "").lower().encode().split()
+        bags[r.doc_id] = Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else Counter()
+    links = [(a, b) for a in bags for b in bags if a < b and bags[a] and bags[b] and min(bags[a].total(), bags[b].total()) >= 0.8 * max(bags[a].total(), bags[b].total()) and (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total()]
+    want = {i: i for i in bags}
+    for _ in bags:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {r.doc_id: r.class_id for r in catalog.op6_dartminhash(spark, "/root/testdata/sf0.001").collect()} == want and links
+
+
 def test_wordless_rows_without_an_id_all_stay(spark):
     rows = [(None, None, "a"), (None, "", "b"), (None, "", "b"), (None, "  ", "a"), (1, None, "a"), (1, "x y", "a"), (1, "x y", "b")]
     out = dartminhash.representatives(frame(spark, rows, "doc_id long, text string, source string")).collect()
@@ -477,6 +572,35 @@ def test_chain_finds_toxic_rows_it_has_not_seen():
     assert np.mean([g == bool(y[1]) for g, y in zip(got, labels[400:], strict=True)]) > 0.97
 
 
+def test_chain_on_held_out_labels(spark):
+    """Precision and recall on labelled documents that training does not see."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    chain = toxicity.train(docs, labels.where(~held).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"])
+    rows = toxicity.score(docs.join(labels.where(held), "doc_id"), chain, keep=["doc_id", "toxic"]).collect()
+    hit = sum(r.is_toxic and r.toxic == 1 for r in rows)
+    precision, recall = hit / max(sum(r.is_toxic for r in rows), 1), hit / sum(r.toxic == 1 for r in rows)
+    print(f"toxic, held out: {len(rows)} rows, precision {precision:.3f}, recall {recall:.3f}")
+    assert precision > 0.85 and recall > 0.75
+
+
+def test_the_sample_is_bounded_and_keeps_repeated_rows(spark, monkeypatch):
+    docs = frame(spark, [(k % 10, f"word{k % 3} other") for k in range(300)])
+    labels = frame(spark, [(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda categories, rows, labelled, folds: seen.append(len(rows)))
+    toxicity.train(docs, labels, ["toxic"], rows=20)
+    toxicity.train(docs, labels, ["toxic"], rows=1000)
+    assert seen == [20, 300]
+
+
+def test_a_score_at_its_threshold_is_toxic(spark):
+    chain = toxicity.Chain(["toxic"], [toxicity.Linear(np.zeros(toxicity.BUCKETS + 1, np.float32))], [0.5])
+    rows = toxicity.score(frame(spark, [(1, "any"), (1, "any"), (2, None)]), chain).collect()
+    assert [(r.p_toxic, r.is_toxic) for r in rows] == [(0.5, True)] * 3
+
+
 def test_chain_without_labels_rejects_nothing(spark, odd, empty):
     chain = toxicity.train(odd, frame(spark, [], "doc_id long, toxic int"), ["toxic"])
     assert not any(r.is_toxic for r in toxicity.score(odd, chain).collect())
