@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm import bytebpe, catalog, contamination, dartminhash, secrets, toxicity
-from kerbside.llm.common import stage
+from kerbside.llm.common import drop_stages, stage, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark windows beyond the contract's share go."""
-    found = contamination.contamination(docs, catalog.table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    return contamination.clean(docs, catalog.table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written and read again; what it and the stages before it staged goes then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = len(staged(spark))
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
+        drop_stages(spark, first, keep=(staged(spark)[-1],))
     return STAGES[-1][1](spark, docs, sf_dir)
