@@ -188,9 +188,12 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes, from a staged table, whose sets are similar enough."""
-    ends = smaller(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("u")))
-    both = sets.join(ends, "u").groupBy("a", "b").agg(F.max(F.when(F.col("u") == F.col("a"), F.col("whole"))).alias("x"), F.max(F.when(F.col("u") == F.col("b"), F.col("whole"))).alias("y"))
+    """The pairs (a, b) of nodes, from a staged table, whose sets are similar enough.
+
+    b's set goes to a's: leaders are a's, and there are few of them.
+    """
+    leaders = smaller(stage(sets.join(smaller(pairs.select("a").distinct()), F.col("u") == F.col("a")).dropDuplicates(["a"]).select("a", F.col("whole").alias("x")), "leaders"))
+    both = sets.join(smaller(pairs), F.col("u") == F.col("b")).select("a", "b", F.col("whole").alias("y")).join(leaders, "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,12 +284,14 @@ def classed(signed: DataFrame, least: float) -> DataFrame:
             break
         if turn < LEADER_ROUNDS:
             # In turn the least node of the bucket, and of its first component by label.
-            pick = [F.min(F.struct("u", "label")), F.min_by(F.struct("u", "label"), F.struct("label", "u"))][turn]
+            pick = [F.min(F.struct("u", "label")), F.min_by(F.struct("u", "label"), F.struct("label", "u"))][turn % 2]
             leader = at.groupBy("band", "value").agg(pick.alias("l"))
-            pairs = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).select(F.least("u", "l.u").alias("a"), F.greatest("u", "l.u").alias("b"))
+            # A node is held against the leader that it meets in most buckets: the likeliest to be like it.
+            met = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).groupBy("u", F.col("l.u").alias("l")).agg(F.count("*").alias("n"))
+            pairs = met.groupBy("u").agg(F.max_by("l", F.struct("n", "l")).alias("l")).select(F.col("l").alias("a"), F.col("u").alias("b"))
         else:
-            pairs = undecided(at, nodes, sets, least)
-        pairs = stage(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+            pairs = undecided(at, nodes, sets, least).distinct()
+        pairs = stage(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             seen = seen.unionByName(pairs)
             links = stage(links.unionByName(verified(pairs, sets, least)), "links")
