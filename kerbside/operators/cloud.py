@@ -196,3 +196,8 @@ def top_roughness(points: DataFrame, by: list[str], height: str, band: float = 0
 def uniform_cap(points: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
     """`most` rows by the least hashes of their keys: the same rows whatever the partitions."""
     return points.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
+
+
+def points_of_tracks(points: DataFrame, tracks: int) -> DataFrame:
+    """Points as poses of tracks: track, k (their order in it) and place."""
+    return points.select((F.col("point_id") % tracks).alias("track"), F.col("point_id").alias("k"), "x", "y", "z")

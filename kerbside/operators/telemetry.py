@@ -11,6 +11,8 @@ from kerbside.functions.geo import azimuth_deg, circular_mean_deg, haversine_m
 WINDOW_M, LEAST_FRAMES, MOST_FRAMES = 25.0, 64, 112
 #: Metres that count as movement, and speed from which a course is believed.
 LEAST_MOVE_M, COURSE_SPEED = 3.0, 2.0
+#: Fixed value: metres between the ends of a drive from which their direction is its bearing.
+BEARING_MOVE_M = 25.0
 
 
 def ordered(*extra: str) -> Window:
@@ -55,11 +57,15 @@ def motion_summary(profile: DataFrame) -> DataFrame:
 
 
 def bearing(fixes: DataFrame) -> DataFrame:
-    """The mean course of moving fixes; without any, the direction from the first fix to the last."""
-    course = circular_mean_deg(F.when(F.col("speed") >= COURSE_SPEED, F.col("course")))
+    """The mean course of moving fixes; without any, the direction from the first fix to the last, if these
+    are farther apart than BEARING_MOVE_M and three times the middle accuracy; else null. Negative courses
+    are unknown ones."""
+    course = circular_mean_deg(F.when((F.col("speed") >= COURSE_SPEED) & (F.col("course") >= 0), F.col("course")))
     first, last = F.min_by(F.struct("lat", "lon"), F.struct("t", "event_id")), F.max_by(F.struct("lat", "lon"), F.struct("t", "event_id"))
-    g = fixes.groupBy("session_id").agg(course.alias("c"), first.alias("f"), last.alias("l"))
-    return g.select("session_id", F.coalesce("c", azimuth_deg(F.col("f.lat"), F.col("f.lon"), F.col("l.lat"), F.col("l.lon"))).alias("bearing"))
+    g = fixes.groupBy("session_id").agg(course.alias("c"), first.alias("f"), last.alias("l"), F.median("accuracy").alias("accuracy"))
+    ends = (F.col("f.lat"), F.col("f.lon"), F.col("l.lat"), F.col("l.lon"))
+    far = haversine_m(*ends) >= F.greatest(F.lit(BEARING_MOVE_M), 3 * F.col("accuracy"))
+    return g.select("session_id", F.coalesce("c", F.when(far, azimuth_deg(*ends))).alias("bearing"))
 
 
 def distance_windows(frames: DataFrame, length: float = WINDOW_M, least: int = LEAST_FRAMES) -> DataFrame:
