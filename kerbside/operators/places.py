@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.geo import haversine_m, local_metres, segment_distance
 
 #: Degrees of a grid cell for place searches.
 CELL_DEG = 0.01
+#: Fixed value: fewer metres than a degree of latitude has anywhere.
+LEAST_DEGREE_M = 110_000.0
+
+
+def around(within_m: float, lat: Column) -> Column:
+    """Steps of cells that a distance reaches, in longitude at a latitude (in latitude at 0)."""
+    reach = F.ceil(F.lit(within_m / (CELL_DEG * LEAST_DEGREE_M)) / F.greatest(F.cos(F.radians(lat)), F.lit(0.01))).cast("int")
+    return F.sequence(-reach, reach)
 
 
 def nearest_marker(positions: DataFrame, markers: DataFrame, key: str, within_m: float = 500.0) -> DataFrame:
@@ -17,10 +25,8 @@ def nearest_marker(positions: DataFrame, markers: DataFrame, key: str, within_m:
     Markers are dealt to every grid cell that their circle touches, so a position only meets those near it.
     """
     step = CELL_DEG
-    reach = max(1, int(within_m / (step * 100000.0) + 1))
-    spread = F.sequence(F.lit(-reach), F.lit(reach))
     cells = markers.select("*", F.floor(F.col("mlat") / step).alias("_i"), F.floor(F.col("mlon") / step).alias("_j"))
-    cells = cells.withColumn("_di", F.explode(spread)).withColumn("_dj", F.explode(spread))
+    cells = cells.withColumn("_di", F.explode(around(within_m, F.lit(0.0)))).withColumn("_dj", F.explode(around(within_m, F.abs("mlat") + step)))
     cells = cells.select("marker", "km", "mlat", "mlon", (F.col("_i") + F.col("_di")).alias("_i"), (F.col("_j") + F.col("_dj")).alias("_j"))
     at = positions.withColumns({"_i": F.floor(F.col("lat") / step), "_j": F.floor(F.col("lon") / step)})
     far = haversine_m(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon"))
@@ -31,15 +37,27 @@ def nearest_marker(positions: DataFrame, markers: DataFrame, key: str, within_m:
 def match_road(positions: DataFrame, vertices: DataFrame, key: str, within_m: float = 400.0) -> DataFrame:
     """Each position with the nearest road of vertices (road, ord, lat, lon), or null beyond within_m.
 
-    Roads are reference data of a fixed size; their pieces go to every position as a broadcast.
+    Road pieces are cut to lengths of a grid cell and dealt to the cells that they reach, so a position
+    only meets those near it.
     """
     o = Window.partitionBy("road").orderBy("ord")
     pieces = vertices.select("road", "ord", F.col("lat").alias("alat"), F.col("lon").alias("alon"), F.lead("lat").over(o).alias("blat"), F.lead("lon").over(o).alias("blon")).where("blat IS NOT NULL")
+    dlat, dlon = F.col("blat") - F.col("alat"), F.col("blon") - F.col("alon")
+    parts = F.greatest(F.ceil(F.greatest(F.abs(dlat), F.abs(dlon)) / CELL_DEG), F.lit(1)).cast("int")
+    cut = pieces.withColumn("_n", parts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    middle = lambda a, d: F.col(a) + d * (F.col("_k") + 0.5) / F.col("_n")
+    cut = cut.withColumns({"_i": F.floor(middle("alat", dlat) / CELL_DEG), "_j": F.floor(middle("alon", dlon) / CELL_DEG)})
+    # Half a part reaches half a cell beyond its middle's cell, so each side has one step more.
+    wide = within_m + CELL_DEG * LEAST_DEGREE_M
+    cut = cut.withColumn("_di", F.explode(around(wide, F.lit(0.0)))).withColumn("_dj", F.explode(around(wide, F.abs("alat") + CELL_DEG)))
+    cells = cut.select("road", "ord", "alat", "alon", "blat", "blon", (F.col("_i") + F.col("_di")).alias("_i"), (F.col("_j") + F.col("_dj")).alias("_j")).distinct()
     ax, ay = local_metres(F.col("alat"), F.col("alon"), F.col("lat"), F.col("lon"))
     bx, by = local_metres(F.col("blat"), F.col("blon"), F.col("lat"), F.col("lon"))
     d = segment_distance(F.lit(0.0), F.lit(0.0), ax, ay, bx, by)
-    near = positions.join(F.broadcast(pieces), F.abs(F.col("lat") - F.least("alat", "blat")) <= 1, "inner").withColumn("distance", d).where(F.col("distance") <= within_m)
-    best = near.groupBy(key).agg(F.min(F.struct("distance", "road", "ord")).alias("b"))
+    at = positions.withColumns({"_i": F.floor(F.col("lat") / CELL_DEG), "_j": F.floor(F.col("lon") / CELL_DEG)})
+    near = at.join(cells, ["_i", "_j"]).withColumn("distance", d).where(F.col("distance") <= within_m)
+    # Of roads that are equally far to a micrometre the first by name counts.
+    best = near.groupBy(key).agg(F.min(F.struct(F.round("distance", 6).alias("distance"), "road", "ord")).alias("b"))
     return positions.join(best, key, "left").select(*positions.columns, "b.road", "b.distance")
 
 

@@ -310,18 +310,23 @@ def nearest_marker(s, d):
     return out.select("event_id", "marker", "km", F.round("distance", 6).alias("distance"))
 
 
-@query()
+LOCAL = "(({p}lon - f.lon) * 111320.0 * cos(radians(f.lat)))", "(({p}lat - f.lat) * 111320.0)"
+PIECE = {f"{p}{axis}": LOCAL[k].format(p=p) for p in "ab" for k, axis in enumerate("xy")}
+ALONG = "greatest(0, least(1, (-{ax} * ({bx} - {ax}) - {ay} * ({by} - {ay})) / nullif(({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2, 0)))".format(**PIECE)
+
+
+@query(", v AS (SELECT 'R' || km % 3 AS road, km, mlat + km % 3 * 0.001::DOUBLE AS lat, mlon AS lon FROM markers), p AS (SELECT road, km AS ord, lat AS alat, lon AS alon, lead(lat) OVER o AS blat, lead(lon) OVER o AS blon FROM v WINDOW o AS (PARTITION BY road ORDER BY km)), c AS (SELECT event_id, road, ord, " + ", ".join(f"{v} AS {k}_" for k, v in PIECE.items()) + f", coalesce({ALONG}, 0) AS t FROM fixes f, p WHERE blat IS NOT NULL), g AS (SELECT *, sqrt((ax_ + t * (bx_ - ax_)) ** 2 + (ay_ + t * (by_ - ay_)) ** 2) AS m FROM c), n AS (SELECT event_id, arg_min(road, (round(m, 6), road)) AS road, min(m) AS m FROM g WHERE m <= 400 GROUP BY 1) SELECT f.event_id, road, round(round(m, 6), 3) AS distance FROM fixes f LEFT JOIN n ON n.event_id = f.event_id")
 def map_match_polyline(s, d):
-    roads = shim.markers(s, d).select(F.concat(F.lit("R"), (F.col("km") % 3).cast("string")).alias("road"), F.col("km").alias("ord"), F.col("mlat").alias("lat"), F.col("mlon").alias("lon"))
-    return places.match_road(shim.fixes(s, d).select("event_id", "lat", "lon"), roads, "event_id").select("event_id", "road", "distance")
+    roads = shim.markers(s, d).select(F.concat(F.lit("R"), (F.col("km") % 3).cast("string")).alias("road"), F.col("km").alias("ord"), (F.col("mlat") + F.col("km") % 3 * 0.001).alias("lat"), F.col("mlon").alias("lon"))
+    return places.match_road(shim.fixes(s, d).select("event_id", "lat", "lon"), roads, "event_id").select("event_id", "road", F.round("distance", 3).alias("distance"))
 
 
-STOPS = ", stops AS (SELECT c_custkey AS stop_id, c_mktsegment AS road, c_custkey * 37 % 400 / 10.0::DOUBLE AS km, -23.5::DOUBLE + c_custkey * 37 % 400 * 0.0009::DOUBLE AS lat, -46.6::DOUBLE + c_custkey % 7 * 0.0005::DOUBLE AS lon FROM customer WHERE c_acctbal > 4000)"
+STOPS = ", stops AS (SELECT c_custkey AS stop_id, c_mktsegment AS road, c_custkey * 37 % 400 / 10.0::DOUBLE AS km, -23.5::DOUBLE + c_custkey * 37 % 400 * 0.0009::DOUBLE AS lat, -46.6::DOUBLE + c_custkey % 7 * 0.0005::DOUBLE AS lon FROM customer)"
 
 
 def stops(s, d):
     km = F.col("c_custkey") * 37 % 400
-    return shim.table(s, d, "customer").where("c_acctbal > 4000").select(F.col("c_custkey").alias("stop_id"), F.col("c_mktsegment").alias("road"), (km / F.lit(10.0)).alias("km"), (F.lit(-23.5) + km * 0.0009).alias("lat"), (F.lit(-46.6) + F.col("c_custkey") % 7 * 0.0005).alias("lon"))
+    return shim.table(s, d, "customer").select(F.col("c_custkey").alias("stop_id"), F.col("c_mktsegment").alias("road"), (km / F.lit(10.0)).alias("km"), (F.lit(-23.5) + km * 0.0009).alias("lat"), (F.lit(-46.6) + F.col("c_custkey") % 7 * 0.0005).alias("lon"))
 
 
 @query(STOPS + ", p AS (SELECT a.stop_id AS a, b.stop_id AS b, " + HAVERSINE.format(a="a.", b="b.") + " AS distance FROM stops a JOIN stops b ON a.stop_id < b.stop_id AND abs(a.km - b.km) <= 4.5) SELECT a, b, round(distance, 6) AS distance FROM p WHERE distance <= 1500")
