@@ -7,10 +7,10 @@ two signatures agree in a coordinate with the probability of their weighted Jacc
 of coordinates make the buckets.
 
 Copies of one set are one node. Inside a bucket nodes are compared with leaders, not with each other:
-first each node with its least leader, then with all its buckets' leaders, then with further leaders of
-buckets that still hold several components, and only what is left after that pair by pair across
-components. Each comparison is of the whole sets. Nodes that are linked already are not compared again,
-which loses no link between classes. Components come from min-label steps with pointer jumping.
+first each node with its least leader, then, in rounds that go on while they find links, with a leader
+drawn from each bucket that still holds several components (the one met in most buckets); and only what is
+left after that pair by pair across components. Each comparison is of the whole sets. Nodes that are
+linked already are not compared again, which loses no link between classes. Components come from min-label steps with pointer jumping.
 
 Defined results: words are runs of non-blank characters, lower-cased; a text with fewer than five words
 is one shingle; a text without words (or null) is a class of its own; documents are ordered by doc_id
@@ -38,11 +38,12 @@ from kerbside.llm.common import free_names, map_arrow, smaller, stage, text_key
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
-LEADER_ROUNDS = 2
+#: Most rounds of leaders, and the share of a round's pairs that must be links for another one.
+LEADER_ROUNDS, FRUITFUL = 8, 0.06
 #: For pairs that no leader decided: coordinates of a byte each, the estimate from which a pair is compared
 #: whole (4.5 standard deviations below the least similarity; None: every pair is), and nodes of a bucket
 #: in a task's block.
-SKETCH, DOUBT, BLOCK = 1024, 4.5, 1024
+SKETCH, DOUBT, BLOCK = 1024, 4.5, 4096
 CACHE_WORDS = 100_000
 NO_ID = -(1 << 63)
 
@@ -188,12 +189,9 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes, from a staged table, whose sets are similar enough.
-
-    b's set goes to a's: leaders are a's, and there are few of them.
-    """
-    leaders = smaller(stage(sets.join(smaller(pairs.select("a").distinct()), F.col("u") == F.col("a")).dropDuplicates(["a"]).select("a", F.col("whole").alias("x")), "leaders"))
-    both = sets.join(smaller(pairs), F.col("u") == F.col("b")).select("a", "b", F.col("whole").alias("y")).join(leaders, "a").select("a", "b", "x", "y")
+    """The pairs (a, b) of nodes, from a staged table, whose sets are similar enough."""
+    ends = smaller(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("u")))
+    both = sets.join(ends, "u").groupBy("a", "b").agg(F.max(F.when(F.col("u") == F.col("a"), F.col("whole"))).alias("x"), F.max(F.when(F.col("u") == F.col("b"), F.col("whole"))).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,28 +273,38 @@ def classed(signed: DataFrame, least: float) -> DataFrame:
 
     seen = stage(star.where("a != b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = verified(seen, sets, least)
-    for turn in range(LEADER_ROUNDS + 1):
+    turn, fruitful = 0, True
+    while True:
         labels = components(links)
         at = star.select("band", "value", F.col("b").alias("u")).join(labels, "u", "left").withColumn("label", F.coalesce("label", "u"))
         mixed = at.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band", "value")
         at = stage(at.join(mixed, ["band", "value"]), "mixed")
         if at.isEmpty():  # every bucket holds one component: no pair is left
             break
-        if turn < LEADER_ROUNDS:
-            # In turn the least node of the bucket, and of its first component by label.
-            pick = [F.min(F.struct("u", "label")), F.min_by(F.struct("u", "label"), F.struct("label", "u"))][turn % 2]
-            leader = at.groupBy("band", "value").agg(pick.alias("l"))
-            # A node is held against the leader that it meets in most buckets: the likeliest to be like it.
-            met = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).groupBy("u", F.col("l.u").alias("l")).agg(F.count("*").alias("n"))
-            pairs = met.groupBy("u").agg(F.max_by("l", F.struct("n", "l")).alias("l")).select(F.col("l").alias("a"), F.col("u").alias("b"))
-        else:
+        last = turn >= LEADER_ROUNDS or not fruitful
+        if last:
             pairs = undecided(at, nodes, sets, least).distinct()
+        else:
+            # First a bucket's least node, then in each round another one of its first component. A node is
+            # held against the leader that it meets in most buckets: the likeliest to be like it.
+            order = F.struct("u") if not turn else F.struct("label", F.xxhash64(F.lit(turn), "u"), "u")
+            leader = at.groupBy("band", "value").agg(F.min_by(F.struct("u", "label"), order).alias("l"))
+            met = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).groupBy("u", F.col("l.u").alias("l")).agg(F.count("*").alias("n"))
+            best = met.groupBy("u").agg(F.max_by("l", F.struct("n", "l")).alias("l"))
+            pairs = best.select(F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")).distinct()
         pairs = stage(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
+        compared = pairs.count()
+        if compared:
             seen = seen.unionByName(pairs)
-            links = stage(links.unionByName(verified(pairs, sets, least)), "links")
-    else:
-        labels = components(links)
+            new = verified(pairs, sets, least)
+            fruitful = not turn or new.count() >= FRUITFUL * compared
+            links = stage(links.unionByName(new), "links")
+        else:
+            fruitful = False
+        turn += 1
+        if last:
+            labels = components(links)
+            break
     named = nodes.select("node", "u").join(smaller(labels), "u", "left").select("node", F.coalesce("label", "u").alias("class"))
     return signed.select("at", "id", "tk", "node").join(named, "node", "left").drop("node")
 

@@ -428,7 +428,7 @@ def test_signatures_estimate_weighted_jaccard():
         assert same == pytest.approx(want, abs=0.05)
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
+@pytest.mark.parametrize("rounds", [0, 8])
 def test_classes_equal_brute_force(spark, odd, empty, monkeypatch, rounds):
     monkeypatch.setattr(dartminhash, "LEADER_ROUNDS", rounds)
     monkeypatch.setattr(dartminhash, "BLOCK", 2)
@@ -463,7 +463,7 @@ def test_classes_equal_brute_force(spark, odd, empty, monkeypatch, rounds):
 
 @pytest.mark.parametrize("doubt", [4.5, None])
 def test_weighted_classes_equal_brute_force(spark, monkeypatch, doubt):
-    monkeypatch.setattr(dartminhash, "LEADER_ROUNDS", 0 if doubt is None else 2)
+    monkeypatch.setattr(dartminhash, "LEADER_ROUNDS", 0 if doubt is None else 8)
     monkeypatch.setattr(dartminhash, "DOUBT", doubt)
     dice = random.Random(16)
     rows = []
