@@ -43,7 +43,7 @@ def _rate_sql(rule: str) -> str:
     """The shrunk rate of a rule, and the limit beyond which it rejects a host."""
     m, v = f"m_{rule}", f"v_{rule}"
     weight = f"greatest(4, coalesce({m} * (1 - {m}) / nullif({v}, 0) - 1, 1e12))"
-    return f"(f_{rule} + {m} * {weight}) / (n + {weight}) AS rate_{rule}, least(0.5, greatest(0.25, {m} + 2 * sqrt({v}))) AS limit_{rule}"
+    return f"(f_{rule} + {m} * {weight}) / (n + {weight}) AS rate_{rule}, CASE WHEN {v} > 0 THEN least(0.5, greatest(0.25, {m} + 2 * sqrt({v}))) END AS limit_{rule}"
 
 
 def _prior_sql(rule: str) -> str:

@@ -96,7 +96,7 @@ def base_failed() -> Column:
 
 def host_rates(measured: DataFrame, host: str, rules: list[str]) -> DataFrame:
     """Of each host: n_docs, and for each rule the documents that fail it, the shrunk rate (the mean of the
-    rate's posterior under the fitted prior) and the limit.
+    rate's posterior under the fitted prior) and the limit, null where the hosts' rates do not vary.
 
     With m the share of all documents that fail, n and r a host's documents and its rate, the sum of
     n (r - m)^2 over K hosts of N documents is expected to be (K - 1) m (1 - m) + (N - K) v for rates
@@ -113,7 +113,7 @@ def host_rates(measured: DataFrame, host: str, rules: list[str]) -> DataFrame:
     for r in rules:
         m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
         weight = F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.try_divide(m * (1 - m), v) - 1, F.lit(1e12)))
-        limit = F.least(F.lit(HOST_CEILING), F.greatest(F.lit(HOST_FLOOR), m + SPREADS * F.sqrt(v)))
+        limit = F.when(v > 0, F.least(F.lit(HOST_CEILING), F.greatest(F.lit(HOST_FLOOR), m + SPREADS * F.sqrt(v))))
         out += [f"failed_{r}", ((F.col(f"failed_{r}") + m * weight) / (n + weight)).alias(f"rate_{r}"), limit.alias(f"limit_{r}")]
     # The prior is one row, so this join only adds constants to each host.
     return hosts.crossJoin(F.broadcast(prior)).select(*out)
