@@ -28,6 +28,22 @@ def evidence(targets: DataFrame, width_m: float = 10.0, default_m: float = 150.0
     return targets.groupBy("order_id").agg((F.sum(length) * width_m).alias("area_m2"), F.max("level").alias("worst"), F.count("*").alias("windows"))
 
 
+def evidence_with_centre(targets: DataFrame, width_m: float = 10.0, default_m: float = 150.0) -> DataFrame:
+    """As evidence(), the length of a target's track before its window's; and the mean of the known places."""
+    long = targets.withColumns({"end_m": F.coalesce("track_m", F.col("end_m") - F.col("start_m")), "start_m": F.lit(0.0)})
+    centre = targets.groupBy("order_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return evidence(long, width_m, default_m).join(centre, "order_id")
+
+
+def done_area(orders: DataFrame, areas: DataFrame, by: list[str], since: Column | None = None) -> DataFrame:
+    """Area and number of each group's finished orders, of those created since a time if it is given."""
+    done = F.col("status") == "done"
+    if since is not None:
+        done &= F.col("created_at").cast("timestamp") >= since
+    both = orders.join(areas.select("order_id", "area_m2"), "order_id", "left")
+    return both.groupBy(*by).agg(F.coalesce(F.sum(F.when(done, F.col("area_m2"))), F.lit(0.0)).alias("area_m2"), counted(done).alias("n_done"))
+
+
 def weekly(orders: DataFrame, created: str, weeks: int, as_of: Column) -> DataFrame:
     """Counts of the last weeks from Monday on, with the empty ones."""
     last = F.date_trunc("week", as_of)
