@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -116,28 +118,36 @@ def ransac_planes(points: DataFrame, by: str, order: str, seed: int = 1, trials:
 def connected_voxels(voxels: DataFrame, by: str) -> DataFrame:
     """Component sizes of occupied voxels (by, vx, vy, vz) with 26 neighbours each.
 
-    A group is one object's voxels and fits a task; they are walked there.
+    Neighbours meet by equal keys. Each voxel takes the least label about it and then its label's own
+    label until none changes, so an object may be larger than a task. Repeated voxels count once.
     """
-    ship_package(voxels.sparkSession)
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        left = set(map(tuple, group[["vx", "vy", "vz"]].to_numpy().tolist()))
-        total, sizes = len(left), []
-        steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
-        while left:
-            todo, size = [left.pop()], 0
-            while todo:
-                x, y, z = todo.pop()
-                size += 1
-                for i, j, k in steps:
-                    if (n := (x + i, y + j, z + k)) in left:
-                        left.remove(n)
-                        todo.append(n)
-            sizes.append(size)
-        return pd.DataFrame({by: [group[by].iloc[0]], "voxels": [total], "components": [len(sizes)], "largest_share": [max(sizes) / total]})
-
-    kind = voxels.schema[by].dataType.simpleString()
-    return voxels.groupBy(by).applyInPandas(walk, f"{by} {kind}, voxels long, components long, largest_share double")
+    node = lambda *at: F.struct(F.col(by).alias("g"), *(c.cast("long").alias(n) for n, c in zip("xyz", at, strict=True)))
+    places = [F.col(c) for c in ("vx", "vy", "vz")]
+    own = voxels.select(by, *(c.cast("long") for c in places)).distinct()
+    around = F.explode(F.array(*(node(*(c + F.lit(i) for c, i in zip(places, step, strict=True))) for step in product((-1, 0, 1), repeat=3))))
+    edges = cut(own.select(node(*places).alias("u"), around.alias("v")).join(own.select(node(*places).alias("v")), "v"))
+    labels = edges.groupBy("u").agg(F.min("v").alias("label"))
+    while True:
+        near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
+        step = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "least").alias("label"))
+        up = labels.select(F.col("u").alias("label"), F.col("label").alias("above"))
+        now = cut(step.join(up, "label").select("u", "old", F.least("label", "above").alias("label")))
+        if now.where("old != label").isEmpty():
+            break
+        labels = now.select("u", "label")
+    sizes = now.groupBy("label").agg(F.count("*").alias("n")).groupBy(F.col("label.g").alias(by))
+    return sizes.agg(F.sum("n").alias("voxels"), F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("largest_share"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, by a checkpoint in the shared folder; a local session may go without a setting."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="kerbside-"))
+    return df.checkpoint()
 
 
 def integrate_gyro(samples: DataFrame, by: str, most_gap_s: float = 0.25) -> DataFrame:

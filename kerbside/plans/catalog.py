@@ -456,10 +456,14 @@ def ransac_plane(s, d):
     return cloud.ransac_planes(shim.points(s, d).withColumn("g", F.col("point_id") % 4), "g", "point_id")
 
 
-@query()
+@query(
+    ", o AS (SELECT DISTINCT w::BIGINT AS g, floor(x / 0.1::DOUBLE)::BIGINT AS vx, floor(y / 0.1::DOUBLE)::BIGINT AS vy, floor(z / 0.1::DOUBLE)::BIGINT AS vz FROM points),"
+    " c AS (SELECT g, vx, vy, vz, label FROM (WITH RECURSIVE r AS (SELECT g, (vx, vy, vz) AS root, vx, vy, vz FROM o UNION SELECT r.g, root, o.vx, o.vy, o.vz FROM r JOIN o ON o.g = r.g AND abs(o.vx - r.vx) <= 1 AND abs(o.vy - r.vy) <= 1 AND abs(o.vz - r.vz) <= 1) SELECT g, vx, vy, vz, min(root) AS label FROM r GROUP BY 1, 2, 3, 4)),"
+    " n AS (SELECT g, label, count(*) AS n FROM c GROUP BY 1, 2) SELECT g, CAST(sum(n) AS BIGINT) AS voxels, count(*) AS components, max(n) / sum(n) AS largest_share FROM n GROUP BY 1"
+)
 def connected_voxels(s, d):
-    v = cloud.voxel_centroids(shim.points(s, d), 0.1).select((F.col("vx") % 2).alias("g"), "vx", "vy", "vz")
-    return cloud.connected_voxels(v, "g")
+    cell = lambda c: F.floor(F.col(c) / 0.1).alias(f"v{c}")
+    return cloud.connected_voxels(shim.points(s, d).select(F.col("w").cast("long").alias("g"), *map(cell, "xyz")), "g")
 
 
 @query(", b AS (SELECT DISTINCT l_suppkey AS frame, l_partkey % 500 AS pos FROM lineitem), g AS (SELECT frame, pos, pos - row_number() OVER (PARTITION BY frame ORDER BY pos) AS g FROM b) SELECT frame, min(pos) AS start, count(*) AS \"count\" FROM g GROUP BY frame, g")

@@ -169,3 +169,27 @@ def test_markers_and_roads_are_found_far_north(spark):
     roads = spark.createDataFrame([("long", 0, 10.0, 10.0), ("long", 1, 13.0, 10.0)], "road string, ord int, lat double, lon double")
     matched = {r.id: r for r in places.match_road(at, roads, "id").collect()}
     assert matched[2].road == "long" and abs(matched[2].distance - 108.7) < 1 and matched[1].road is None
+
+
+def test_expected_levels_sittings_and_readiness_of_odd_rows(spark):
+    from kerbside.operators import measures
+
+    levels = spark.createDataFrame([("a", 0.9, 3), ("a", 1.1, 3), ("b", 5.0, 9)], "o string, level double, n int")
+    wanted = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "o string, expected double")
+    near = {r.o: r.level for r in measures.level_near(levels, wanted, ["o"]).collect()}
+    assert near == {"a": 0.9, "b": None, "c": None}
+    trials = spark.createDataFrame([("a", None, 1.0), ("a", None, 1.5), ("a", 7, 3.0), ("b", 1, 2.0), ("b", 1, None)], "o string, s int, v double")
+    ranges = {r.o: (r.sittings, r.within, r.between) for r in measures.sitting_ranges(trials, "o", "s", "v").collect()}
+    assert ranges == {"a": (2, 0.5, 1.75), "b": (1, None, None)}
+    sessions = spark.createDataFrame([(1, 1), (2, 1), (3, None), (4, 0)], "session_id int, last_index int")
+    segments = spark.createDataFrame([(1, "ready"), (1, "ready"), (2, "ready"), (3, "ready")], "session_id int, state string")
+    states = {r.session_id: r.state for r in measures.readiness(sessions, segments).collect()}
+    assert states == {1: "ready", 2: "processing", 3: "processing", 4: "waiting"}
+
+
+def test_an_objects_voxels_join_over_any_length_and_repeats_count_once(spark):
+    from kerbside.operators import cloud
+
+    rows = [("long", k, k % 2, 0) for k in range(40)] + [("long", 0, 0, 0), (None, 1, 1, 1), (None, 5, 1, 1)]
+    found = {r.o: (r.voxels, r.components, r.largest_share) for r in cloud.connected_voxels(spark.createDataFrame(rows, "o string, vx int, vy int, vz int"), "o").collect()}
+    assert found == {"long": (40, 1, 1.0), None: (2, 2, 0.5)}
