@@ -12,15 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.stats import nearest_rank
+from kerbside.operators import grid
 from kerbside.session import ship_package
 
 
-def back_project(pixels: DataFrame, fx: float, fy: float, cx: float, cy: float) -> DataFrame:
-    """Camera coordinates of pixels (px, py, depth) under a pinhole camera."""
-    d = F.col("depth")
-    return pixels.withColumns({"x": (F.col("px") - cx) * d / fx, "y": (F.col("py") - cy) * d / fy, "z": d})
-
-
 def voxel_centroids(points: DataFrame, edge: float) -> DataFrame:
     """Weighted centroid and mean weight of each occupied voxel."""
     at = [F.floor(F.col(c) / edge).alias(f"v{c}") for c in "xyz"]
@@ -32,6 +27,21 @@ def weights_to_mean_one(points: DataFrame, by: list[str]) -> DataFrame:
     return points.withColumn("weight", F.col("w") / F.avg("w").over(Window.partitionBy(*by)))
 
 
+def build(pixels: DataFrame, cameras: DataFrame, lens: tuple[float, float, float, float], least_confidence: float, most_step: float, weight: str, edge: float) -> DataFrame:
+    """A cloud from depth pixels (frame, r, c, depth, conf): usable ones above their frame's floor, in the
+    world, as voxel centroids weighted by `weight` (by_none, by_rank or by_confidence), weights of mean 1.
+
+    Ranks are those among all of a frame's pixels. Two aggregations by frame, one by voxel.
+    """
+    usable = grid.with_reject(pixels, least_confidence, most_step).where("reject IS NULL").drop("reject")
+    floor = grid.floors(pixels).select("frame", "middle")
+    ranks = grid.confidence_ranks(pixels).select("frame", "r", "c", F.col(weight).alias("w"))
+    kept = usable.join(floor, "frame").where(F.col("conf") >= F.col("middle")).join(ranks, ["frame", "r", "c"])
+    voxels = voxel_centroids(grid.to_world(kept, cameras, *lens).select("x", "y", "z", "w"), edge)
+    mean = voxels.agg(F.avg("w").alias("_m"))
+    return voxels.crossJoin(mean).withColumn("weight", F.try_divide("w", F.col("_m"))).drop("_m")  # rows by one row
+
+
 def confidence_floor(pixels: DataFrame, by: str, value: str) -> DataFrame:
     """Each frame's floor: the 40th percentile of its confidences, not below 1.05 nor above the 90th."""
     floor = F.least(F.greatest(F.lit(1.05), nearest_rank(value, 0.4)), nearest_rank(value, 0.9))
@@ -205,7 +215,14 @@ def top_roughness(points: DataFrame, by: list[str], height: str, band: float = 0
 
 def uniform_cap(points: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
     """`most` rows by the least hashes of their keys: the same rows whatever the partitions."""
-    return points.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
+    return points.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(most)
+
+
+def strided(points: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
+    """Every k-th row of each group, k the least that leaves at most `most` and a part of a step."""
+    whole = Window.partitionBy(*by)
+    k = F.greatest(F.lit(1), F.floor(F.count("*").over(whole) / most))
+    return points.withColumns({"_k": k, "_i": F.row_number().over(whole.orderBy(order)) - 1}).where("_i % _k = 0").drop("_k", "_i")
 
 
 def points_of_tracks(points: DataFrame, tracks: int) -> DataFrame:

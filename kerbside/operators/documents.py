@@ -58,11 +58,30 @@ def track(positions: DataFrame, key: str, order: str) -> DataFrame:
     return g.select(key, "lat", "lon", F.size("_p").cast("long").alias("vertices"), F.when(F.size("_p") >= 2, line).alias("line"))
 
 
-def feature_collection(features: DataFrame, geometry: str, properties: list[str], order: str) -> DataFrame:
-    """One GeoJSON text of all features: for files of a page's size."""
-    feature = F.struct(F.lit("Feature").alias("type"), F.from_json(geometry, "type string, coordinates array<array<double>>").alias("geometry"), F.struct(*properties).alias("properties"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), feature.alias("f")))), lambda x: x["f"])
-    return features.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), listed.alias("features")), {"ignoreNullFields": "false"}).alias("geojson"))
+def reading_features(tracks: DataFrame, key: list[str], line: str, band: str, properties: list[str]) -> DataFrame:
+    """A row for each GeoJSON feature: the line and the band of each reading that has a line.
+
+    Properties without a value stay, as null. Written as text, a row a line, this is a file of features
+    that needs no task to hold all of them.
+    """
+    parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(g).alias("g")) for k, g in (("track", line), ("band", band))))
+    f = tracks.where(F.col(line).isNotNull()).select(*key, *(p for p in properties if p not in key), F.explode(parts).alias("_f"))
+    told = F.to_json(F.struct(*properties, F.col("_f.kind").alias("kind"), F.lit("not-ready").alias("operationalStatus")), {"ignoreNullFields": "false"})
+    text = F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce("_f.g", F.lit("null")), F.lit(',"properties":'), told, F.lit("}"))
+    return f.select(*key, F.col("_f.kind").alias("kind"), text.alias("feature"))
+
+
+def session_export(observations: DataFrame, runs: DataFrame, key: str, run: str, item: str, value: str) -> DataFrame:
+    """A JSON document for each clip (runs: key, run): its runs, and the trials of each object in each run.
+
+    Runs without observations are left out. A clip's runs are some few sittings' worth, so they fit a row.
+    """
+    scoped = observations.join(runs.select(key, run).distinct(), run)
+    n, mean, sd = F.count(value), F.avg(value), F.stddev_samp(value)
+    rows = scoped.groupBy(key, run, item).agg(n.alias("n"), F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"))
+    listed = F.sort_array(F.collect_list(F.struct(run, item, "n", "mean", "sd")))
+    g = rows.where("n > 0").groupBy(key).agg(F.sort_array(F.collect_set(run)).alias("runIds"), listed.alias("repeatability"))
+    return g.select(key, F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col(key).alias("clipKey"), "runIds", "repeatability"), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def frame_number(name: Column) -> Column:

@@ -441,14 +441,30 @@ def endpoint_tails(s, d):
     return cloud.tails(shim.points(s, d).withColumn("g", F.col("point_id") % 4), ["g"], "y", "point_id").select("point_id", "g", "tail")
 
 
-@query()
+@query(
+    ", b AS (SELECT point_id % 2 AS g, floor(y / 0.005::DOUBLE)::BIGINT AS bin, count(*) AS n FROM points GROUP BY 1, 2), p AS (SELECT *, max(n) OVER w AS most, coalesce(max(n) OVER (PARTITION BY g ORDER BY bin RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS below, quantile_cont(n, 0.5) OVER w AS middle FROM b WINDOW w AS (PARTITION BY g ORDER BY bin RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING))"
+    " SELECT g, bin, bin * 0.005::DOUBLE AS level, n FROM p WHERE n = most AND below < n AND n >= 2 * middle"
+)
 def horizontal_levels_peaks(s, d):
     return cloud.horizontal_levels(shim.points(s, d).withColumn("g", F.col("point_id") % 2), ["g"], "y")
 
 
-@query()
+def _det(*rows: str) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = (r.split() for r in rows)
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+WHOLE = _det("sxx sxz sx", "sxz szz sz", "sx sz s")
+SOLVED = {"a": _det("sxy sxz sx", "szy szz sz", "sy sz s"), "b": _det("sxx sxy sx", "sxz szy sz", "sx sy s"), "c": _det("sxx sxz sxy", "sxz szz szy", "sx sz sy")}
+
+
+@query(
+    ", q AS (SELECT point_id % 4 AS g, sum(w) AS s, sum(w * x) AS sx, sum(w * z) AS sz, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * z * z) AS szz, sum(w * x * z) AS sxz, sum(w * x * y) AS sxy, sum(w * z * y) AS szy FROM points GROUP BY 1)"
+    + f" SELECT g, {', '.join(f'round({v} / nullif({WHOLE}, 0), 6) AS {k}' for k, v in SOLVED.items())} FROM q"
+)
 def plane_lsq_refine(s, d):
-    return cloud.plane_fit(shim.points(s, d).withColumn("g", F.col("point_id") % 4), ["g"])
+    fit = cloud.plane_fit(shim.points(s, d).withColumn("g", F.col("point_id") % 4), ["g"])
+    return fit.select("g", *(F.round(c, 6).alias(c) for c in "abc"))
 
 
 @query()
@@ -599,7 +615,7 @@ def merge_observations_local_wins(s, d):
     return changes.merge_observations(o.where("order_id % 3 <> 0"), o.where("order_id % 2 = 0").withColumn("status", F.upper("status")), ["order_id"], "status")
 
 
-@query()
+@query(" SELECT * FROM points ORDER BY md5('0:' || point_id), point_id LIMIT 100")
 def uniform_cap(s, d):
     return cloud.uniform_cap(shim.points(s, d), "point_id", 100)
 
