@@ -193,3 +193,61 @@ def test_an_objects_voxels_join_over_any_length_and_repeats_count_once(spark):
     rows = [("long", k, k % 2, 0) for k in range(40)] + [("long", 0, 0, 0), (None, 1, 1, 1), (None, 5, 1, 1)]
     found = {r.o: (r.voxels, r.components, r.largest_share) for r in cloud.connected_voxels(spark.createDataFrame(rows, "o string, vx int, vy int, vz int"), "o").collect()}
     assert found == {"long": (40, 1, 1.0), None: (2, 2, 0.5)}
+
+
+def test_media_facts_of_odd_probes(spark):
+    from kerbside.operators import media
+
+    good = '{"streams":[{"width":640,"height":480,"avg_frame_rate":"30000/1001","tags":{"rotate":"-90"}}],"format":{"duration":"2.5"}}'
+    rows = [(1, good), (2, None), (3, "no json"), (4, good.replace("2.5", "NaN")), (5, good.replace("30000/1001", "30")), (6, good.replace("1001", "0"))]
+    got = {r["k"]: r for r in media.media_facts(spark.createDataFrame(rows, "k int, json string"), ["k"], "json").collect()}
+    assert (got[1]["width"], got[1]["height"], got[1]["rotation"], round(got[1]["rate"], 3)) == (480, 640, 270, 29.97)
+    assert [got[k]["fault"] for k in range(1, 7)] == [None, "no stream", "no stream", "no duration or size", None, None]
+    assert got[5]["rate"] == got[6]["rate"] == 0
+
+
+def test_frame_timeline_starts_at_its_first_frame(spark):
+    from kerbside.operators import media
+
+    frames = lambda *t: '{"frames":[' + ",".join(f'{{"best_effort_timestamp_time":"{x}","key_frame":1}}' for x in t) + "]}"
+    rows = [(1, frames("1.5", "1.5", "1.54")), (2, frames("2", "1.9")), (3, None), (4, frames("0", "x"))]
+    got = {}
+    for r in media.frame_timeline(spark.createDataFrame(rows, "k int, json string"), ["k"], "json").orderBy("k", "frame").collect():
+        got.setdefault(r["k"], []).append((r["at_ns"], r["fault"]))
+    assert got[1] == [(0, None), (0, None), (40000000, None)]
+    assert got[2] == [(None, "time runs backwards")] * 2
+    assert got[3] == [(None, "no frames")]
+    assert got[4] == [(None, "invalid time")] * 2
+
+
+def test_claims_hold_until_they_run_out(spark):
+    from kerbside.operators import claims
+
+    rows = [("a", 0, 1), ("a", 10, 2), ("a", 11, 3), ("a", 11, 4), ("a", None, 5), ("b", 7, 6)]
+    got = claims.claims(spark.createDataFrame(rows, "k string, at long, n int"), ["k"], "at", "n", 10).collect()
+    assert {r["n"]: r["fate"] for r in got} == {1: "taken", 2: "held", 3: "expired", 4: "held", 6: "taken"}
+    assert claims.claims(spark.createDataFrame([], "k string, at long, n int"), ["k"], "at", "n", 10).count() == 0
+
+
+def test_vectors_without_direction(spark):
+    from kerbside.functions import vectors
+
+    df = spark.createDataFrame([(0.0, 0.0, 0.0), (0.0, 0.0, 2.0), (None, 1.0, 0.0)], "x double, y double, z double")
+    a = vectors.vector(F.col("x"), F.col("y"), F.col("z"))
+    up = vectors.vector(F.lit(0), F.lit(0), F.lit(1))
+    none, along, unknown = df.select(vectors.unit(a).alias("u"), vectors.angle_deg(a, up).alias("d"), vectors.across(a).alias("s")).collect()
+    assert none["u"] is None and none["d"] is None and none["s"]["first"] is None
+    assert tuple(along["u"]) == (0, 0, 1) and along["d"] == 0
+    assert tuple(along["s"]["first"]) == (0, -1, 0) and tuple(along["s"]["second"]) == (1, 0, 0)
+    assert unknown["u"] is None
+
+
+def test_labels_fall_back(spark):
+    from kerbside.functions import labels
+
+    rows = [("BR", 3, "Elm", 1.0, 2.0), (" ", 3, "Elm", 1.0, 2.0), (None, None, "", 1.5, -2.25), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "road string, km int, street string, lat double, lon double")
+    got = [r[0] for r in df.select(labels.place_label(*(F.col(c) for c in df.columns))).collect()]
+    assert got == ["BR km 3", "Elm", "1.50000, -2.25000", None]
+    sizes = spark.createDataFrame([([],), (["a"],), (["a", "b", "c"],)], "l array<string>")
+    assert [r[0] for r in sizes.select(labels.places_label(F.col("l"))).collect()] == [None, "a", "a and 2 more"]
