@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bytebpe, contamination, dartminhash, language, quality, secrets, substrings, toxicity, urls, wavelet
-from kerbside.llm.common import new_path
+from kerbside.llm import bytebpe, contamination, dartminhash, language, lineruns, quality, secrets, substrings, toxicity, urls, wavelet
+from kerbside.llm.common import new_path, stage
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -164,6 +164,30 @@ def op10_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+#: Batches that the documents' files are added in.
+BATCHES = 8
+
+
+def op11_lineruns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = lineruns.LineRuns(spark, least=10)
+    for k, batch in enumerate(lineruns.file_batches(documents, BATCHES)):
+        runs.add(batch, k)
+    kept = lineruns.drop_common(documents, stage(runs.settled(), "settled"))
+    runs.drop()
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS k FROM d),
+t AS (SELECT r, k, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM t WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+s AS (SELECT r, count(*) FILTER (c.key IS NOT NULL) AS n_dropped, string_agg(line, chr(10) ORDER BY k) FILTER (c.key IS NULL) AS kept FROM t LEFT JOIN c USING (key) GROUP BY r)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN s USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -175,5 +199,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_bytebpe": op10_bytebpe,
+    "op11_lineruns": op11_lineruns,
 }
-ORACLES: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL, "op11_lineruns": OP11_SQL}
