@@ -149,10 +149,11 @@ class LineRuns:
 
 def file_batches(docs: DataFrame, most: int) -> list[DataFrame]:
     """docs by groups of its files, at most so many; all at once where no files are under it."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2:
+    if not docs.inputFiles():
         return [docs]
-    return [docs.where(F.col("_metadata.file_path").isin(files[k::most])) for k in range(min(most, len(files)))]
+    path = F.col("_metadata.file_path")  # inputFiles() writes some paths another way
+    files = sorted(r[0] for r in docs.select(path).distinct().collect())
+    return [docs.where(path.isin(files[k::most])) for k in range(min(most, len(files)))]
 
 
 def drop_common(docs: DataFrame, settled: DataFrame, text: str = "text", keep: list[str] | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:

@@ -84,6 +84,21 @@ def test_odd_rows(spark, hot_keys):
     runs.drop()
 
 
+def test_batches_of_files_hold_every_row_once(spark, tmp_path):
+    frame(spark, [(k, f"x\ny {k}") for k in range(50)]).repartition(5, "doc_id").write.parquet(f"file://{tmp_path}/docs of all")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs of all").select("doc_id", "text")
+    batches = lineruns.file_batches(docs, 3)
+    assert len(batches) == 3
+    assert sorted(r.doc_id for b in batches for r in b.collect()) == list(range(50))
+    assert all(b.count() for b in batches)
+    runs = lineruns.LineRuns(spark, least=50)
+    for k, b in enumerate(batches):
+        runs.add(b, k)
+    assert [r.n for r in runs.settled().collect()] == [50]
+    assert lineruns.file_batches(frame(spark, [(1, "a")]), 3)[0].count() == 1
+    runs.drop()
+
+
 def test_an_empty_table(spark):
     empty, runs = frame(spark, []), lineruns.LineRuns(spark)
     assert runs.settled().count() == 0
