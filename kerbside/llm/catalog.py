@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bytebpe, contamination, dartminhash, language, lineruns, quality, secrets, substrings, toxicity, urls, wavelet
+from kerbside.llm import bytebpe, centroids, contamination, dartminhash, language, lineruns, quality, secrets, substrings, toxicity, urls, wavelet
 from kerbside.llm.common import new_path, stage
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -188,6 +188,35 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce(ke
 """
 
 
+def op12_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=CENTROIDS, rounds=ROUNDS)[0]
+
+
+CENTROIDS, ROUNDS = 40, 5
+_SQUARE = "list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _round_sql(n: int) -> str:
+    """Assignment n to the centroids c{n}; but for the last, their means are c{n + 1}."""
+    found = f"a{n} AS (SELECT r, vec_id, v, i, q, s FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s, i) AS o FROM (SELECT r, vec_id, v, i, q, {_SQUARE} AS s FROM k, c{n})) WHERE o = 1)"
+    if n == ROUNDS:
+        return found
+    mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    sums = f"u{n} AS (SELECT i, d, CAST(sum(v[d]) AS BIGINT) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, 65)) AS d) GROUP BY i, d)"
+    means = f"m{n} AS (SELECT i, list({mean} ORDER BY d) AS q FROM u{n} GROUP BY i)"
+    return f"{found}, {sums}, {means}, c{n + 1} AS (SELECT i, coalesce(m{n}.q, c{n}.q) AS q FROM c{n} LEFT JOIN m{n} USING (i))"
+
+
+OP12_SQL = f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS i, v AS q FROM (SELECT v, sha256('2:' || CAST(vec_id AS VARCHAR)) AS h FROM k ORDER BY h, v LIMIT {CENTROIDS})),
+{", ".join(_round_sql(n) for n in range(ROUNDS + 1))}
+SELECT vec_id, CAST(i AS INTEGER) AS cluster, CAST(s AS BIGINT) AS distance, CAST(sum(s) OVER (PARTITION BY i) AS BIGINT) AS cluster_inertia, CAST(sum(s) OVER () AS BIGINT) AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256
+FROM a{ROUNDS}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -200,5 +229,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_bytebpe": op10_bytebpe,
     "op11_lineruns": op11_lineruns,
+    "op12_drake": op12_drake,
 }
-ORACLES: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL, "op11_lineruns": OP11_SQL}
+ORACLES: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL, "op11_lineruns": OP11_SQL, "op12_drake": OP12_SQL}
