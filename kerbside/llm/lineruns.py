@@ -97,7 +97,7 @@ class LineRuns:
         with sorted_reads(self.spark):
             fresh = line_keys(docs, text).groupBy("key").agg(F.sum("n").alias("n"))
             for run in self.runs():
-                fresh = fresh.join(self.read(run).where("settled").select("key"), "key", "left_anti")
+                fresh = fresh.join(self.read(run).where("settled").select("key").hint("merge"), "key", "left_anti")
             self.put(0, fresh)
             level = 0
             while len(self.levels[level]) >= self.fan_in:
