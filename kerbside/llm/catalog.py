@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bytebpe, centroids, contamination, dartminhash, language, lineruns, quality, secrets, substrings, toxicity, urls, wavelet
+from kerbside.llm import bytebpe, centroids, contamination, dartminhash, language, lineruns, prefixtrie, quality, secrets, substrings, toxicity, urls, wavelet
 from kerbside.llm.common import new_path, stage
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -217,6 +217,29 @@ FROM a{ROUNDS}
 """
 
 
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+OP13_SQL = """
+WITH t AS (SELECT conv_id AS c, x, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS r FROM (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+ len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+i AS (SELECT DISTINCT c, [4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)) AS b FROM t),
+g AS (SELECT c, c - c % 20 AS donor, xor(list_reduce(b, lambda a, y: list_reduce([xor(a, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 AS h FROM i),
+f AS (SELECT g.c, t.r AS d, x, w FROM g JOIN t ON t.c = g.donor AND t.r <= h),
+n AS (SELECT g.c, h, count(d) AS d0 FROM g LEFT JOIN f USING (c) GROUP BY ALL),
+p AS (SELECT c, 0 AS d, '' AS x, 0 AS w FROM g UNION ALL SELECT * FROM f UNION ALL SELECT c, d0 + t.r - h, x, w FROM n JOIN t USING (c) WHERE t.r > h),
+k AS (SELECT c, d, w, sha256(string_agg(x, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM p),
+q AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS parent, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM k),
+m AS (SELECT d, key, min(c) AS conv_id, any_value(parent) AS parent, any_value(w) AS w, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids FROM q GROUP BY d, key),
+ch AS (SELECT d - 1 AS d, parent AS key, count(*) AS n FROM m WHERE parent IS NOT NULL GROUP BY ALL),
+o AS (SELECT m.*, coalesce(ch.n, 0) AS n_children FROM m LEFT JOIN ch USING (d, key)),
+s AS (SELECT q.d, q.key, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.w) AS saved FROM o JOIN q ON q.c = o.conv_id AND q.d <= o.d GROUP BY ALL)
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(o.ids) AS ends_sha256
+FROM o JOIN s USING (d, key) LEFT JOIN m u ON u.d = o.d - 1 AND u.key = o.parent
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -230,5 +253,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bytebpe": op10_bytebpe,
     "op11_lineruns": op11_lineruns,
     "op12_drake": op12_drake,
+    "op13_prefixtrie": op13_prefixtrie,
 }
-ORACLES: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL, "op11_lineruns": OP11_SQL, "op12_drake": OP12_SQL}
+ORACLES: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op7_urls": OP7_SQL, "op11_lineruns": OP11_SQL, "op12_drake": OP12_SQL, "op13_prefixtrie": OP13_SQL}
