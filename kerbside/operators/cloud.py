@@ -91,40 +91,6 @@ def horizontal_levels(points: DataFrame, by: list[str], height: str, bin_m: floa
     return peak.where((F.col("n") == F.col("_max")) & (F.col("_low") < F.col("n")) & (F.col("n") >= prominence * F.col("_mid"))).select(*by, "bin", (F.col("bin") * bin_m).alias("level"), "n")
 
 
-def ransac_planes(points: DataFrame, by: str, order: str, seed: int = 1, trials: int = 200, band: float = 0.05, tilt: float = 0.35) -> DataFrame:
-    """A ground plane y = a x + b z + c of each group by seeded random triples, refined on its inliers.
-
-    Points are put in order first, so neither partitions nor arrival change the planes. A group is one
-    reconstruction and fits a task.
-    """
-    ship_package(points.sparkSession)
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        p, random = group[["x", "y", "z"]].to_numpy(float), np.random.default_rng(seed)
-        p = p[np.isfinite(p).all(axis=1)]
-        best, found = -1, None
-        for _ in range(trials if len(p) >= 3 else 0):
-            t = p[random.choice(len(p), 3, replace=False)]
-            m = np.column_stack([t[:, 0], t[:, 2], np.ones(3)])
-            if abs(np.linalg.det(m)) < 1e-9:
-                continue
-            plane = np.linalg.solve(m, t[:, 1])
-            if np.hypot(plane[0], plane[1]) > tilt:
-                continue
-            n = int((np.abs(p[:, 1] - p[:, [0, 2]] @ plane[:2] - plane[2]) <= band).sum())
-            if n > best:
-                best, found = n, plane
-        if found is None:
-            return pd.DataFrame({by: [group[by].iloc[0]], "a": [None], "b": [None], "c": [None], "inliers": [0]}).astype({"a": float, "b": float, "c": float})
-        near = np.abs(p[:, 1] - p[:, [0, 2]] @ found[:2] - found[2]) <= band
-        refined = np.linalg.lstsq(np.column_stack([p[near][:, [0, 2]], np.ones(near.sum())]), p[near][:, 1], rcond=None)[0] if near.sum() >= 3 else found
-        return pd.DataFrame({by: [group[by].iloc[0]], "a": [refined[0]], "b": [refined[1]], "c": [refined[2]], "inliers": [int(near.sum())]})
-
-    kind = points.schema[by].dataType.simpleString()
-    return points.groupBy(by).applyInPandas(fit, f"{by} {kind}, a double, b double, c double, inliers long")
-
-
 def connected_voxels(voxels: DataFrame, by: str) -> DataFrame:
     """Component sizes of occupied voxels (by, vx, vy, vz) with 26 neighbours each.
 

@@ -61,10 +61,35 @@ def match_road(positions: DataFrame, vertices: DataFrame, key: str, within_m: fl
     return positions.join(best, key, "left").select(*positions.columns, "b.road", "b.distance")
 
 
-def neighbour_pairs(places: DataFrame, key: str, within_m: float = 1500.0, km_apart: float = 4.5) -> DataFrame:
-    """Pairs of places (key, km, lat, lon) near each other along the road and on the map."""
-    cell = F.floor(F.col("km") / km_apart)
-    a = places.select(F.col(key).alias("a"), F.col("km").alias("km_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    b = places.select(F.col(key).alias("b"), F.col("km").alias("km_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), cell.alias("cell"))
+def nearest_of_all(positions: DataFrame, markers: DataFrame) -> DataFrame:
+    """Each position's nearest marker however far, the lowest km of equals. Markers (marker, km, mlat, mlon) are
+    a road's posts: they travel as one array."""
+    listed = markers.agg(F.array_sort(F.collect_list(F.struct("km", "marker", "mlat", "mlon"))).alias("_m"))
+    away = lambda m: F.struct(F.round(haversine_m(F.col("lat"), F.col("lon"), m["mlat"], m["mlon"]), 6).alias("distance"), m["km"].alias("km"), m["marker"].alias("marker"))
+    at = positions.crossJoin(F.broadcast(listed)).withColumn("_n", F.array_min(F.transform("_m", away)))  # by one row
+    return at.select(*positions.columns, "_n.marker", "_n.km", "_n.distance")
+
+
+def neighbour_pairs(places: DataFrame, key: str, within_m: float = 1500.0, km_apart: float = 4.5, road: str | None = None) -> DataFrame:
+    """Pairs of places (key, km, lat, lon, and their road where one is named) near each other along the road
+    and on the map.
+
+    Places meet by road, km cell and a cell of the map at least as wide as the reach (up to 89 degrees of
+    latitude), so of each place only those of nine map cells in three km cells are looked at.
+    """
+    south = within_m / 111_000.0  # no degree of latitude is shorter
+
+    def columns_of(band: Column) -> Column:
+        """Cells round the globe in a band, by the narrowest degree of longitude there or in the next ones."""
+        return F.greatest(F.lit(1), F.floor(360 / south * F.greatest(F.lit(0.01), F.cos(F.radians((F.abs(band) + 2) * south)))))
+
+    east = lambda band: F.floor((F.col("lon") + 180) / 360 * columns_of(band))
+    names, keys = ["km", "lat", "lon"], ["_road", "_along", "_band", "_east"]
+    base = places.select(F.col(key).alias("key"), *names, (F.col(road) if road else F.lit(0)).alias("_road"), F.floor(F.col("km") / km_apart).alias("_along"), F.floor(F.col("lat") / south).alias("_band"))
+    about = lambda c: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: c + k)
+    b = base.select(F.col("key").alias("b"), *(F.col(c).alias(f"{c}_b") for c in names), "_road", "_along", "_band", F.pmod(east(F.col("_band")), columns_of(F.col("_band"))).alias("_east"))
+    a = base.withColumn("_along", F.explode(about(F.col("_along")))).withColumn("_band", F.explode(about(F.col("_band"))))
+    beside = F.array_distinct(F.transform(about(east(F.col("_band"))), lambda k: F.pmod(k, columns_of(F.col("_band")))))
+    a = a.select(F.col("key").alias("a"), *(F.col(c).alias(f"{c}_a") for c in names), "_road", "_along", "_band", F.explode(beside).alias("_east"))
     far = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(b, "cell").where((F.col("a") < F.col("b")) & (F.abs(F.col("km_a") - F.col("km_b")) <= km_apart)).withColumn("distance", far).where(F.col("distance") <= within_m).select("a", "b", "distance")
+    return a.join(b, keys).where((F.col("a") < F.col("b")) & (F.abs(F.col("km_a") - F.col("km_b")) <= km_apart)).withColumn("distance", far).where(F.col("distance") <= within_m).select("a", "b", "distance")

@@ -64,35 +64,3 @@ def route_plan(stops: DataFrame, by: str) -> DataFrame:
     o = Window.partitionBy(by).orderBy("km", "stop_id")
     leg = haversine_m(F.lag("lat").over(o), F.lag("lon").over(o), F.col("lat"), F.col("lon"))
     return stops.withColumns({"position": F.row_number().over(o).cast("long"), "leg_m": F.coalesce(leg, F.lit(0.0))})
-
-
-def route_groups(candidates: DataFrame, by: str, within_m: float = 1500.0, partners: int = 2) -> DataFrame:
-    """Greedy groups along each road: the first free stop takes up to two free neighbours, the nearest first.
-
-    A road's open stops are one group, folded in one task.
-    """
-    import pandas as pd
-
-    from kerbside.session import ship_package
-
-    ship_package(candidates.sparkSession)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        g = group.sort_values(["km", "stop_id"]).reset_index(drop=True)
-        lat, lon, number = np.radians(g["lat"].to_numpy()), np.radians(g["lon"].to_numpy()), np.full(len(g), -1)
-        n = 0
-        for k in range(len(g)):
-            if number[k] >= 0:
-                continue
-            a = np.sin((lat - lat[k]) / 2) ** 2 + np.cos(lat) * np.cos(lat[k]) * np.sin((lon - lon[k]) / 2) ** 2
-            far = 2 * 6371000.0 * np.arcsin(np.minimum(1, np.sqrt(a)))
-            free = np.flatnonzero((number < 0) & (far <= within_m) & (np.arange(len(g)) > k))
-            number[k] = n
-            number[free[np.argsort(far[free], kind="stable")][:partners]] = n
-            n += 1
-        return pd.DataFrame({by: g[by], "stop_id": g["stop_id"], "route": number})
-
-    kind = candidates.schema[by].dataType.simpleString()
-    return candidates.groupBy(by).applyInPandas(fold, f"{by} {kind}, stop_id long, route long")

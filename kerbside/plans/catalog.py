@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbside import shim
 from kerbside.functions import geo, levels, stats, text
-from kerbside.operators import asof, cells, changes, cloud, documents, places, readings, telemetry, work
+from kerbside.operators import asof, cells, changes, cloud, documents, places, readings, routes, telemetry, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,9 +339,34 @@ def route_plan_km(s, d):
     return work.route_plan(stops(s, d), "road").select("road", "stop_id", "position", F.round("leg_m", 6).alias("leg_m"))
 
 
-@query()
+FEATURES = STOPS + ", used AS (SELECT c_custkey AS stop_id FROM customer WHERE c_custkey % 11 = 0), feats AS (SELECT s.*, stop_id % 4 AS level, abs(c_acctbal) AS area_m2, 'kit ' || c_nationkey % 3 AS equipment FROM stops s JOIN customer ON c_custkey = stop_id), cand AS (SELECT *, row_number() OVER (PARTITION BY road ORDER BY km, stop_id) AS i FROM feats WHERE level >= 2 AND stop_id NOT IN (SELECT stop_id FROM used))"
+GROUPS = FEATURES + ", near AS (SELECT a.road, a.i, b.i AS j, " + HAVERSINE.format(a="a.", b="b.") + " / 1000 AS d FROM cand a JOIN cand b ON a.road = b.road AND b.i > a.i AND b.km - a.km <= 4.5), nb AS (SELECT c.road, c.i, list(n.j ORDER BY n.j) FILTER (n.j IS NOT NULL) AS js FROM cand c LEFT JOIN near n ON n.road = c.road AND n.i = c.i AND n.d <= 1.5 GROUP BY 1, 2), steps AS (WITH RECURSIVE r AS (SELECT road, 0::BIGINT AS i, []::BIGINT[] AS taken, []::BIGINT[] AS got FROM (SELECT DISTINCT road FROM cand) UNION ALL SELECT road, n.i, list_concat(taken, n.got), n.got FROM (SELECT r.road, nb.i, taken, CASE WHEN list_contains(taken, nb.i) THEN []::BIGINT[] ELSE list_filter(coalesce(js, []::BIGINT[]), lambda x: NOT list_contains(taken, x))[1:2] END AS got FROM r JOIN nb ON nb.road = r.road AND nb.i = r.i + 1) n) SELECT * FROM r WHERE len(got) > 0), mem AS (SELECT road, i, 0 AS place, i AS j FROM steps UNION ALL SELECT road, i, unnest(range(1, len(got) + 1)), unnest(got) FROM steps), members AS (SELECT m.road, a.stop_id AS anchor, m.place, c.stop_id, CASE WHEN m.place = 0 THEN 0 ELSE n.d END AS between_km FROM mem m JOIN cand a ON a.road = m.road AND a.i = m.i JOIN cand c ON c.road = m.road AND c.i = m.j LEFT JOIN near n ON n.road = m.road AND n.i = m.i AND n.j = m.j)"
+
+
+def features(s, d):
+    c = shim.table(s, d, "customer").select(F.col("c_custkey").alias("stop_id"), (F.col("c_custkey") % 4).alias("level"), F.abs("c_acctbal").alias("area_m2"), F.concat(F.lit("kit "), (F.col("c_nationkey") % 3).cast("string")).alias("equipment"))
+    return stops(s, d).join(c, "stop_id")
+
+
+def grouped_stops(s, d):
+    used = shim.table(s, d, "customer").where("c_custkey % 11 = 0").select(F.col("c_custkey").alias("stop_id"))
+    return routes.groups(routes.candidates(features(s, d), used), "road")
+
+
+@query(GROUPS + " SELECT road, anchor, place, stop_id, round(between_km, 6) AS between_km FROM members")
 def greedy_route_groups(s, d):
-    return work.route_groups(stops(s, d), "road")
+    return grouped_stops(s, d).withColumn("between_km", F.round("between_km", 6))
+
+
+@query(GROUPS + " SELECT m.road, anchor, string_agg(m.stop_id::VARCHAR, ' ' ORDER BY place) AS stops, max(level) AS level, round(sum(area_m2), 4) AS area_m2, round(max(between_km), 6) AS between_km, max(CASE WHEN place = 0 THEN km END) AS km, count(DISTINCT equipment) = 1 AS same_equipment FROM members m JOIN feats f USING (road, stop_id) GROUP BY 1, 2")
+def trip_suggestions(s, d):
+    out = routes.suggestions(grouped_stops(s, d), features(s, d), "road")
+    return out.withColumns({"stops": F.array_join(F.transform("stops", lambda x: x.cast("string")), " "), "area_m2": F.round("area_m2", 4), "between_km": F.round("between_km", 6)})
+
+
+@query(", c AS (SELECT event_id, marker, km, round(" + HAVERSINE.format(a="", b="m") + ", 6) AS dist FROM fixes, markers) SELECT event_id, arg_min(marker, (dist, km, marker)) AS marker, arg_min(km, (dist, km, marker)) AS km, round(min(dist), 3) AS distance FROM c GROUP BY 1")
+def nearest_km(s, d):
+    return places.nearest_of_all(shim.fixes(s, d), shim.markers(s, d)).select("event_id", "marker", "km", F.round("distance", 3).alias("distance"))
 
 
 VOTES = ", vox AS (SELECT cell, frame, voxel, min(height) AS height FROM votes GROUP BY 1, 2, 3), rk AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY cell, frame) AS n, lead(height) OVER w - height AS gap FROM vox WINDOW w AS (PARTITION BY cell, frame ORDER BY height, voxel)), fv AS (SELECT cell, frame, count(*) AS voxels, quantile_disc(height, 0.5) AS h50, quantile_disc(height, 0.9) AS h90, quantile_disc(height, 0.95) AS h95, quantile_disc(height, 0.02) AS ground, max(gap) FILTER (r <= n - ceil(n * 0.1)) AS gap FROM rk GROUP BY 1, 2 HAVING count(*) >= 20)"
@@ -467,11 +492,6 @@ def plane_lsq_refine(s, d):
     return fit.select("g", *(F.round(c, 6).alias(c) for c in "abc"))
 
 
-@query()
-def ransac_plane(s, d):
-    return cloud.ransac_planes(shim.points(s, d).withColumn("g", F.col("point_id") % 4), "g", "point_id")
-
-
 @query(
     ", o AS (SELECT DISTINCT w::BIGINT AS g, floor(x / 0.1::DOUBLE)::BIGINT AS vx, floor(y / 0.1::DOUBLE)::BIGINT AS vy, floor(z / 0.1::DOUBLE)::BIGINT AS vz FROM points),"
     " c AS (SELECT g, vx, vy, vz, label FROM (WITH RECURSIVE r AS (SELECT g, (vx, vy, vz) AS root, vx, vy, vz FROM o UNION SELECT r.g, root, o.vx, o.vy, o.vz FROM r JOIN o ON o.g = r.g AND abs(o.vx - r.vx) <= 1 AND abs(o.vy - r.vy) <= 1 AND abs(o.vz - r.vz) <= 1) SELECT g, vx, vy, vz, min(root) AS label FROM r GROUP BY 1, 2, 3, 4)),"
