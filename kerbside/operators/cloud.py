@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from itertools import product
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions.stats import nearest_rank
 from kerbside.operators import grid
+from kerbside.operators.stages import cut
 from kerbside.session import ship_package
 
 
@@ -115,17 +115,6 @@ def connected_voxels(voxels: DataFrame, by: str) -> DataFrame:
     return sizes.agg(F.sum("n").alias("voxels"), F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("largest_share"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, by a checkpoint in the shared folder; a local session may go without a setting."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="kerbside-"))
-    return df.checkpoint()
-
-
 def integrate_gyro(samples: DataFrame, by: str, most_gap_s: float = 0.25) -> DataFrame:
     """Relative orientation (quaternion x, y, z, w) along each session's rotation rates (t, rx, ry, rz).
 

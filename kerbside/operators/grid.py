@@ -14,9 +14,9 @@ LEAST_DEPTH, LEAST_MASKED, LEAST_FLOOR = 1e-4, 5, 1.05
 BINS = 20
 
 
-def neighbour_step() -> Column:
+def neighbour_step(by: list[str] = ["frame"]) -> Column:  # noqa: B006
     """The largest relative step of depth to the four neighbours (r and c one apart) in the frame."""
-    row, column = Window.partitionBy("frame", "r").orderBy("c"), Window.partitionBy("frame", "c").orderBy("r")
+    row, column = Window.partitionBy(*by, "r").orderBy("c"), Window.partitionBy(*by, "c").orderBy("r")
     near = [F.when(F.abs(move(at).over(o) - F.col(at)) == 1, move("depth").over(o)) for at, o in (("c", row), ("r", column)) for move in (F.lag, F.lead)]
     return F.greatest(*(F.coalesce(F.abs(d - F.col("depth")) / F.col("depth"), F.lit(0.0)) for d in near))
 
@@ -61,12 +61,12 @@ def coverage(pixels: DataFrame, floor: DataFrame, column: str, least: float = 0.
     return shares.withColumn("poor", F.col("pooled") < least)
 
 
-def to_world(pixels: DataFrame, cameras: DataFrame, fx: float, fy: float, cx: float, cy: float) -> DataFrame:
+def to_world(pixels: DataFrame, cameras: DataFrame, fx: float, fy: float, cx: float, cy: float, by: list[str] = ["frame"]) -> DataFrame:  # noqa: B006
     """World coordinates R^T (K^-1 [c, r, 1] depth - t) of pixels, by cameras (frame, rotation rows r00..r22, t0..t2)."""
     d = F.col("depth")
     p = [(F.col("c") - cx) * d / fx - F.col("t0"), (F.col("r") - cy) * d / fy - F.col("t1"), d - F.col("t2")]
     out = {a: sum((F.col(f"r{k}{j}") * p[k] for k in range(1, 3)), F.col(f"r0{j}") * p[0]) for j, a in enumerate("xyz")}
-    return pixels.join(cameras, "frame").withColumns(out).select(*pixels.columns, "x", "y", "z")
+    return pixels.join(cameras, by).withColumns(out).select(*pixels.columns, "x", "y", "z")
 
 
 def stations(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
@@ -74,7 +74,8 @@ def stations(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     it, side (1 left, -1 right), and whether the nearest place is past an end.
 
     A polyline has a few hundred vertices at most, so it travels as one array with each point; of
-    distances that are equal to a nanometre the earliest piece wins.
+    distances that are equal to a nanometre the earliest piece wins. A point of a key without a line of some
+    length has no station and is left out.
     """
     o = Window.partitionBy(key).orderBy("ord")
     size = F.hypot(F.lead("x").over(o) - F.col("x"), F.lead("y").over(o) - F.col("y"))
@@ -166,6 +167,5 @@ def grass_grid(pixels: DataFrame, cameras: DataFrame, line: DataFrame, lens: tup
     world = to_world(kept, cameras, *lens).withColumn("road", F.lit(0)).withColumn("height", F.col("z"))
     at = stations(world, line.withColumn("road", F.lit(0)), "road")
     inside = with_cell(at.where(band_faults(widest_m, side, tallest_m, rmse).isNull()), size_m, length_m, widest_m)
-    cell = F.col("row") * 1000 + F.col("column")
-    voxel = F.floor(F.col("along") / voxel_m) * 100000 + F.floor(F.col("distance") / voxel_m)
-    return cell_heights(frame_votes(voxel_minima(inside.select(cell.alias("cell"), "frame", voxel.alias("voxel"), "height"))))
+    voxel = F.struct(F.floor(F.col("along") / voxel_m).alias("i"), F.floor(F.col("distance") / voxel_m).alias("j"))
+    return cell_heights(frame_votes(voxel_minima(inside.select(F.struct("column", "row").alias("cell"), "frame", voxel.alias("voxel"), "height"))))

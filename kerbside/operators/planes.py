@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import vectors
 from kerbside.functions.stats import counted
-from kerbside.operators.cloud import cut
+from kerbside.operators.stages import cut
 
 #: Rows of a table with one row a cloud (or candidate) up to which it is sent to the points' tasks.
 BROADCAST_ROWS = 200_000

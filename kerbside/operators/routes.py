@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.operators.cloud import cut
+from kerbside.operators.stages import cut
 from kerbside.session import ship_package
 
 #: Reach on the map and along the road in km, partners, and the least level worth a trip.

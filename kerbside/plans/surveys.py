@@ -136,10 +136,10 @@ def station_cells(s, d):
 CELL_SQL = ", g AS (SELECT cell, count(*) AS votes, quantile_disc(h50, 0.5) AS h50, quantile_disc(h90, 0.5) AS h90, quantile_disc(h95, 0.5) AS h95, max(h95) - min(h95) AS spread, CAST(sum(voxels) AS BIGINT) AS samples FROM fv GROUP BY 1) SELECT cell, votes, " + ", ".join(f"CASE WHEN votes >= 3 THEN round({c}, 6) END AS {c}" for c in ("h50", "h90", "h95", "spread")) + ", samples, CASE WHEN votes < 3 THEN 'too few votes' END AS reason FROM g"
 
 
-@query(CELLED + ', gv AS (SELECT CAST(row * 1000 + "column" AS BIGINT) AS cell, frame, CAST(floor(along / 0.1::DOUBLE) * 100000 + floor(distance / 0.1::DOUBLE) AS BIGINT) AS voxel, height FROM celled)' + VOTES.replace("FROM votes", "FROM gv") + CELL_SQL)
+@query(CELLED + ', gv AS (SELECT {\'c\': CAST("column" AS BIGINT), \'r\': CAST(row AS BIGINT)} AS cell, frame, {\'i\': floor(along / 0.1::DOUBLE), \'j\': floor(distance / 0.1::DOUBLE)} AS voxel, height FROM celled)' + VOTES.replace("FROM votes", "FROM gv") + CELL_SQL.replace("SELECT cell, votes", 'SELECT cell.c AS "column", cell.r AS row, votes'))
 def grass_height_grid(s, d):
     g = grid.grass_grid(pixels(s, d).where("depth IS NOT NULL OR NOT mask"), cameras(s, d), line(s), LENS, **GRID)
-    return g.withColumns({c: F.round(c, 6) for c in ("h50", "h90", "h95", "spread")})
+    return g.select("cell.*", "votes", *(F.round(c, 6).alias(c) for c in ("h50", "h90", "h95", "spread")), "samples", "reason")
 
 
 # Votes and evidence

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from kerbside.plans import catalog, decisions, ground, measures, records, surveys  # noqa: F401
+from kerbside.plans import catalog, decisions, ground, measures, records, surveys, verge  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
