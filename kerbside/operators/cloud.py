@@ -115,31 +115,6 @@ def connected_voxels(voxels: DataFrame, by: str) -> DataFrame:
     return sizes.agg(F.sum("n").alias("voxels"), F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("largest_share"))
 
 
-def integrate_gyro(samples: DataFrame, by: str, most_gap_s: float = 0.25) -> DataFrame:
-    """Relative orientation (quaternion x, y, z, w) along each session's rotation rates (t, rx, ry, rz).
-
-    Steps follow one another, so a session is integrated in one task, in batches of its sorted rows.
-    """
-    ship_package(samples.sparkSession)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        q, out, last = np.array([0.0, 0.0, 0.0, 1.0]), [], None
-        for t, *rate in group[["t", "rx", "ry", "rz"]].to_numpy(float):
-            dt = 0.0 if last is None else (t - last) / 1e9
-            if 0 < dt <= most_gap_s:
-                half = np.array(rate) * dt / 2
-                x, y, z, w = q
-                q = q + np.array([w * half[0] + y * half[2] - z * half[1], w * half[1] + z * half[0] - x * half[2], w * half[2] + x * half[1] - y * half[0], -x * half[0] - y * half[1] - z * half[2]])
-                q /= np.linalg.norm(q)
-            last = t
-            out.append(q)
-        return pd.DataFrame(np.array(out), columns=["qx", "qy", "qz", "qw"]).assign(**{by: group[by].to_numpy(), "t": group["t"].to_numpy()})[[by, "t", "qx", "qy", "qz", "qw"]]
-
-    kind = samples.schema[by].dataType.simpleString()
-    return samples.groupBy(by).applyInPandas(run, f"{by} {kind}, t long, qx double, qy double, qz double, qw double")
-
-
 def eroded(masks: DataFrame, column: str, width: int, radius: int) -> DataFrame:
     """Masks (arrays of 0 and 1, row by row) where the whole square around a pixel is set; outside counts as 0."""
     ship_package(masks.sparkSession)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside import shim
 from kerbside.functions import levels
-from kerbside.operators import lists, readings, review, sampling, telemetry
+from kerbside.operators import lists, orientation, readings, review, sampling, telemetry
 from kerbside.operators.cloud import points_of_tracks
 from kerbside.plans.catalog import END, ROWS, query, source
 
@@ -347,3 +347,22 @@ def session_map(s, d):
 @query(" SELECT road, count(*) AS items, " + ", ".join(f"round(100.0 * count(*) FILTER (coalesce(level, 0) = {k}) / count(*), 6) AS level_{k}" for k in range(4)) + " FROM readings JOIN sessions USING (session_id) GROUP BY 1")
 def level_shares(s, d):
     return review.level_shares(source(s, d).join(shim.sessions(s, d).select("session_id", "road"), "session_id"), "road")
+
+
+TURNS = ", turns AS (SELECT session_id, event_id, t // 1000000 AS t, (event_id % 7 - 3) * 2.0::DOUBLE AS rx, (event_id % 11 - 5) * 1.0::DOUBLE AS ry, CASE WHEN event_id % 50 <> 0 THEN (event_id % 13 - 6) * 0.5::DOUBLE END AS rz FROM motions)"
+HALF = "CASE WHEN dt > 0 AND dt <= 0.25 AND {r} IS NOT NULL AND rx + ry + rz IS NOT NULL THEN {r} * dt / 2 ELSE 0 END"
+
+
+@query(
+    TURNS
+    + ", o AS (SELECT *, row_number() OVER w AS i, (t - lag(t) OVER w) / 1e9 AS dt FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id)), s AS (SELECT session_id, event_id, i, t, "
+    + ", ".join(f"{HALF.format(r=f'r{c}')} AS h{c}" for c in "xyz")
+    + " FROM o), q AS (WITH RECURSIVE r AS (SELECT session_id, 0::BIGINT AS i, 0::BIGINT AS event_id, 0::BIGINT AS t, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, 1.0::DOUBLE AS w FROM (SELECT DISTINCT session_id FROM s) UNION ALL"
+    + " SELECT session_id, i, event_id, t, x / n, y / n, z / n, w / n FROM (SELECT *, sqrt(x * x + y * y + z * z + w * w) AS n FROM (SELECT s.session_id, s.i, s.event_id, s.t, x + w * hx + y * hz - z * hy AS x, y + w * hy + z * hx - x * hz AS y, z + w * hz + x * hy - y * hx AS z, w - x * hx - y * hy - z * hz AS w FROM r JOIN s ON s.session_id = r.session_id AND s.i = r.i + 1))) SELECT * FROM r WHERE i > 0)"
+    + " SELECT session_id, event_id, t, round(x, 6) AS qx, round(y, 6) AS qy, round(z, 6) AS qz, round(w, 6) AS qw FROM q"
+)
+def orientation_scan(s, d):
+    """Times are shortened so that days pass as gaps of a sensor."""
+    e = F.col("event_id")
+    turns = shim.motions(s, d).select("session_id", "event_id", F.expr("t div 1000000").alias("t"), ((e % 7 - 3) * 2.0).alias("rx"), ((e % 11 - 5) * 1.0).alias("ry"), F.when(e % 50 != 0, (e % 13 - 6) * 0.5).alias("rz"))
+    return orientation.orientations(turns, "session_id", "event_id").select("session_id", "event_id", "t", *(F.round(c, 6).alias(c) for c in orientation.PARTS))
