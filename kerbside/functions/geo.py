@@ -10,10 +10,11 @@ EARTH_M, DEGREE_M = 6371000.0, 111320.0
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null where a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    root = F.sqrt(a)
+    return 2 * EARTH_M * F.asin(F.when(root > 1, 1.0).otherwise(root))  # least() would take 1 for a null
 
 
 def azimuth_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

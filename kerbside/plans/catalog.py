@@ -226,7 +226,8 @@ def stretch_p95_level(s, d):
     return w.withColumn("level", levels.level(F.col("p95"), F.when(F.col("n") >= 2, levels.LEAST_CELLS).otherwise(0)))
 
 
-HAVERSINE = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
+ROOT = "sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))"
+HAVERSINE = f"2 * 6371000.0 * asin({ROOT} - greatest(0, {ROOT} - 1))"  # null for a null
 
 
 @query(", k AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM fixes WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id)) SELECT session_id, avg(lat) AS lat, avg(lon) AS lon, count(*) FILTER (plat IS NULL OR plat <> lat OR plon <> lon) AS vertices FROM k GROUP BY 1")
