@@ -295,7 +295,10 @@ def distance_windows(s, d):
     return telemetry.distance_windows(drive(s, d), least=8)
 
 
-@query()
+WINDOWS = DRIVE + ", s AS (SELECT session_id, min(distance) AS d0, max(distance) AS d1, greatest(1, least(ceil((max(distance) - min(distance)) / 25.0 - 1e-9), floor(count(*) / 8.0)))::INT AS n FROM drive GROUP BY 1), w AS (SELECT *, (d1 - d0) / n AS size, unnest(range(0, n)) AS w FROM s), dw AS (SELECT w.session_id, w, count(*) AS frames FROM w JOIN drive f ON f.session_id = w.session_id AND distance >= d0 + w * size AND distance <= d0 + (w + 1) * size GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+@query(WINDOWS + ", o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY w) AS i FROM dw), p AS (WITH RECURSIVE r AS (SELECT session_id, w, i, frames AS held, 0 AS pack FROM o WHERE i = 1 UNION ALL SELECT o.session_id, o.w, o.i, CASE WHEN held + o.frames <= 24 THEN held + o.frames ELSE o.frames END, CASE WHEN held + o.frames <= 24 THEN pack ELSE pack + 1 END FROM r JOIN o ON o.session_id = r.session_id AND o.i = r.i + 1) SELECT * FROM r) SELECT session_id, w, pack FROM p")
 def greedy_window_packing(s, d):
     return telemetry.pack(telemetry.distance_windows(drive(s, d), least=8), ["session_id"], "w", "frames", 24)
 
@@ -601,15 +604,25 @@ def even_distance_selection(s, d):
     return telemetry.even_selection(drive(s, d), 16)
 
 
-@query()
+@query(", v AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) AS ord, speed * 0.2::DOUBLE AS x, accuracy * 0.05::DOUBLE AS y FROM fixes), k AS (WITH RECURSIVE r AS (SELECT session_id, ord, x, y, true AS kept FROM v WHERE ord = 1 UNION ALL SELECT session_id, ord, CASE WHEN far THEN x ELSE px END, CASE WHEN far THEN y ELSE py END, far FROM (SELECT v.*, r.x AS px, r.y AS py, sqrt((v.x - r.x) ** 2 + (v.y - r.y) ** 2) >= 0.5 AS far FROM r JOIN v ON v.session_id = r.session_id AND v.ord = r.ord + 1)) SELECT * FROM r WHERE kept) SELECT session_id, ord, x, y FROM k")
 def road_edge_thinning(s, d):
     path = shim.fixes(s, d).select("session_id", F.row_number().over(telemetry.ordered("event_id")).alias("ord"), (F.col("speed") * 0.2).alias("x"), (F.col("accuracy") * 0.05).alias("y"))
     return telemetry.thinned(path, "session_id", "ord", 0.5)
 
 
-@query()
+@query(
+    ", f AS (SELECT *, cos(radians(lat)) * 111320.0::DOUBLE AS flat, "
+    + ", ".join(f"coalesce(lead({c}) OVER w, {c}) - coalesce(lag({c}) OVER w, {c}) AS d{c}" for c in ("lon", "lat"))
+    + " FROM fixes WINDOW w AS (PARTITION BY session_id ORDER BY t, event_id)), g AS (SELECT *, dlon * flat AS x, dlat * 111320.0::DOUBLE AS y FROM f), h AS (SELECT *, sqrt(x * x + y * y) AS l FROM g WHERE sqrt(x * x + y * y) > 0),"
+    + " e AS (SELECT *, -y / l * 5 / flat AS east, x / l * 5 / 111320.0::DOUBLE AS north FROM h), p AS (SELECT session_id, list([round(lon + east, 9), round(lat + north, 9)] ORDER BY t, event_id) AS lf, list([round(lon - east, 9), round(lat - north, 9)] ORDER BY t DESC, event_id DESC) AS rt FROM e GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT session_id, list_concat(list_concat(lf, rt), lf[1:1]) AS ring FROM p)"
+    + " SELECT session_id, len(ring) AS corners, 'Polygon' AS type, array_to_string(list_transform(ring, lambda c: CAST(round(c[1] * 1e9) AS BIGINT) || ' ' || CAST(round(c[2] * 1e9) AS BIGINT)), ', ') AS ring FROM r"
+)
 def geojson_band(s, d):
-    return documents.band_polygon(shim.fixes(s, d).withColumn("ord", F.struct("t", "event_id")), "session_id", "ord", 5.0)
+    """Read back from the polygons' text."""
+    made = documents.band_polygon(shim.fixes(s, d).withColumn("ord", F.struct("t", "event_id")), "session_id", "ord", 5.0)
+    read = F.from_json("geometry", "type string, coordinates array<array<array<double>>>")
+    corner = F.transform(read["coordinates"][0], lambda c: F.concat_ws(" ", *(F.round(c[k] * 1e9).cast("bigint").cast("string") for k in range(2))))
+    return made.select("session_id", "corners", read["type"].alias("type"), F.array_join(corner, ", ").alias("ring"))
 
 
 @query(", p AS (SELECT event_id % 400 AS canonical, event_id, lat, lon FROM fixes QUALIFY row_number() OVER (PARTITION BY event_id % 400 ORDER BY event_id DESC) = 1) SELECT 'frame_' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '.jpg' AS name, CAST(c_custkey AS INT) AS canonical, lat, lon FROM customer LEFT JOIN p ON canonical = c_custkey")
