@@ -149,9 +149,9 @@ def uniform_cap(points: DataFrame, key: str, most: int, seed: int = 0) -> DataFr
 
 
 def strided(points: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
-    """Every k-th row of each group, k the least that leaves at most `most` and a part of a step."""
+    """Every k-th row of each group, k the least that leaves at most `most`."""
     whole = Window.partitionBy(*by)
-    k = F.greatest(F.lit(1), F.floor(F.count("*").over(whole) / most))
+    k = F.greatest(F.lit(1), F.ceil(F.count("*").over(whole) / most))
     return points.withColumns({"_k": k, "_i": F.row_number().over(whole.orderBy(order)) - 1}).where("_i % _k = 0").drop("_k", "_i")
 
 

@@ -70,6 +70,29 @@ def nearest_of_all(positions: DataFrame, markers: DataFrame) -> DataFrame:
     return at.select(*positions.columns, "_n.marker", "_n.km", "_n.distance")
 
 
+def sampled_road(anchors: DataFrame, steps_a_km: int = 10) -> DataFrame:
+    """Places (km, lat, lon) along a road, steps_a_km for each km, on straight lines between its anchors (km, lat,
+    lon). Anchors are one road's, some few."""
+    o = Window.orderBy("km")
+    line = anchors.select("km", "lat", "lon", *(F.lead(c).over(o).alias(f"{c}_b") for c in ("km", "lat", "lon"))).where("km_b > km")
+    k = F.explode(F.sequence(F.ceil(F.col("km") * steps_a_km), F.floor(F.col("km_b") * steps_a_km)))
+    at = line.withColumn("_k", k).withColumn("_t", (F.col("_k") / steps_a_km - F.col("km")) / (F.col("km_b") - F.col("km")))
+    spots = at.select((F.col("_k") / steps_a_km).alias("km"), *((F.col(c) + F.col("_t") * (F.col(f"{c}_b") - F.col(c))).alias(c) for c in ("lat", "lon")))
+    return spots.groupBy("km").agg(F.min_by("lat", F.struct("lat", "lon")).alias("lat"), F.min_by("lon", F.struct("lat", "lon")).alias("lon"))
+
+
+def described(positions: DataFrame, anchors: DataFrame, road: str, on_road_km: float = 0.5) -> DataFrame:
+    """Positions with the nearest sampled place of a road, the lowest km of equals: its km and how far, and a label
+    that names the road within on_road_km, else the position itself. A position without a place has no label."""
+    posts = sampled_road(anchors).select(F.lit(road).alias("marker"), "km", F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
+    at = nearest_of_all(positions, posts).withColumn("distance_km", F.col("distance") / 1000).drop("marker", "distance")
+    on = F.coalesce(F.col("distance_km") <= on_road_km, F.lit(False))
+    half = lambda c, plus, minus: F.concat(F.format_string("%.4f° ", F.abs(F.col(c))), F.when(F.col(c) < 0, minus).otherwise(plus))
+    label = F.when(on, F.concat(F.lit(f"{road} · KM "), F.format_string("%.1f", F.col("km").cast("double")))).otherwise(F.concat_ws(" · ", half("lat", "N", "S"), half("lon", "E", "W")))
+    there = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return at.withColumns({"label": F.when(there, label), "on_road": there & on, "km": F.when(there & on, F.col("km")), "distance_km": F.when(there, F.col("distance_km"))})
+
+
 def neighbour_pairs(places: DataFrame, key: str, within_m: float = 1500.0, km_apart: float = 4.5, road: str | None = None) -> DataFrame:
     """Pairs of places (key, km, lat, lon, and their road where one is named) near each other along the road
     and on the map.

@@ -22,6 +22,34 @@ def nested_page(orders: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
     return top.join(listed, "order_id", "left").withColumn("targets", F.coalesce("targets", F.array().cast(listed.schema["targets"].dataType)))
 
 
+def with_history(page: DataFrame, events: DataFrame) -> DataFrame:
+    """A page of orders with their events (order_id, event_id, at, status, note) as a list in the order of time."""
+    listed = events.join(F.broadcast(page.select("order_id")), "order_id").groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct("at", "event_id", "status", "note"))).alias("events"))
+    return page.join(listed, "order_id", "left").withColumn("events", F.coalesce("events", F.array().cast(listed.schema["events"].dataType)))
+
+
+def opened(drafts: DataFrame, targets: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders of drafts (order_id, opened_at, ...) with their evidence as it is now, the event that opens each, and
+    the targets that keep a draft from being opened.
+
+    Targets are (order_id, position, session_id, segment_id, window_index); readings are measured ones with
+    those keys, level, place, start_m, end_m, lat and lon. A draft without targets, or with one that was not
+    measured, is not opened. The rows are written once: later readings change no order.
+    """
+    keys = ["session_id", "segment_id", "window_index"]
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    met = targets.alias("t").join(readings.withColumn("_there", F.lit(True)).alias("r"), same[0] & same[1] & same[2], "left")
+    faults = met.where("_there IS NULL").select("t.order_id", "position", *(f"t.{k}" for k in keys))
+    length = F.coalesce(F.col("end_m") - F.col("start_m"), F.lit(150.0))
+    frozen = met.groupBy("t.order_id").agg(
+        (F.sum(length) * 10.0).alias("area_m2"), F.max("level").alias("worst"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
+        F.count("*").alias("n_targets"), F.min_by("place", "position").alias("place"), F.bool_and(F.col("_there").isNotNull()).alias("_whole"),
+    )
+    orders = drafts.join(frozen.where("_whole").drop("_whole"), "order_id").withColumn("status", F.lit("open"))
+    events = orders.select("order_id", F.col("opened_at").alias("at"), F.lit("open").alias("status"), F.lit(None).cast("string").alias("note"))
+    return orders, events, faults
+
+
 def evidence(targets: DataFrame, width_m: float = 10.0, default_m: float = 150.0) -> DataFrame:
     """Area, worst level and windows of each order; a length that is not known counts as default_m."""
     length = F.coalesce(F.col("end_m") - F.col("start_m"), F.lit(default_m))

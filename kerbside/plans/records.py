@@ -164,6 +164,6 @@ def cloud_build(s, d):
     return built.select("vx", "vy", "vz", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "weight")), "n")
 
 
-@query(", p AS (SELECT point_id, point_id % 3 AS g, row_number() OVER (PARTITION BY point_id % 3 ORDER BY point_id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY point_id % 3) // 30) AS k FROM points) SELECT point_id, g FROM p WHERE i % k = 0")
+@query(", p AS (SELECT point_id, point_id % 3 AS g, row_number() OVER (PARTITION BY point_id % 3 ORDER BY point_id) - 1 AS i, greatest(1, ceil(count(*) OVER (PARTITION BY point_id % 3) / 30)) AS k FROM points) SELECT point_id, g FROM p WHERE i % k = 0")
 def strided_cap(s, d) -> DataFrame:
     return cloud.strided(shim.points(s, d).select("point_id", (F.col("point_id") % 3).alias("g")), ["g"], "point_id", 30)
