@@ -64,3 +64,26 @@ def elevation_at(normal: Column, offset: Column, place: Column, up: Column) -> C
         return F.when(F.abs(rise) >= 1e-9, dot(place, axis) - (dot(normal, place) + offset) / rise)
 
     return let(unit(up), over)
+
+
+def transformed(m: Column, v: Column) -> Column:
+    """A place moved by a row-major 4 x 4 matrix (an array of 16): the last row only scales; null for a scale of 0."""
+    row = lambda k: m[4 * k] * v["x"] + m[4 * k + 1] * v["y"] + m[4 * k + 2] * v["z"] + m[4 * k + 3]
+    scale = F.when(row(3) != 0, row(3))
+    return vector(*(row(k) / scale for k in range(3)))
+
+
+def matrix_product(a: Column, b: Column) -> Column:
+    """a b of two row-major 4 x 4 matrices."""
+    return F.array(*(sum((a[4 * i + k] * b[4 * k + j] for k in range(1, 4)), a[4 * i] * b[j]) for i in range(4) for j in range(4)))
+
+
+def camera_centre(e: Column) -> Column:
+    """Where a camera stands: -R^T t of its row-major 3 x 4 or 4 x 4 matrix from the world."""
+    return vector(*(-(e[j] * e[3] + e[4 + j] * e[7] + e[8 + j] * e[11]) for j in range(3)))
+
+
+def scaled_about(centre: Column, factor: Column) -> Column:
+    """The row-major 4 x 4 matrix that scales by a factor about a place."""
+    rows = [[factor if i == j else F.lit(0.0) for j in range(3)] + [centre[c] * (1 - factor)] for i, c in enumerate(AXES)]
+    return F.array(*(x for r in rows for x in r), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))

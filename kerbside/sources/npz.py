@@ -28,13 +28,18 @@ def frames(name: str, content: bytes) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": [name], "frame": [i], "height": [depth.shape[1]], "width": [depth.shape[2]], "depth": [depth[i].ravel()], "confidence": [confidence[i].ravel()], "k": [k[i].ravel()], "e": [e[i].ravel()]})
 
 
-def read_depth_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of every NPZ file under path, read by Spark's binary source."""
-    ship_package(spark)
+def parse(files: DataFrame) -> DataFrame:
+    """The frames of NPZ files (path, content)."""
+    ship_package(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
                 yield from frames(name, content)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content").mapInPandas(run, FRAMES)
+    return files.select("path", "content").mapInPandas(run, FRAMES)
+
+
+def read_depth_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of every NPZ file under path, read by Spark's binary source."""
+    return parse(spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from kerbside.plans import catalog, decisions, ground, history, measures, records, roads, streams, surveys, verge  # noqa: F401
+from kerbside.plans import catalog, decisions, files, ground, history, measures, records, roads, streams, surveys, verge  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
