@@ -8,8 +8,9 @@ which a prediction should be rejected are fitted on a part of the sample that tr
 Defined results: a text that is null or has no letter is `und` with score 0 and is rejected; training
 leaves out null labels and such texts; with no training rows at all every text is `und`; repeated rows
 are predicted each and count once in training; of languages with one score the first by name is told;
-other columns pass through, but for the names of new ones, which raise ValueError. Prediction reads whole
-texts of any length; training takes texts of at most SAMPLE_TEXT_CHARS, and those whole.
+other columns pass through, but for the names of new ones, which raise ValueError. Training and prediction
+read whole texts of any length. The sample is bounded in rows alone and dealt evenly over the languages, so
+that a rare one is learned too; its texts become features (BUCKETS numbers at most) in the tasks.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbside.llm.common import map_arrow, text_first, with_columns
 
-#: The bound of the training sample: rows, and characters of each (longer texts are not trained on).
-SAMPLE_ROWS, SAMPLE_TEXT_CHARS = 3_000, 20_000
+#: The bound of the training sample: rows of all languages, and of each.
+SAMPLE_ROWS, LANGUAGE_ROWS = 3_000, 1_000
 BUCKETS, DIMENSIONS = 1 << 15, 16
 EPOCHS, RATE = 4, 0.5
 GRAMS = (2, 3, 4)
@@ -89,21 +90,30 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Train on (text, language) pairs; a fifth of them is held back for calibration."""
-    rows = [(t, y) for t, y in rows if t and WORD.search(t)]
+#: The buckets of a text's subwords (ascending), and their shares of them.
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def text_features(text: str, known: dict[str, np.ndarray]) -> Features:
+    """The features of a whole text; `known` keeps words' subwords."""
+    words, counts = np.unique(WORD.findall(text.lower()), return_counts=True)
+    if not len(words):
+        return np.zeros(0, np.uint16), np.zeros(0, np.float32)
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    grams = [known[w] if w in known else known.setdefault(w, subwords(w)) for w in words.tolist()]
+    total = np.bincount(np.concatenate(grams), np.repeat(counts, [len(g) for g in grams]), BUCKETS)
+    at = np.flatnonzero(total)
+    return at.astype(np.uint16), (total[at] / total.sum()).astype(np.float32)
+
+
+def fit(rows: list[tuple[Features, str]], seed: int = 7) -> Model:
+    """Train on (features, language) pairs; a fifth of them is held back for calibration."""
+    rows = [(f, y) for f, y in rows if len(f[0])]
     languages = sorted({y for _, y in rows})
     if not rows:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    target = {y: k for k, y in enumerate(languages)}
-    known: dict[str, np.ndarray] = {}
-    features = []
-    for text, _ in rows:
-        words, counts = np.unique(WORD.findall(text.lower()), return_counts=True)
-        grams = [known[w] if w in known else known.setdefault(w, subwords(w)) for w in words]
-        total = np.bincount(np.concatenate(grams), np.repeat(counts, [len(g) for g in grams]), BUCKETS)
-        at = np.flatnonzero(total)
-        features.append((at, total[at] / total.sum()))
+    target, features = {y: k for k, y in enumerate(languages)}, [f for f, _ in rows]
     labels = np.array([target[y] for _, y in rows])
     random = np.random.default_rng(seed)
     order = random.permutation(len(rows))
@@ -135,15 +145,29 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return model
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample: the `rows` texts of the least hashes, each once for a language and of at most SAMPLE_TEXT_CHARS."""
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_TEXT_CHARS))
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, of_each: int = LANGUAGE_ROWS) -> Model:
+    """Fit on a bounded sample: each language's texts by their least hashes, `of_each` at most, dealt in turn to
+    `rows` in all; a text counts once for a language."""
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     hashed = usable.select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(F.lit("language"), F.col(text)).alias("o"))
-    # First the hash that ends the sample, so that no task sends more texts than the sample holds.
-    # A text counts once, or one that is copied often would take the whole sample.
-    last = hashed.select("o", "y").distinct().orderBy("o").limit(rows).agg(F.max("o")).first()[0]
-    sample = [] if last is None else hashed.where(F.col("o") <= last).dropDuplicates(["o", "y"]).orderBy("o", "y").limit(rows).collect()
-    return fit([(r.t, r.y) for r in sample])
+    # First the hashes alone, so that tasks send no texts but those of the sample. Tasks keep of_each of a language
+    # at most before they send them (Spark's window group limit, up to 1,000).
+    turn = F.row_number().over(Window.partitionBy("y").orderBy("o"))
+    chosen = hashed.select("o", "y").distinct().withColumn("k", turn).where(F.col("k") <= of_each).orderBy("k", "o", "y").limit(rows).select("o", "y").collect()
+    if not chosen:
+        return fit([])
+    few = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in chosen], T.StructType([T.StructField("o", T.LongType()), hashed.schema["y"]])))
+    texts = hashed.join(few, ["o", "y"]).dropDuplicates(["o", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            found = [text_features(t, known) for t in batch.column(0).to_pylist()]
+            yield with_columns(batch.select(["o", "y"]), ["o", "y"], at=pa.array([f[0].tobytes() for f in found], pa.binary()), share=pa.array([f[1].tobytes() for f in found], pa.binary()))
+
+    schema = T.StructType([T.StructField("o", T.LongType()), hashed.schema["y"], T.StructField("at", T.BinaryType()), T.StructField("share", T.BinaryType())])
+    made = sorted(map_arrow(texts.select("t", "o", "y"), run, schema).collect(), key=lambda r: (r.o, r.y))  # `rows` at most
+    return fit([((np.frombuffer(r["at"], np.uint16), np.frombuffer(r.share, np.float32)), r.y) for r in made])
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
