@@ -150,10 +150,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
     `rows` in all; a text counts once for a language."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     hashed = usable.select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(F.lit("language"), F.col(text)).alias("o"))
-    # First the hashes alone, so that tasks send no texts but those of the sample. Tasks keep of_each of a language
-    # at most before they send them (Spark's window group limit, up to 1,000).
+    # First the hashes alone, so that tasks send no texts but those of the sample. Hashes are spread evenly, so of a
+    # language of n texts those below a share of (2 of_each + 100) / n hold its of_each least; fewer than that
+    # would take a chance of e to the minus of_each / 4 or less, and only make the sample smaller.
+    counts = {r.y: r.n for r in hashed.groupBy("y").agg(F.approx_count_distinct("o").alias("n")).collect()}
+    below = [(y, min(2**63 - 1, int(-(2**63) + 2**64 * (2 * of_each + 100) / max(n, 1)))) for y, n in counts.items()]
+    if not below:
+        return fit([])
+    least = F.broadcast(labelled.sparkSession.createDataFrame(below, T.StructType([hashed.schema["y"], T.StructField("most", T.LongType())])))
     turn = F.row_number().over(Window.partitionBy("y").orderBy("o"))
-    chosen = hashed.select("o", "y").distinct().withColumn("k", turn).where(F.col("k") <= of_each).orderBy("k", "o", "y").limit(rows).select("o", "y").collect()
+    chosen = hashed.select("o", "y").join(least, "y").where("o <= most").select("o", "y").distinct().withColumn("k", turn).where(F.col("k") <= of_each).orderBy("k", "o", "y").limit(rows).select("o", "y").collect()
     if not chosen:
         return fit([])
     few = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in chosen], T.StructType([T.StructField("o", T.LongType()), hashed.schema["y"]])))
