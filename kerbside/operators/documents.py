@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.functions.levels import fix_quality, worst_quality
 from kerbside.functions.stats import interpolated, nearest_rank
 
 VOTE = "struct<frameIndex: int, sampleCount: bigint, h95M: double>"
@@ -48,14 +49,16 @@ def rle_decode(runs: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def track(positions: DataFrame, key: str, order: str) -> DataFrame:
-    """Centre, path without successive repeats, and its GeoJSON line where it has two points."""
+    """Centre, path without successive repeats, and its GeoJSON line where it has two points; and the worst quality
+    of its places where an accuracy (metres) is there."""
     o = Window.partitionBy(key).orderBy(order)
     new = F.lag(F.struct("lat", "lon")).over(o)
     kept = positions.withColumn("_k", ~F.coalesce(new == F.struct("lat", "lon"), F.lit(False)))
-    g = kept.groupBy(key).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.sort_array(F.collect_list(F.when(F.col("_k"), F.struct(F.col(order).alias("o"), F.col("lon").alias("x"), F.col("lat").alias("y"))))).alias("_p"))
+    worst = [worst_quality(fix_quality(F.col("accuracy"))).alias("quality")] if "accuracy" in positions.columns else []
+    g = kept.groupBy(key).agg(*worst, F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.sort_array(F.collect_list(F.when(F.col("_k"), F.struct(F.col(order).alias("o"), F.col("lon").alias("x"), F.col("lat").alias("y"))))).alias("_p"))
     path = F.transform("_p", lambda p: F.array(p["x"], p["y"]))
     line = F.to_json(F.struct(F.lit("LineString").alias("type"), path.alias("coordinates")), {"ignoreNullFields": "false"})
-    return g.select(key, "lat", "lon", F.size("_p").cast("long").alias("vertices"), F.when(F.size("_p") >= 2, line).alias("line"))
+    return g.select(key, "lat", "lon", F.size("_p").cast("long").alias("vertices"), F.when(F.size("_p") >= 2, line).alias("line"), *(["quality"] if worst else []))
 
 
 def reading_features(tracks: DataFrame, key: list[str], line: str, band: str, properties: list[str]) -> DataFrame:
@@ -109,3 +112,10 @@ def band_polygon(path: DataFrame, key: str, order: str, half_m: float) -> DataFr
     left, right = F.transform("v", lambda p: p["l"]), F.reverse(F.transform("v", lambda p: p["r"]))
     ring = F.concat(left, right, F.slice(left, 1, 1))
     return g.where(F.size("v") >= 2).select(key, F.size(ring).cast("long").alias("corners"), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("geometry"))
+
+
+def scoped_trials(trials: DataFrame, runs: DataFrame, objects: DataFrame) -> DataFrame:
+    """Repeat statistics of each defined object in each run of a clip that measured it; trials of other runs, and
+    of objects that are not defined, are out of scope. Objects are few and are sent to the trials."""
+    inside = trials.join(runs.select("run_id").distinct(), "run_id", "left_semi").join(F.broadcast(objects.select("object_id", "code").distinct()), "object_id")
+    return inside.groupBy("object_id", "code", "run_id").agg(F.count("*").alias("n"), F.avg("height").alias("mean"), (F.max("height") - F.min("height")).alias("spread"))

@@ -25,6 +25,13 @@ def usable(fixes: DataFrame) -> DataFrame:
     return fixes.withColumn("_m", F.max("t").over(before)).where(F.col("_m").isNull() | (F.col("t") >= F.col("_m"))).drop("_m")
 
 
+def strictly_newer(fixes: DataFrame) -> DataFrame:
+    """Fixes whose clock is ahead of all earlier ones in order of arrival: a receiver repeats its last fix until it
+    has a new one."""
+    before = Window.partitionBy("session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return fixes.withColumn("_m", F.max("t").over(before)).where(F.col("_m").isNull() | (F.col("t") > F.col("_m"))).drop("_m")
+
+
 def with_distance(fixes: DataFrame) -> DataFrame:
     """Metres travelled up to each fix: the trapezoid under the speeds, or between positions where no
     fix of the session moves."""
