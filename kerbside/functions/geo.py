@@ -28,11 +28,6 @@ def circular_mean_deg(angle: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(F.sum(F.sin(F.radians(angle))), F.sum(F.cos(F.radians(angle))))), F.lit(360.0))
 
 
-def cardinal(angle: Column) -> Column:
-    """north, east, south or west: quarters that start at 315 degrees."""
-    return F.when((angle >= 315) | (angle < 45), "north").when(angle < 135, "east").when(angle < 225, "south").when(angle < 315, "west")
-
-
 def local_metres(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
     """East and north of an origin on a flat local map."""
     return (lon - lon0) * DEGREE_M * F.cos(F.radians(lat0)), (lat - lat0) * DEGREE_M

@@ -60,10 +60,16 @@ def merge_observations(local: DataFrame, remote: DataFrame, keys: list[str], ord
 
 
 def monthly_reference(orders: DataFrame, created: str, tie: str, prefix: str) -> DataFrame:
-    """prefix-yyyyMM-number, numbered within the month from 1001 on; numbers of five digits stay whole."""
-    month = F.date_format(created, "yyyyMM")
-    number = F.row_number().over(Window.partitionBy(month).orderBy(created, tie)) + 1000
-    return orders.withColumn("reference", F.concat_ws("-", F.lit(prefix), month, number.cast("string")))
+    """prefix-yyyyMM-number, numbered within the month from 1001 on; numbers of five digits stay whole.
+
+    Orders are numbered within their day, and each day goes on from the counts of the days before it.
+    """
+    day, month = F.to_date(created), F.date_format(created, "yyyyMM")
+    before = Window.partitionBy(F.trunc("_day", "month")).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = orders.groupBy(day.alias("_day")).agg(F.count("*").alias("_n")).select("_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_day").orderBy(created, tie))
+    numbered = orders.withColumn("_day", day).withColumn("_k", within).join(days, "_day", "left")
+    return numbered.withColumn("reference", F.concat_ws("-", F.lit(prefix), month, (F.col("_k") + F.col("_before") + 1000).cast("string"))).select(*orders.columns, "reference")
 
 
 def cascade_delete(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:

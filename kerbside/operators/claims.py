@@ -1,12 +1,10 @@
-"""Who may work on a window: claims that run out, and levels of weeks past."""
+"""Who may work on a window: claims that run out."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.functions.text import hash31
-
 
 def claims(attempts: DataFrame, keys: list[str], at: str, order: str, timeout: int) -> DataFrame:
     """The fate of every attempt (at: a number) to claim a key: taken, held elsewhere, or expired and taken over.
@@ -24,11 +22,3 @@ def claims(attempts: DataFrame, keys: list[str], at: str, order: str, timeout: i
 
     told = attempts.groupBy(*keys).agg(F.aggregate(listed, start, step)["out"].alias("_out"))
     return told.select(*keys, F.explode("_out").alias("_a")).select(*keys, F.col("_a.t").alias(at), F.col("_a.o").alias(order), F.col("_a.fate").alias("fate"))
-
-
-def level_weeks_ago(level: Column, key: Column, weeks: Column) -> Column:
-    """A made-up level of weeks past, by the hash of the reading's key: never lower than today's."""
-    now = F.coalesce(F.nullif(level, F.lit(0)), F.lit(1))
-    r = F.pmod(hash31(key), F.lit(1000)) / 1000.0
-    worse = F.least(F.lit(0.85), weeks * 0.085)
-    return F.when((weeks <= 0) | (now >= 3) | (r >= worse), now).when((now == 1) & (r >= worse * 0.45), 2).otherwise(3)

@@ -23,8 +23,10 @@ def voxel_centroids(points: DataFrame, edge: float) -> DataFrame:
     return points.groupBy(*at).agg(*mean, F.avg("w").alias("w"), F.count("*").alias("n"))
 
 
-def weights_to_mean_one(points: DataFrame, by: list[str]) -> DataFrame:
-    return points.withColumn("weight", F.col("w") / F.avg("w").over(Window.partitionBy(*by)))
+def weights_to_mean_one(points: DataFrame) -> DataFrame:
+    """Points with `weight`, which is w over the mean of all w."""
+    mean = points.agg(F.avg("w").alias("_m"))
+    return points.crossJoin(F.broadcast(mean)).withColumn("weight", F.try_divide("w", F.col("_m"))).drop("_m")  # rows by one row
 
 
 def build(pixels: DataFrame, cameras: DataFrame, lens: tuple[float, float, float, float], least_confidence: float, most_step: float, weight: str, edge: float) -> DataFrame:
@@ -35,11 +37,8 @@ def build(pixels: DataFrame, cameras: DataFrame, lens: tuple[float, float, float
     """
     usable = grid.with_reject(pixels, least_confidence, most_step).where("reject IS NULL").drop("reject")
     floor = grid.floors(pixels).select("frame", "middle")
-    ranks = grid.confidence_ranks(pixels).select("frame", "r", "c", F.col(weight).alias("w"))
-    kept = usable.join(floor, "frame").where(F.col("conf") >= F.col("middle")).join(ranks, ["frame", "r", "c"])
-    voxels = voxel_centroids(grid.to_world(kept, cameras, *lens).select("x", "y", "z", "w"), edge)
-    mean = voxels.agg(F.avg("w").alias("_m"))
-    return voxels.crossJoin(mean).withColumn("weight", F.try_divide("w", F.col("_m"))).drop("_m")  # rows by one row
+    kept = grid.with_weights(usable.join(floor, "frame").where(F.col("conf") >= F.col("middle")), pixels).withColumn("w", F.col(weight))
+    return weights_to_mean_one(voxel_centroids(grid.to_world(kept, cameras, *lens).select("x", "y", "z", "w"), edge))
 
 
 def confidence_floor(pixels: DataFrame, by: str, value: str) -> DataFrame:

@@ -42,13 +42,26 @@ def floors(pixels: DataFrame, drop: float = 0.2) -> DataFrame:
     return p.select("frame", F.col("p").alias("percentile"), F.least(F.greatest(F.lit(LEAST_FLOOR), "p40"), "p90").alias("middle"), F.when(F.col("n") >= LEAST_MASKED, F.col("m")).otherwise(float("-inf")).alias("masked"))
 
 
-def confidence_ranks(pixels: DataFrame) -> DataFrame:
-    """Weights of pixels by three rules: 1, the share of the frame's pixels in its histogram bin or below, and the confidence."""
-    bin_ = F.floor(F.col("conf") * BINS)
-    bins = pixels.groupBy("frame", bin_.alias("bin")).agg(F.count("*").alias("n"))
+def rank_bins(pixels: DataFrame) -> DataFrame:
+    """(frame, bin, by_rank): of each bin of a frame's histogram of confidences the share of pixels in it or below."""
+    bins = pixels.groupBy("frame", confidence_bin().alias("bin")).agg(F.count("*").alias("n"))
     o = Window.partitionBy("frame").orderBy("bin")
-    ranks = bins.select("frame", "bin", (F.sum("n").over(o.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy("frame"))).alias("by_rank"))
-    return pixels.withColumn("bin", bin_).join(ranks, ["frame", "bin"]).select("frame", "r", "c", F.lit(1.0).alias("by_none"), "by_rank", F.col("conf").alias("by_confidence"))
+    return bins.select("frame", "bin", (F.sum("n").over(o.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy("frame"))).alias("by_rank"))
+
+
+def confidence_bin() -> Column:
+    return F.floor(F.col("conf") * BINS)
+
+
+def with_weights(some: DataFrame, pixels: DataFrame) -> DataFrame:
+    """Some of the pixels with their weights by three rules: 1, the share of all the frame's pixels in its histogram
+    bin or below, and the confidence."""
+    ranked = some.withColumn("bin", confidence_bin()).join(rank_bins(pixels), ["frame", "bin"]).drop("bin")
+    return ranked.withColumns({"by_none": F.lit(1.0), "by_confidence": F.col("conf")})
+
+
+def confidence_ranks(pixels: DataFrame) -> DataFrame:
+    return with_weights(pixels, pixels).select("frame", "r", "c", "by_none", "by_rank", "by_confidence")
 
 
 def coverage(pixels: DataFrame, floor: DataFrame, column: str, least: float = 0.02) -> DataFrame:

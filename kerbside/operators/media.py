@@ -38,13 +38,13 @@ def frame_timeline(probes: DataFrame, keys: list[str], json: str) -> DataFrame:
     """Each frame's place, nanoseconds after the first frame, and whether it is a key frame.
 
     A probe without frames gives one row with its fault; one with a time that is no number, or that runs
-    backwards, gives its frames with the fault and without times.
+    backwards or begins below zero, gives its frames with the fault and without times.
     """
     f = probes.select(*keys, F.posexplode_outer(F.from_json(json, FRAMES)["frames"]).alias("frame", "_f"))
     f = f.select(*keys, "frame", F.round(F.col("_f.best_effort_timestamp_time").try_cast("decimal(20,10)") * 1000000000).cast("long").alias("_t"), F.coalesce(F.col("_f.key_frame") == 1, F.lit(False)).alias("key_frame"))
     whole = Window.partitionBy(*keys)
     order = whole.orderBy("frame")
-    f = f.withColumn("_back", F.col("_t") < F.lag("_t").over(order))
+    f = f.withColumn("_back", F.col("_t") < F.coalesce(F.lag("_t").over(order), F.lit(0)))
     fault = F.when(F.col("frame").isNull(), "no frames").when(F.max(F.col("_t").isNull()).over(whole), "invalid time").when(F.max(F.coalesce("_back", F.lit(False))).over(whole), "time runs backwards")
     f = f.withColumns({"fault": fault, "_first": F.first("_t").over(order)})
     return f.select(*keys, "frame", F.when(F.col("fault").isNull(), F.col("_t") - F.col("_first")).alias("at_ns"), "key_frame", "fault")

@@ -69,8 +69,9 @@ def first_place_ranked(readings: DataFrame) -> DataFrame:
 
 def session_list(sessions: DataFrame, readings: DataFrame, limit: int = 50) -> DataFrame:
     """Sessions with their tallies and first place, the most critical first."""
-    t, p = tallies(readings), first_place(readings)
-    out = sessions.join(t, "session_id", "left").join(p, "session_id", "left")
+    placed = F.when(F.col("place").isNotNull(), F.struct("segment_id", F.coalesce("window_index", F.lit(-1))))
+    told = readings.groupBy("session_id").agg(F.count("*").alias("readings"), *(counted(bucket(F.col("level")) == k).alias(f"l{k}") for k in range(4)), F.min_by("place", placed).alias("place"), F.count_distinct("place").alias("places"))
+    out = sessions.join(told, "session_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("readings", "l0", "l1", "l2", "l3", "places")}
     return out.withColumns(zero).orderBy(F.desc("l3"), F.desc("l2"), F.desc_nulls_last("started_at"), F.desc("session_id")).limit(limit)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.stats import counted
@@ -46,9 +46,12 @@ def verdict(predicted: str, truth: str, uncertainty: str) -> Column:
 
 def map_entries(readings: DataFrame, by: str, most: int = 5) -> DataFrame:
     """Of each session the worst level, its readings, and the tallest of them first."""
-    tallest = F.slice(F.sort_array(F.collect_list(F.when(F.col("height").isNotNull(), F.struct("height", (-F.col("segment_id")).alias("s"), (-F.coalesce("window_index", F.lit(-1))).alias("w")))), asc=False), 1, most)
-    g = readings.groupBy(by).agg(F.max(F.coalesce("level", F.lit(0))).alias("worst"), F.count("*").alias("readings"), tallest.alias("t"))
-    return g.select(by, "worst", "readings", F.transform("t", lambda r: F.concat_ws("/", (-r["s"]).cast("string"), (-r["w"]).cast("string"))).alias("tallest"))
+    window = F.coalesce("window_index", F.lit(-1))
+    k = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("height"), "segment_id", window))  # tasks keep no more than `most` of a session
+    name = F.concat_ws("/", F.col("segment_id").cast("string"), window.cast("string"))
+    top = readings.where("height IS NOT NULL").withColumn("_k", k).where(F.col("_k") <= most).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", name.alias("n")))), lambda r: r["n"]).alias("tallest"))
+    g = readings.groupBy(by).agg(F.max(F.coalesce("level", F.lit(0))).alias("worst"), F.count("*").alias("readings"))
+    return g.join(top, by, "left").withColumn("tallest", F.coalesce("tallest", F.array().cast("array<string>")))
 
 
 def level_shares(df: DataFrame, by: str) -> DataFrame:

@@ -451,8 +451,7 @@ def voxel_centroids(s, d):
 
 @query("SELECT point_id, w / avg(w) OVER () AS weight FROM points")
 def weight_normalise(s, d):
-    p = shim.points(s, d)
-    return p.crossJoin(F.broadcast(p.agg(F.avg("w").alias("_m")))).select("point_id", (F.col("w") / F.col("_m")).alias("weight"))
+    return cloud.weights_to_mean_one(shim.points(s, d)).select("point_id", "weight")
 
 
 @query("SELECT frame, least(greatest(1.05, quantile_disc(conf, 0.4)), quantile_disc(conf, 0.9)) AS floor, count(*) AS pixels FROM (SELECT l_suppkey AS frame, l_quantity / 20 AS conf FROM lineitem) GROUP BY 1")

@@ -52,11 +52,11 @@ def plane_low_anchor(s, d):
 
 
 @query(
-    ", l AS (SELECT cell, height AS level, count(*) AS n FROM votes WHERE voxel % 9 = 0 GROUP BY 1, 2), w AS (SELECT DISTINCT cell, cell / 40.0::DOUBLE AS expected FROM votes), f AS (SELECT cell, expected, arg_min(level, (abs(level - expected), -n, level)) AS level FROM w JOIN l USING (cell) WHERE abs(level - expected) <= 0.15 GROUP BY 1, 2) SELECT w.cell, w.expected, level FROM w LEFT JOIN f USING (cell, expected)"
+    ", l AS (SELECT cell, height AS level, count(*) AS n FROM votes GROUP BY 1, 2), w AS (SELECT DISTINCT cell, cell / 40.0::DOUBLE AS expected FROM votes), f AS (SELECT cell, expected, arg_min(level, (abs(level - expected), -n, level)) AS level FROM w JOIN l USING (cell) WHERE abs(level - expected) <= 0.15 GROUP BY 1, 2) SELECT w.cell, w.expected, level FROM w LEFT JOIN f USING (cell, expected)"
 )
 def level_near_expected(s, d):
     v = shim.votes(s, d)
-    levels = v.where("voxel % 9 = 0").groupBy("cell", F.col("height").alias("level")).agg(F.count("*").alias("n"))
+    levels = v.groupBy("cell", F.col("height").alias("level")).agg(F.count("*").alias("n"))
     wanted = v.select("cell", (F.col("cell") / 40.0).alias("expected")).distinct()
     return measures.level_near(levels, wanted, ["cell"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside import shim
 from kerbside.functions import labels, vectors
+from kerbside.functions.text import hash31
 from kerbside.operators import claims, cloud, documents, media
 from kerbside.plans.catalog import query
 from kerbside.plans.surveys import FLOORS, LENS, REJECTS, WORLD, cameras, pixels
@@ -42,7 +43,7 @@ def frame_timeline(s, d):
     return media.frame_timeline(shim.table(s, d, "orders").select("o_orderkey", F.when(k % 7 == 0, '{"frames":[]}').otherwise(made).alias("json")), ["o_orderkey"], "json")
 
 
-# Labels, vectors and levels past
+# Labels, hashes and vectors
 
 KEY = "session_id || ':' || segment_id || ':' || coalesce(window_index::VARCHAR, 'whole')"
 
@@ -78,16 +79,13 @@ def session_labels(s, d):
 HASH = "list_reduce(list_prepend(0::UBIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (h * 31 + c) % 4294967296)"
 
 
-@query(
-    f", h AS (SELECT coalesce(level, 1) AS level, {HASH.format(KEY)} % 1000 / 1000.0::DOUBLE AS r FROM readings), w AS (SELECT weeks, least(0.85, weeks * 0.085::DOUBLE) AS worse, level, r FROM h, (SELECT unnest([0, 4, 12]) AS weeks)),"
-    " p AS (SELECT weeks, CASE WHEN weeks <= 0 OR level >= 3 OR r >= worse THEN level WHEN level = 1 AND r >= worse * 0.45::DOUBLE THEN 2 ELSE 3 END AS level FROM w) SELECT weeks, level, count(*) AS n FROM p GROUP BY 1, 2"
-)
-def levels_weeks_ago(s, d):
+@query(f", h AS (SELECT coalesce(level, 0) AS level, {HASH.format(KEY)} % 16 AS bucket FROM readings) SELECT level, bucket::BIGINT AS bucket, count(*) AS n FROM h GROUP BY 1, 2")
+def stretch_hash_buckets(s, d):
+    """How readings fall into buckets by the hash of their stretch's key."""
     from kerbside.plans.catalog import source
 
     key = labels.stretch_key(F.col("session_id"), F.col("segment_id"), F.col("window_index"))
-    past = source(s, d).select("level", key.alias("k"), F.explode(F.array(F.lit(0), F.lit(4), F.lit(12))).alias("weeks"))
-    return past.select("weeks", claims.level_weeks_ago(F.col("level"), F.col("k"), F.col("weeks")).alias("level")).groupBy("weeks", "level").agg(F.count("*").alias("n"))
+    return source(s, d).select(F.coalesce("level", F.lit(0)).alias("level"), (hash31(key) % 16).alias("bucket")).groupBy("level", "bucket").agg(F.count("*").alias("n"))
 
 
 SEED = "CASE WHEN abs(x) <= abs(y) AND abs(x) <= abs(z) THEN [0, -z, y] WHEN abs(y) <= abs(z) THEN [z, 0, -x] ELSE [-y, x, 0] END"
