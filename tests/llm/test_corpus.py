@@ -131,7 +131,7 @@ def test_queries_equal_their_sql(spark, monkeypatch, sf, broadcast):
         monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     db = duckdb.connect()
     db.sql("SET TimeZone = 'UTC'")
-    for name in ("documents", "benchmark", "pages"):
+    for name in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         db.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/{sf}/{name}.parquet'")
     for name, sql in catalog.ORACLES.items():
         want = db.sql(sql)
