@@ -4,8 +4,8 @@ A random string costs a subword vocabulary many tokens: it gets few characters o
 key characters with a low ratio are reported; separators, digests, UUIDs and numbers, which are known not to be
 secrets, do not count. The patterns' own spans always stay.
 
-Defined results: a null text scans as an empty one; an empty text has no spans; a repeated row is
-scanned again; other columns pass through, but for a column secret_spans, which raises ValueError. Texts
+Defined results: a null text scans as an empty one; an empty text has no spans; an empty table gives an
+empty result; a repeated row is scanned again; other columns pass through, but for a column secret_spans, which raises ValueError. Texts
 are scanned whole, one at a time, with no shuffle, in time that grows with their length; spans that start
 together come in the order of KINDS.
 """

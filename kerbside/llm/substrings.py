@@ -20,7 +20,8 @@ different tasks, 128-bit BLAKE2b digests of the bytes are.
 
 Defined results: texts are UTF-8 bytes, a null one is empty; documents are ordered by doc_id (a null one
 first), those of one doc_id by a hash of their text, and identical rows are one document that comes
-back for each; a text shorter than WIDTH keeps everything; an empty table gives an empty result.
+back for each; a text shorter than WIDTH keeps everything; an empty table gives an empty result; other
+columns than doc_id and text are dropped, whatever their names.
 """
 
 from __future__ import annotations

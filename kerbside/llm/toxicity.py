@@ -149,18 +149,19 @@ def train(documents: DataFrame, labels: DataFrame, categories: list[str], rows:
     # `rows` of a few numbers each are broadcast at most.
     pairs = whole.select("id", F.xxhash64("id", F.length("text")).alias("p")).join(F.broadcast(picked.select("id")), "id")
     last = pairs.select("p").orderBy("p").limit(rows).agg(F.max("p")).first()[0]
-    joined = whole.join(F.broadcast(picked.drop("o")), "id").where(F.xxhash64("id", F.length("text")) <= (0 if last is None else last)).select("id", "text", *(f"y{k}" for k in range(len(named))))
+    joined = whole.join(F.broadcast(picked.drop("o")), "id").where(F.xxhash64("id", F.length("text")) <= (0 if last is None else last)).select("id", "text", *(f"y{k}" for k in range(len(named))), F.xxhash64("id", F.length("text")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             found = [np.sort(features(t.as_py(), cache)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], names=["id", "f", *(f"y{k}" for k in range(len(categories)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], names=["id", "f", *ys, "p"])
 
-    schema = "id long, f binary, " + ", ".join(f"y{k} double" for k in range(len(categories)))
-    sample = map_arrow(joined, run, schema).limit(rows).collect()
-    sample.sort(key=lambda r: (r.id, bytes(r.f)))  # the same model whatever the partitions
-    labelled = np.array([[np.nan if y is None else y for y in r[2:]] for r in sample], float).reshape(-1, len(categories))
+    ys = [f"y{k}" for k in range(len(categories))]
+    schema = "id long, f binary, " + "".join(f"{y} double, " for y in ys) + "p long"
+    sample = map_arrow(joined, run, schema).orderBy("p", *ys, "f").limit(rows).collect()  # the same rows whatever the partitions
+    sample.sort(key=lambda r: (r.id, bytes(r.f)))
+    labelled = np.array([[np.nan if r[y] is None else r[y] for y in ys] for r in sample], float).reshape(-1, len(categories))
     folds = np.array([zlib.crc32(str(r.id).encode()) % FOLDS for r in sample], int)
     return fit(categories, [np.frombuffer(r.f, np.int32) for r in sample], labelled, folds)
 
