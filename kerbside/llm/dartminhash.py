@@ -29,12 +29,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import free_names, map_arrow, smaller, stage, text_key
+from kerbside.llm.common import free_names, give_back, map_arrow, smaller, stage, text_key
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -45,6 +46,8 @@ LEADER_ROUNDS, FRUITFUL = 8, 0.06
 #: in a task's block.
 SKETCH, DOUBT, BLOCK = 1024, 4.5, 4096
 CACHE_WORDS = 100_000
+#: Bytes of texts whose sets a worker holds at once; a longer text stands alone.
+GROUP_BYTES = 2 << 20
 NO_ID = -(1 << 63)
 
 U = np.uint64
@@ -142,26 +145,46 @@ def bands(sign: np.ndarray) -> np.ndarray:
     return mix(np.bitwise_xor.reduce(parts * np.arange(1, 2 * ROWS, 2, dtype=U), axis=1) + np.arange(BANDS, dtype=U))
 
 
+def runs_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes; a larger row stands alone."""
+    start = held = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > start and held + n > most:
+            yield start, k
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def sign_documents(df: DataFrame, weighted: bool) -> DataFrame:
     """at, id, tk of every row, and node (a digest of the set), bands and the set, null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
+        give_back()  # what other stages have left in this worker
         for batch in batches:
-            rows: list[tuple] = []
-            known: dict[bytes, np.ndarray] = {}
-            for text in batch.column(3):
-                found, counts = shingles(text.as_py() or "", cache)
-                if not len(found):
-                    rows.append((None, None, None))
-                    continue
-                whole = packed(found, counts if weighted else np.ones(1, np.int64))
-                node = hashlib.blake2b(whole, digest_size=16).digest()
-                if node not in known:
-                    known[node] = bands(signature(found, counts.astype(float) if weighted else np.ones(len(found)))).view(np.int64)
-                rows.append((node, known[node], whole))
-            new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=["at", "id", "tk", "node", "bands", "whole"])
+            sizes = pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
+            for start, end in runs_of(sizes, GROUP_BYTES):
+                yield signed(batch.slice(start, end - start), cache)
+        cache.clear()
+        give_back()
+
+    def signed(batch: pa.RecordBatch, cache: dict[bytes, int]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        known: dict[bytes, np.ndarray] = {}
+        for text in batch.column(3):
+            found, counts = shingles(text.as_py() or "", cache)
+            if not len(found):
+                rows.append((None, None, None))
+                continue
+            whole = packed(found, counts if weighted else np.ones(1, np.int64))
+            node = hashlib.blake2b(whole, digest_size=16).digest()
+            if node not in known:
+                known[node] = bands(signature(found, counts.astype(float) if weighted else np.ones(len(found)))).view(np.int64)
+            rows.append((node, known[node], whole))
+        new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *new], names=["at", "id", "tk", "node", "bands", "whole"])
 
     schema = T.StructType([*df.schema.fields[:3], *T._parse_datatype_string("node binary, bands array<long>, whole binary").fields])
     return map_arrow(df, run, schema)
