@@ -28,6 +28,23 @@ def circular_mean_deg(angle: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(F.sum(F.sin(F.radians(angle))), F.sum(F.cos(F.radians(angle))))), F.lit(360.0))
 
 
+def cardinal(angle: Column) -> Column:
+    """north, east, south or west: quarters that start at 315 degrees."""
+    return F.when((angle >= 315) | (angle < 45), "north").when(angle < 135, "east").when(angle < 225, "south").when(angle < 315, "west")
+
+
+def even_pixels(value: Column, factor: Column) -> Column:
+    """A scaled number of pixels, to the nearest even one, two at least; halves go up."""
+    return F.greatest(F.lit(2), F.floor(value * factor / 2 + 0.5) * 2).cast("int")
+
+
+def scaled_size(width: Column, height: Column, long_edge: int) -> tuple[Column, Column]:
+    """A frame's size so that its longer side is long_edge; one that is not longer, or no limit, stays."""
+    longest = F.greatest(width, height)
+    stays = longest <= long_edge if long_edge > 0 else F.lit(True)
+    return tuple(F.when(stays, v.cast("int")).otherwise(even_pixels(v, F.lit(float(long_edge)) / longest)) for v in (width, height))
+
+
 def local_metres(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
     """East and north of an origin on a flat local map."""
     return (lon - lon0) * DEGREE_M * F.cos(F.radians(lat0)), (lat - lat0) * DEGREE_M

@@ -87,3 +87,9 @@ def scaled_about(centre: Column, factor: Column) -> Column:
     """The row-major 4 x 4 matrix that scales by a factor about a place."""
     rows = [[factor if i == j else F.lit(0.0) for j in range(3)] + [centre[c] * (1 - factor)] for i, c in enumerate(AXES)]
     return F.array(*(x for r in rows for x in r), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+
+def turned(m: Column, direction: Column) -> Column:
+    """A direction under a row-major 4 x 4 matrix's turn, of length 1; null if it has none."""
+    row = lambda k: m[4 * k] * direction["x"] + m[4 * k + 1] * direction["y"] + m[4 * k + 2] * direction["z"]
+    return unit(vector(row(0), row(1), row(2)))

@@ -90,3 +90,11 @@ def closest_by_index(wanted: DataFrame, frames: DataFrame, key: str) -> DataFram
     listed = frames.groupBy(key).agg(F.array_sort(F.collect_set("index")).alias("_all"))
     best = F.array_min(F.transform("_all", lambda i: F.struct(F.abs(i - F.col("wanted")).alias("d"), i.alias("i"))))
     return wanted.join(listed, key, "left").select(key, "wanted", best["i"].alias("index"))
+
+
+def even_numbers(frames: Column, of: int = 256) -> Column:
+    """The numbers (from 1) of so many frames picked evenly from `of`; all of their own where they are as many or more."""
+    last = F.greatest(frames - 1, F.lit(1))
+    picked = F.transform(F.sequence(F.lit(0), F.greatest(frames - 1, F.lit(0))), lambda i: F.floor(i * (of - 1) / last + 0.5).cast("int") + 1)
+    own = F.transform(F.sequence(F.lit(1), F.greatest(frames, F.lit(1))), lambda i: i.cast("int"))
+    return F.when(frames >= of, own).when(frames <= 0, F.array().cast("array<int>")).otherwise(picked)
