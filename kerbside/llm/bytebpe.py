@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import by_chars, map_arrow, text_first, with_columns
+from kerbside.llm.common import by_chars, give_back, map_arrow, text_first, with_columns
 
 #: Code points handled at once.
 GROUP_CHARS = 1 << 19
@@ -263,6 +263,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] |
     schema = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField(second, T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what other stages have left in this worker
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep) if keep else None
@@ -271,6 +272,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] |
                 more = [decode_ids(i, o, content.value) if with_bytes else o.tobytes() for i, o in pairs]
                 new = {"ids": pa.array([i.tobytes() for i, _ in pairs], pa.binary()), second: pa.array(more, pa.binary()), "n_tokens": pa.array([len(i) for i, _ in pairs], pa.int64())}
                 yield with_columns(rest.slice(a, b - a), keep, **new) if keep else pa.RecordBatch.from_arrays(list(new.values()), names=list(new))
+        give_back()
 
     return map_arrow(text_first(df, text, keep), run, schema)
 

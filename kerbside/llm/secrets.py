@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbside.llm.bytebpe import read_ranks
-from kerbside.llm.common import map_arrow, text_first, with_columns
+from kerbside.llm.common import give_back, map_arrow, text_first, with_columns
 
 #: Characters for each token below which a run counts as random.
 CHARS_PER_TOKEN = 2.2
@@ -180,6 +180,7 @@ def scan(df: DataFrame, ranks_path: str, pattern: str, ratio: float = CHARS_PER_
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans_of(value.as_py() or "", encoding, ratio)])
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep)
             yield with_columns(rest, keep, secret_spans=pa.array(out, arrow))
+        give_back()
 
     return map_arrow(text_first(df, text, keep), run, schema)
 
