@@ -82,19 +82,29 @@ def to_world(pixels: DataFrame, cameras: DataFrame, fx: float, fy: float, cx: fl
     return pixels.join(cameras, by).withColumns(out).select(*pixels.columns, "x", "y", "z")
 
 
-def stations(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+def stations(points: DataFrame, lines: DataFrame, key: str, within: float | None = None) -> DataFrame:
     """Points (x, y) beside their key's polyline (vertices key, ord, x, y): metres along it, distance from
     it, side (1 left, -1 right), and whether the nearest place is past an end.
 
     A polyline has a few hundred vertices at most, so it travels as one array with each point; of
     distances that are equal to a nanometre the earliest piece wins. A point of a key without a line of some
-    length has no station and is left out.
+    length has no station and is left out. With `within`, so are points farther than that from their line; a
+    point then meets only the pieces about it, by cells of the map that the pieces' boxes reach into.
     """
     o = Window.partitionBy(key).orderBy("ord")
     size = F.hypot(F.lead("x").over(o) - F.col("x"), F.lead("y").over(o) - F.col("y"))
     pieces = lines.select(key, "ord", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(o).alias("bx"), F.lead("y").over(o).alias("by"), size.alias("size")).where("size > 0")
     pieces = pieces.withColumns({"before": F.sum("size").over(o) - F.col("size"), "last": F.lead("ord").over(o).isNull(), "first": F.lag("ord").over(o).isNull()})
-    listed = pieces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "ax", "ay", "bx", "by", "size", "before", "last", "first"))).alias("_line"))
+    whole = F.array_sort(F.collect_list(F.struct("ord", "ax", "ay", "bx", "by", "size", "before", "last", "first"))).alias("_line")
+    cells, keys = [], [key]
+    if within is not None:
+        size_m = max(4 * within, 1e-6)
+        for c, name in (("x", "_i"), ("y", "_j")):
+            span = F.sequence(F.floor((F.least(f"a{c}", f"b{c}") - within) / size_m), F.floor((F.greatest(f"a{c}", f"b{c}") + within) / size_m))
+            pieces = pieces.withColumn(name, F.explode(span))
+            cells.append(F.floor(F.col(c) / size_m).alias(name))
+        keys += ["_i", "_j"]
+    listed = pieces.groupBy(*keys).agg(whole)
 
     def at(p: Column) -> Column:
         dx, dy = p["bx"] - p["ax"], p["by"] - p["ay"]
@@ -105,7 +115,10 @@ def stations(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
         return F.struct(F.round(far, 9).alias("distance"), p["ord"].alias("ord"), (p["before"] + t * p["size"]).alias("along"), F.signum(cross).cast("int").alias("side"), ((p["last"] & (free > 1)) | (p["first"] & (free < 0))).alias("past_end"))
 
     best = F.array_min(F.transform("_line", at))
-    return points.join(listed, key).withColumn("_b", best).select(*points.columns, "_b.along", "_b.distance", "_b.side", "_b.past_end")
+    placed = points.select(*points.columns, *cells).join(listed, keys).withColumn("_b", best)
+    if within is not None:
+        placed = placed.where(F.col("_b.distance") <= within)
+    return placed.select(*points.columns, "_b.along", "_b.distance", "_b.side", "_b.past_end")
 
 
 def band_faults(widest_m: float, side: int, tallest_m: float, rmse: float) -> Column:

@@ -93,16 +93,14 @@ def placed(seen: DataFrame, cameras: DataFrame, edges: DataFrame, grounds: DataF
     over = (F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("offset")) / F.col("upright")
     tall = world.withColumn("height", over).where(F.col("height") >= -3 * F.abs("rmse")).withColumn("height", F.greatest("height", F.lit(0.0)))
     tall = tall.withColumn("canopy", (F.col("kind") == "grass") & (F.col("height") > o.tallest))
-    at = grid.stations(tall.select("road", "frame", "kind", "r", "c", "height", "canopy", "length", _along("a").alias("x"), _along("b").alias("y")), flat, "road")
-    inside = F.col("distance") <= o.widest
-    if o.side:
-        inside = inside & (F.col("side") == o.side)
+    at = grid.stations(tall.select("road", "frame", "kind", "r", "c", "height", "canopy", "length", _along("a").alias("x"), _along("b").alias("y")), flat, "road", o.widest)
+    inside = F.col("side") == o.side if o.side else F.lit(True)
     if o.drop_past_ends:
         inside = inside & ~F.col("past_end")
     index = lambda value, whole: F.least(F.greatest(F.ceil(whole / o.cell) - 1, F.lit(0)), F.greatest(F.lit(0), F.floor(F.col(value) / o.cell)))
     cell = F.struct("road", index("along", F.col("length")).alias("column"), index("distance", F.lit(o.widest)).alias("row"))
     voxel = F.struct(*(F.floor(F.col(c) / o.voxel).alias(c) for c in ("along", "distance", "height")))
-    return at.where(inside | F.col("canopy")).select(cell.alias("cell"), "frame", "kind", voxel.alias("voxel"), "height", "canopy", "r", "c")
+    return at.where(inside).select(cell.alias("cell"), "frame", "kind", voxel.alias("voxel"), "height", "canopy", "r", "c")
 
 
 def ground_is_small(ground: DataFrame, rows: int = 100_000) -> bool:

@@ -88,3 +88,16 @@ def test_odd_roads(spark):
     assert verge.assess(px, cams, edge, edge_on, LENS, BASE).count() == 0
     none = px.withColumn("depth", F.lit(None).cast("double"))
     assert verge.assess(none, cams, edge, ground, LENS, BASE).count() == 0
+
+
+def test_stations_within_reach_are_those_of_all_pieces(spark):
+    from kerbside.operators import grid
+
+    d = np.random.default_rng(4)
+    line = [(r, k, float(7 * k + d.normal(0, 2)), float(d.normal(0, 6))) for r in ("a", "b") for k in range(30)]
+    lines = spark.createDataFrame(line, "road string, ord long, x double, y double")
+    points = spark.createDataFrame([(k, "ab"[k % 2], float(d.uniform(-20, 230)), float(d.normal(0, 12))) for k in range(600)], "k long, road string, x double, y double")
+    for reach in (0.5, 3.0, 40.0):
+        want = grid.stations(points, lines, "road").where(F.col("distance") <= reach)
+        got = grid.stations(points, lines, "road", reach)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
