@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside import shim
-from kerbside.operators import verge
+from kerbside.operators import roadside
 from kerbside.plans.catalog import query
 
 SIDE_PX = 12
 LENS = (20.0, 20.0, 6.0, 6.0)
-OPTIONS = verge.Options(widest=6.0, cell=2.0, voxel=0.5, least_frames=2, least_voxels=2, tallest=2.0, canopy_extent=0.55, canopy_gap=0.45, slope_rise=0.2, structure_frames=2, side=1, drop_past_ends=True)
+OPTIONS = roadside.Options(widest=6.0, cell=2.0, voxel=0.5, least_frames=2, least_voxels=2, tallest=2.0, canopy_extent=0.55, canopy_gap=0.45, slope_rise=0.2, structure_frames=2, side=1, drop_past_ends=True)
 #: The tilted ground of road 1.
 LEAN = 0.05
 
@@ -102,7 +102,7 @@ SHOWN = "array_to_string(evidence, ' ')"
 
 
 def assessed(s, d) -> DataFrame:
-    return verge.assess(pixels(s, d), cameras(s, d), edges(s, d), grounds(s, d), LENS, OPTIONS)
+    return roadside.assess(pixels(s, d), cameras(s, d), edges(s, d), grounds(s, d), LENS, OPTIONS)
 
 
 def joined(numbers):
@@ -110,7 +110,7 @@ def joined(numbers):
 
 
 @query(CELLS + f" SELECT {', '.join(chr(34) + c + chr(34) for c in EXACT)}, {', '.join(f'round({c}, 6) AS {c}' for c in MEASURED)}, {SHOWN} AS evidence FROM assessed")
-def verge_cells(s, d):
+def roadside_cells(s, d):
     return assessed(s, d).select(*EXACT, *(F.round(c, 6).alias(c) for c in MEASURED), joined("evidence").alias("evidence"))
 
 
@@ -128,12 +128,12 @@ ORDERS = {"lowest": "extent95", "median": "abs(extent95 - middle)", "highest": "
     + ", {'reason': 'abstained', 'at': min({'c': \"column\", 'r': \"row\"}) FILTER (status = 'abstained')}] AS ps FROM assessed LEFT JOIN k USING (road) GROUP BY 1)"
     + " SELECT road, cells, measured, abstained, canopy, slope, structure, round(h95_low, 6) AS h95_low, round(h95_high, 6) AS h95_high, round(extent95_low, 6) AS extent95_low, round(extent95_high, 6) AS extent95_high, measured / cells::DOUBLE AS coverage, array_to_string(list_transform(list_filter(ps, lambda p, i: p.at IS NOT NULL AND list_position(list_transform(ps, lambda q: q.at), p.at) = i), lambda p: p.at.c || '/' || p.at.r || ' ' || p.reason), ', ') AS samples FROM g"
 )
-def verge_summary(s, d):
-    told = verge.summary(assessed(s, d))
+def roadside_summary(s, d):
+    told = roadside.summary(assessed(s, d))
     listed = F.array_join(F.transform("samples", lambda p: F.concat(p["column"].cast("string"), F.lit("/"), p["row"].cast("string"), F.lit(" "), p["reason"])), ", ")
     return told.select("road", "cells", "measured", "abstained", "canopy", "slope", "structure", *(F.round(c, 6).alias(c) for c in ("h95_low", "h95_high", "extent95_low", "extent95_high")), "coverage", listed.alias("samples"))
 
 
 @query(FRAMES + " SELECT road, frame, r, c, inner_ AS kept FROM er2 WHERE grass")
 def mask_erosion(s, d):
-    return verge.eroded(pixels(s, d), "grass", 2, verge.FRAME, "kept").where("grass").select("road", "frame", "r", "c", "kept")
+    return roadside.eroded(pixels(s, d), "grass", 2, roadside.FRAME, "kept").where("grass").select("road", "frame", "r", "c", "kept")

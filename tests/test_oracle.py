@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from kerbside.plans import catalog, decisions, files, forms, ground, history, measures, records, roads, streams, surfaces, surveys, verge  # noqa: F401
+from kerbside.plans import catalog, decisions, files, forms, ground, history, measures, records, roads, roadside, streams, surfaces, surveys  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import verge
-from kerbside.plans import verge as plans
+from kerbside.operators import roadside
+from kerbside.plans import roadside as plans
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,7 +16,7 @@ def test_erosion_equals_windows(spark, radius):
     masks = {f: d.random((12, 17)) < 0.96 for f in range(3)}
     rows = [("a", f, r, c, bool(m[r, c])) for f, m in masks.items() for r in range(12) for c in range(17) if (f, r, c) != (2, 5, 5)]  # one pixel is missing
     masks[2][5, 5] = False
-    out = verge.eroded(spark.createDataFrame(rows, "road string, frame int, r int, c int, grass boolean"), "grass", radius, verge.FRAME, "kept")
+    out = roadside.eroded(spark.createDataFrame(rows, "road string, frame int, r int, c int, grass boolean"), "grass", radius, roadside.FRAME, "kept")
     want = set()
     for f, m in masks.items():
         view = np.lib.stride_tricks.sliding_window_view(np.pad(m, radius), (2 * radius + 1, 2 * radius + 1)).all(axis=(2, 3))
@@ -44,12 +44,12 @@ def scene(spark, tall, frames=4, structure=False, conf=None):
     return px, cams, edge, ground
 
 
-BASE = verge.Options(widest=8.0, cell=4.0, voxel=0.5, least_frames=3, least_voxels=3, erosion=0, most_step=0.5, side=1)
+BASE = roadside.Options(widest=8.0, cell=4.0, voxel=0.5, least_frames=3, least_voxels=3, erosion=0, most_step=0.5, side=1)
 LENS = (20.0, 20.0, 4.0, 0.0)
 
 
 def assess(spark, tall, o=BASE, **more):
-    return {(r.column, r.row): r for r in verge.assess(*scene(spark, tall, **more), LENS, o).collect()}
+    return {(r.column, r.row): r for r in roadside.assess(*scene(spark, tall, **more), LENS, o).collect()}
 
 
 def test_statuses(spark):
@@ -76,18 +76,18 @@ def test_a_slope_begins_at_its_foot(spark):
     column = sorted(r.row for r in got.values() if r.status == "slope" and r.column == 5)
     rows = sorted(r.row for r in got.values() if r.column == 5)
     assert column and column == rows[rows.index(column[0]) :] and column[0] > 0
-    summary = verge.summary(verge.assess(*scene(spark, lambda x, y: max(0.0, (y - 2) * 0.2)), LENS, o)).first()
+    summary = roadside.summary(roadside.assess(*scene(spark, lambda x, y: max(0.0, (y - 2) * 0.2)), LENS, o)).first()
     assert summary.cells == len(got) and summary.slope == sum(r.status == "slope" for r in got.values()) and summary.samples[0].reason == "lowest"
 
 
 def test_odd_roads(spark):
     px, cams, edge, ground = scene(spark, lambda x, y: 0.2)
-    assert verge.assess(px.where("false"), cams, edge, ground, LENS, BASE).count() == 0
-    assert verge.assess(px, cams, edge.where("ord = 0"), ground, LENS, BASE).count() == 0
+    assert roadside.assess(px.where("false"), cams, edge, ground, LENS, BASE).count() == 0
+    assert roadside.assess(px, cams, edge.where("ord = 0"), ground, LENS, BASE).count() == 0
     edge_on = ground.withColumns({"nx": F.lit(1.0), "nz": F.lit(0.0)})
-    assert verge.assess(px, cams, edge, edge_on, LENS, BASE).count() == 0
+    assert roadside.assess(px, cams, edge, edge_on, LENS, BASE).count() == 0
     none = px.withColumn("depth", F.lit(None).cast("double"))
-    assert verge.assess(none, cams, edge, ground, LENS, BASE).count() == 0
+    assert roadside.assess(none, cams, edge, ground, LENS, BASE).count() == 0
 
 
 def test_stations_within_reach_are_those_of_all_pieces(spark):
