@@ -60,6 +60,14 @@ def test_pairs_equal_all_pairs(spark):
         assert got == want and len(want) > 200
 
 
+def test_keys_of_one_spot_are_paired_over_all_their_parts(spark, monkeypatch):
+    monkeypatch.setattr(places, "KEYS_IN_ROW", 3)
+    rows = [("r", k, 0.5 * (k % 3), -23.0 + 0.0045 * (k % 3), -46.0) for k in range(60)] + [("r", 99, None, -23.0, -46.0)]
+    out = places.neighbour_pairs(spark.createDataFrame(rows, COLUMNS), "stop_id", digits=3).collect()
+    got = sorted((r.a, r.b, r.distance) for r in out)
+    assert got == [(a, b, round(1000 * routes.apart_km(rows[a][3:], rows[b][3:]), 3)) for a in range(60) for b in range(a + 1, 60)]
+
+
 def test_the_nearest_marker_has_no_limit(spark):
     markers = spark.createDataFrame([("M", 3, 0.0, 0.0), ("N", 1, 0.0, 0.0), ("O", 7, 10.0, 10.0)], "marker string, km int, mlat double, mlon double")
     out = places.nearest_of_all(spark.createDataFrame([(1, 1.0, 1.0), (2, 60.0, 60.0)], "k int, lat double, lon double"), markers).orderBy("k").collect()
