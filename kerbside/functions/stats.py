@@ -32,3 +32,12 @@ def share(part: Column, whole: Column) -> Column:
 def counted(condition: Column) -> Column:
     """Rows of a group that meet the condition: 0, not null, for none."""
     return F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).cast("long")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x times a power of ten to the nearest whole number, halves away from 0, as SQL engines round doubles.
+
+    Spark's round goes by a double's shortest decimals, so the two differ for values next to a half.
+    """
+    whole = F.floor(F.abs(x) * 10.0**digits + 0.5)
+    return F.when(finite(x).isNotNull(), F.signum(x) * whole / 10.0**digits).otherwise(x)

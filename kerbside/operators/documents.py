@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.levels import fix_quality, worst_quality
-from kerbside.functions.stats import interpolated, nearest_rank
+from kerbside.functions.stats import interpolated, nearest_rank, rounded
 
 VOTE = "struct<frameIndex: int, sampleCount: bigint, h95M: double>"
 CELL = f"struct<localGroundM: double, h95M: double, extent95M: double, status: string, evidenceFrameIndices: array<int>, frameVotes: array<{VOTE}>>"
@@ -105,9 +105,9 @@ def band_polygon(path: DataFrame, key: str, order: str, half_m: float) -> DataFr
     first = lambda f, c: F.coalesce(f(c).over(o), F.col(c))
     flat = F.cos(F.radians("lat")) * 111320.0
     dx, dy = (first(F.lead, "lon") - first(F.lag, "lon")) * flat, (first(F.lead, "lat") - first(F.lag, "lat")) * 111320.0
-    sides = path.withColumns({"_x": dx, "_y": dy, "_f": flat}).withColumn("_l", F.hypot("_x", "_y")).where("_l > 0")
+    sides = path.withColumns({"_x": dx, "_y": dy, "_f": flat}).withColumn("_l", F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))).where("_l > 0")
     east, north = -F.col("_y") / F.col("_l") * half_m / F.col("_f"), F.col("_x") / F.col("_l") * half_m / 111320.0
-    at = lambda s: F.array(F.round(F.col("lon") + s * east, 9), F.round(F.col("lat") + s * north, 9))
+    at = lambda s: F.array(rounded(F.col("lon") + s * east, 9), rounded(F.col("lat") + s * north, 9))
     g = sides.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), at(1).alias("l"), at(-1).alias("r")))).alias("v"))
     left, right = F.transform("v", lambda p: p["l"]), F.reverse(F.transform("v", lambda p: p["r"]))
     ring = F.concat(left, right, F.slice(left, 1, 1))

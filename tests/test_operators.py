@@ -252,3 +252,13 @@ def test_labels_fall_back(spark):
     assert got == ["BR km 3", "Elm", "1.50000, -2.25000", None]
     sizes = spark.createDataFrame([([],), (["a"],), (["a", "b", "c"],)], "l array<string>")
     assert [r[0] for r in sizes.select(labels.places_label(F.col("l"))).collect()] == [None, "a", "a and 2 more"]
+
+
+def test_halves_are_rounded_as_sql_rounds_doubles(spark):
+    import duckdb
+
+    odd = [48.714663815499996, -49.632494819499996, 45.292156167499996, 0.0, -1.5e-9, float("inf"), None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(odd)], "k int, v double")
+    got = [r.w for r in df.select("k", stats.rounded(F.col("v"), 9).alias("w")).orderBy("k").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchone()[0] for v in odd]
+    assert got[0] == 48.714663816
