@@ -1,18 +1,27 @@
 """Roads from camera tracks, and places between the road's frame and the world.
 
-A track or an edge has a few hundred vertices, so it travels as one array; points, cells and rungs are rows.
+Vertices, points, cells and rungs are rows; a track is thinned as a stream of its places in order, and a place
+meets only the pieces of its road about it.
 Grounds come as one plane for each road: (road, nx, ny, nz, offset), the normal of any length.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from kerbside.functions.vectors import AXES, cross, dot, let, unit, vector
+from kerbside.session import ship_package
 
 #: Metres between the vertices kept, and the least way that still gives a direction.
 SPACING_M, LEAST_WAY_M = 0.5, 1e-6
+#: Pieces of a road's mean length in one cell along it.
+PIECES_IN_CELL = 8
 
 
 def xyz(prefix: str = "") -> Column:
@@ -44,26 +53,65 @@ def on_ground(p: Column) -> Column:
     return moved(p, F.col("_n"), -(dot(F.col("_n"), p) + F.col("_d")))
 
 
-def thinned_tracks(poses: DataFrame, grounds: DataFrame) -> DataFrame:
-    """(road, source_poses, _v): each track's places on the ground, those kept that lie SPACING_M or more from
+def finite_poses(poses: DataFrame) -> DataFrame:
+    """Poses with their place _p, null for those that are not finite."""
+    finite = sum((F.col(c) * 0 for c in AXES), F.lit(0.0)) == 0  # neither null, NaN nor infinite
+    return poses.withColumn("_p", F.when(finite, xyz()))
+
+
+def kept_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of places (road, x, y, z) in their roads' order those SPACING_M or more from the last one kept, numbered;
+    a road that keeps one place only also keeps its last, if they differ. Holds one place of one road."""
+    road = kept = end = kind = None
+    n = 0
+
+    def apart(a: tuple, b: tuple) -> float:
+        return math.sqrt(sum((u - v) * (u - v) for u, v in zip(a, b, strict=True)))
+
+    def closed() -> list[tuple]:
+        return [(road, 1, *end)] if n == 1 and not apart(end, kept) <= LEAST_WAY_M else []
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        types = (kind, pa.int64(), *(pa.float64(),) * 3)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["road", "ord", *AXES])
+
+    for b in batches:
+        rows, kind = [], b.schema.field(0).type
+        for r, *at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if n == 0 or r != road:
+                rows += closed()
+                road, n = r, 0
+            if n == 0 or not apart(at, kept) < SPACING_M:
+                rows.append((r, n, *at))
+                kept, n = at, n + 1
+            end = at
+        yield batch(rows)
+    if kind is not None:
+        yield batch(closed())
+
+
+def thinned_vertices(poses: DataFrame, grounds: DataFrame) -> DataFrame:
+    """(road, ord, x, y, z): each track's places on the ground, those kept that lie SPACING_M or more from
     the last one kept. A track that stays within that keeps its first and its last place, if they differ.
 
-    Poses are (road, ord, x, y, z); those that are not finite count as poses and are passed over.
+    Which are kept goes from one to the next, so a track is read by one task, as a stream.
     """
-    finite = sum((F.col(c) * 0 for c in AXES), F.lit(0.0)) == 0  # neither null, NaN nor infinite
-    at = poses.withColumn("_p", F.when(finite, xyz()))
-    listed = at.groupBy("road").agg(F.count("*").alias("source_poses"), F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("ord", F.col("_p").alias("p"))))).alias("_t"))
-    flat = listed.join(uprights(grounds), "road").withColumn("_t", F.transform("_t", lambda v: on_ground(v["p"])))
-    none = F.slice(F.col("_t"), 1, 0)
+    ship_package(poses.sparkSession)
+    there = finite_poses(poses).where("_p IS NOT NULL").join(uprights(grounds), "road")
+    flat = there.select("road", "ord", "_p", on_ground(F.col("_p")).alias("_q")).repartition("road").sortWithinPartitions("road", "ord", "_p")
+    schema = StructType([StructField("road", poses.schema["road"].dataType), StructField("ord", LongType()), *(StructField(c, DoubleType()) for c in AXES)])
+    return flat.select("road", *(F.col("_q")[c].alias(c) for c in AXES)).mapInArrow(kept_places, schema)
 
-    def put(kept: Column, p: Column) -> Column:
-        far = F.size(kept) == 0
-        return F.when(far, F.array(p)).when(long(difference(p, F.try_element_at(kept, F.lit(-1)))) >= SPACING_M, F.concat(kept, F.array(p))).otherwise(kept)
 
-    kept = flat.withColumn("_v", F.aggregate("_t", none, put))
-    first, last = F.try_element_at("_v", F.lit(1)), F.try_element_at("_t", F.lit(-1))
-    alone = F.size("_v") == 1
-    return kept.withColumn("_v", F.when(alone & (long(difference(last, first)) > LEAST_WAY_M), F.array(first, last)).otherwise(F.col("_v")))
+def thinned_tracks(poses: DataFrame, grounds: DataFrame) -> DataFrame:
+    """(road, source_poses, vertices): how many poses each track has, and how many vertices thinned_vertices keeps.
+
+    Poses are (road, ord, x, y, z); those that are not finite count as poses and are passed over.
+    """
+    kept = thinned_vertices(poses, grounds).groupBy("road").agg(F.count("*").alias("vertices"))
+    told = poses.groupBy("road").agg(F.count("*").alias("source_poses")).join(uprights(grounds).select("road"), "road")
+    return told.join(kept, "road", "left").withColumn("vertices", F.coalesce("vertices", F.lit(0)))
 
 
 def edges(poses: DataFrame, grounds: DataFrame, offset_m: float) -> DataFrame:
@@ -71,30 +119,41 @@ def edges(poses: DataFrame, grounds: DataFrame, offset_m: float) -> DataFrame:
 
     A vertex is moved across the way from the vertex before it to the one after. A track without a way has no edge.
     """
-    tracks = thinned_tracks(poses, grounds).where(F.size("_v") >= 2).select("road", "_n", F.posexplode("_v").alias("ord", "p"))
     o = Window.partitionBy("road").orderBy("ord")
+    line = thinned_vertices(poses, grounds).select("road", "ord", xyz().alias("p")).withColumn("_more", F.lead("ord").over(o))
+    tracks = line.where("ord > 0 OR _more IS NOT NULL").drop("_more").join(uprights(grounds).select("road", "_n"), "road")
     way = unit(difference(F.coalesce(F.lead("p").over(o), F.col("p")), F.coalesce(F.lag("p").over(o), F.col("p"))))
     side = tracks.withColumn("_w", way).withColumn("_s", unit(cross(F.col("_n"), F.col("_w"))))
     out = side.withColumn("p", F.when(F.col("_s").isNotNull(), moved(F.col("p"), F.col("_s"), F.lit(float(offset_m)))).otherwise(F.col("p")))
-    return out.select("road", F.col("ord").cast("long").alias("ord"), *(F.col("p")[c].alias(c) for c in AXES))
+    return out.select("road", "ord", *(F.col("p")[c].alias(c) for c in AXES))
 
 
 def pieces(lines: DataFrame) -> DataFrame:
-    """(road, _line): each road's pieces of some length, with the metres before them."""
+    """(road, ord, a, b, size, before, end, start): each road's pieces of some length, with the metres before them,
+    at their end, and at the end of the piece before."""
     o = Window.partitionBy("road").orderBy("ord")
     both = lines.select("road", "ord", xyz().alias("a"), F.lead(xyz()).over(o).alias("b")).withColumn("size", long(difference(F.col("b"), F.col("a")))).where("size > 0")
-    before = both.withColumn("before", F.sum("size").over(o) - F.col("size"))
-    return before.groupBy("road").agg(F.array_sort(F.collect_list(F.struct("ord", "a", "b", "size", "before"))).alias("_line"))
+    before = both.withColumn("before", F.sum("size").over(o) - F.col("size")).withColumn("end", F.col("before") + F.col("size"))
+    return before.withColumn("start", F.coalesce(F.lag("end").over(o), F.lit(0.0)))
 
 
 def to_world(places: DataFrame, lines: DataFrame, grounds: DataFrame, along: str = "along", distance: str = "distance", side: int = -1) -> DataFrame:
     """Places with x, y and z: so many metres along their road, and away from it to its right (left for side 1).
 
-    What lies before the start or past the end is put at that end. A road without a way gives null.
+    What lies before the start or past the end is put at that end. A road without a way gives null. Pieces are
+    dealt to the cells along their road that they reach into, cells of some mean lengths of its pieces, so a
+    place meets only those of its cell; the last piece also has a cell of its own, for what is past the end.
     """
-    at = places.join(pieces(lines), "road", "left").join(uprights(grounds), "road", "left")
+    every = pieces(lines)
+    roads = every.groupBy("road").agg((F.sum("size") / F.count("*") * PIECES_IN_CELL).alias("_cell_m"), F.max("end").alias("_length"), F.max("ord").alias("_last"))
+    at_cell = lambda s: F.floor(s / F.col("_cell_m"))
+    reached = F.sequence(at_cell(F.col("start")), F.greatest(at_cell(F.col("start")), at_cell(F.col("end"))))
+    dealt = every.join(roads, "road").withColumn("_cell", F.explode(F.when(F.col("ord") == F.col("_last"), F.concat(reached, F.array(F.lit(-1).cast("long")))).otherwise(reached)))
+    line = dealt.groupBy("road", "_cell").agg(F.array_sort(F.collect_list(F.struct("ord", "a", "b", "size", "before", "end"))).alias("_line"))
     s = F.greatest(F.lit(0.0), F.col(along))
-    piece = F.when(F.size("_line") > 0, F.coalesce(F.try_element_at(F.filter("_line", lambda p: s <= p["before"] + p["size"]), F.lit(1)), F.try_element_at("_line", F.lit(-1))))
+    at = places.join(roads.drop("_last"), "road", "left").withColumn("_cell", F.when(s > F.col("_length"), F.lit(-1).cast("long")).otherwise(at_cell(s)))
+    at = at.join(line, ["road", "_cell"], "left").join(uprights(grounds), "road", "left")
+    piece = F.when(F.size("_line") > 0, F.coalesce(F.try_element_at(F.filter("_line", lambda p: s <= p["end"]), F.lit(1)), F.try_element_at("_line", F.lit(-1))))
 
     def put(p: Column) -> Column:
         part = F.least(F.lit(1.0), (s - p["before"]) / p["size"])
@@ -123,12 +182,13 @@ def band_segments(lines: DataFrame, grounds: DataFrame, width_m: float, spacing_
     out = F.coalesce(unit(cross(F.col("_w"), F.col("_n"))), vector(*map(F.lit, (0, 0, 0))))
     v = v.withColumn("far", moved(F.col("a"), out, F.lit(float(width_m)))).withColumn("gone", F.sum("_step").over(o))
     v = v.withColumns({"b": F.lead("a").over(o), "far_b": F.lead("far").over(o)})
-    # A rung may stand at each vertex once: the n-th stands where the way is n - 1 spacings at least.
-    listed = v.groupBy("road").agg(F.array_sort(F.collect_list(F.struct("ord", "gone"))).alias("_g"))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("at"))
-    step = lambda acc, x: F.when(x["gone"] >= acc["n"] * spacing_m, F.struct((acc["n"] + 1).alias("n"), F.concat(acc["at"], F.array(x["ord"].cast("bigint"))).alias("at"))).otherwise(acc)
-    rungs = listed.select("road", F.explode(F.aggregate("_g", start, step)["at"]).alias("ord"))
+    # A rung may stand at each vertex once: the n-th stands where the way is n - 1 spacings at least. So rungs are
+    # as many as multiples of the spacing so far, or one more than at the vertex before.
+    multiple = F.floor(F.col("gone") / spacing_m)
+    multiple = F.when((multiple + 1) * spacing_m <= F.col("gone"), multiple + 1).when(multiple * spacing_m > F.col("gone"), multiple - 1).otherwise(multiple)
+    v = v.withColumn("_i", F.row_number().over(o)).withColumn("_rungs", F.col("_i") + F.least(F.lit(0), F.min(multiple + 1 - F.col("_i")).over(o)))
+    rungs = v.withColumn("_before", F.coalesce(F.lag("_rungs").over(o), F.lit(0))).where("_rungs > _before")
     row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
     rails = v.where("b IS NOT NULL").select("road", "ord", F.explode(F.array(row("near", "a", "b"), row("far", "far", "far_b"))).alias("_r"))
-    every = rails.unionByName(v.join(rungs, ["road", "ord"]).select("road", "ord", row("rung", "a", "far").alias("_r")))
+    every = rails.unionByName(rungs.select("road", "ord", row("rung", "a", "far").alias("_r")))
     return every.where(F.lit(width_m > 0)).select("road", "_r.kind", "ord", *(F.col(f"_r.{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in AXES))

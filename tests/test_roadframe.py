@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +63,22 @@ def test_quads_and_bands(spark):
     assert sorted((r.kind, r.ord) for r in band) == [("far", k) for k in range(4)] + [("near", k) for k in range(4)] + [("rung", k) for k in (0, 2, 3)]
     assert all((r.bz - r.az, r.ax) == (3.0, r.bx) for r in band if r.kind == "rung")
     assert roadframe.band_segments(lines, ground(spark, "r"), 0.0).count() == 0
+
+
+def test_tracks_are_thinned_as_a_stream(spark):
+    """Over borders of batches, without a track's vertices in one row."""
+    xs = [("a", 0.3 * k) for k in range(7)] + [("b", 0.0), ("b", 0.2)] + [("c", 1.0)]
+    batches = [pa.RecordBatch.from_pydict({"road": [r], "x": [x], "y": [0.0], "z": [0.0]}) for r, x in xs]
+    got = [(r["road"], r["ord"], r["x"]) for b in roadframe.kept_places(iter(batches)) for r in b.to_pylist()]
+    assert got == [("a", 0, 0.0), ("a", 1, 0.6), ("a", 2, 1.2), ("a", 3, pytest.approx(1.8)), ("b", 0, 0.0), ("b", 1, 0.2), ("c", 0, 1.0)]
+
+
+def test_places_meet_the_piece_they_are_on(spark):
+    """Short pieces beside one that spans many cells, and places on every vertex."""
+    xs = [0.0, 0.001, 0.002, 0.5, 40.0, 40.25, *(40.25 + 0.01 * k for k in range(1, 60))]
+    lines = spark.createDataFrame([("r", k, x, 0.0, 0.0) for k, x in enumerate(xs)], POSES)
+    where = [*xs, *(0.37 * k - 1 for k in range(120))]
+    places = spark.createDataFrame([(k, "r", x, 0.0) for k, x in enumerate(where)], "k long, road string, along double, distance double")
+    got = {r.k: r.x for r in roadframe.to_world(places, lines, ground(spark, "r")).collect()}
+    assert [got[k] for k in range(len(where))] == pytest.approx([min(max(x, 0.0), xs[-1]) for x in where])
+    assert "_line" not in roadframe.pieces(lines).columns  # pieces stay rows
