@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.levels import fix_quality, worst_quality
-from kerbside.functions.stats import interpolated, nearest_rank, rounded
+from kerbside.functions.stats import counted, interpolated, nearest_rank, rounded
 
 VOTE = "struct<frameIndex: int, sampleCount: bigint, h95M: double>"
 CELL = f"struct<localGroundM: double, h95M: double, extent95M: double, status: string, evidenceFrameIndices: array<int>, frameVotes: array<{VOTE}>>"
@@ -29,12 +29,13 @@ def stretch_projection(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def frame_readings(cells: DataFrame, keys: list[str]) -> DataFrame:
     """What each frame (numbered from 1) says: cells, samples, heights over ground, disagreement, evidence."""
-    votes = cells.select(*keys, "cell", "localGroundM", F.col("h95M").alias("cell95"), F.explode("frameVotes").alias("v"))
-    over = F.col("v.h95M") - F.col("localGroundM")
-    votes = votes.select(*keys, (F.col("v.frameIndex") + 1).alias("frame"), F.col("v.sampleCount").alias("n"), over.alias("over"), F.abs(F.col("v.h95M") - F.col("cell95")).alias("off"))
-    v = votes.groupBy(*keys, "frame").agg(F.count("*").alias("cells"), F.sum("n").alias("samples"), interpolated("over").alias("median_height"), F.max("over").alias("max_height"), F.max("off").alias("disagreement"))
-    e = cells.select(*keys, F.explode("evidenceFrameIndices").alias("f")).groupBy(*keys, (F.col("f") + 1).alias("frame")).agg(F.count("*").alias("evidence"))
-    return v.join(e, [*keys, "frame"], "full_outer").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("cells", "samples", "evidence")})
+    vote = lambda v: F.struct((v["frameIndex"] + 1).alias("frame"), F.lit(True).alias("vote"), v["sampleCount"].alias("n"), (v["h95M"] - F.col("localGroundM")).alias("over"), F.abs(v["h95M"] - F.col("h95M")).alias("off"))
+    shown = lambda f: F.struct((f + 1).alias("frame"), F.lit(False).alias("vote"), F.lit(None).cast("bigint").alias("n"), *(F.lit(None).cast("double").alias(c) for c in ("over", "off")))
+    none = F.array().cast("array<struct<frame: int, vote: boolean, n: bigint, over: double, off: double>>")
+    # Both kinds of lines come from one reading of the cells.
+    each = F.concat(F.coalesce(F.transform("frameVotes", vote), none), F.coalesce(F.transform("evidenceFrameIndices", shown), none))
+    g = cells.select(*keys, F.explode(each).alias("_l")).select(*keys, "_l.*").groupBy(*keys, "frame")
+    return g.agg(counted(F.col("vote")).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("samples"), interpolated("over").alias("median_height"), F.max("over").alias("max_height"), F.max("off").alias("disagreement"), counted(~F.col("vote")).alias("evidence"))
 
 
 def rle_encode(bits: DataFrame, key: str, at: str) -> DataFrame:

@@ -262,3 +262,13 @@ def test_halves_are_rounded_as_sql_rounds_doubles(spark):
     got = [r.w for r in df.select("k", stats.rounded(F.col("v"), 9).alias("w")).orderBy("k").collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchone()[0] for v in odd]
     assert got[0] == 48.714663816
+
+
+def test_frame_readings_read_the_cells_once(spark, capsys):
+    vote = "struct<frameIndex: int, sampleCount: bigint, h95M: double>"
+    rows = [(1, 0, 0.5, 1.0, [0, 2], [(0, 3, 1.5)]), (1, 1, 0.5, None, None, [(0, 2, 2.0)]), (1, 2, 0.5, 1.0, [2], None)]
+    found = spark.createDataFrame(rows, f"k int, cell int, localGroundM double, h95M double, evidenceFrameIndices array<int>, frameVotes array<{vote}>")
+    out = documents.frame_readings(found, ["k"])
+    out.explain()
+    assert capsys.readouterr().out.count("Scan ExistingRDD") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 2, 5, 1.25, 1.5, 0.5, 1), (1, 3, 0, 0, None, None, None, 2)]
