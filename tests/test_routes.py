@@ -73,3 +73,15 @@ def test_the_nearest_marker_has_no_limit(spark):
     out = places.nearest_of_all(spark.createDataFrame([(1, 1.0, 1.0), (2, 60.0, 60.0)], "k int, lat double, lon double"), markers).orderBy("k").collect()
     assert [(r.marker, r.km) for r in out] == [("N", 1), ("O", 7)]
     assert places.nearest_of_all(spark.range(1).select("id", F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon")), markers.where("km > 99")).first().km is None
+
+
+def test_the_nearest_marker_by_small_cells_is_that_of_all(spark, monkeypatch):
+    dice = random.Random(5)
+    posts = [("M", k, 0.001 * (k // 2) - 0.02, 0.002 * (k % 7)) for k in range(60)]
+    rows = [(k, dice.gauss(0, 0.03), dice.gauss(0, 0.03)) for k in range(300)] + [(1000, 89.9, 10.0), (1001, -60.0, 179.0), (1002, None, 1.0)]
+    made = lambda: {r.k: (r.km, r.distance) for r in places.nearest_of_all(spark.createDataFrame(rows, "k int, lat double, lon double"), spark.createDataFrame(posts, "marker string, km int, mlat double, mlon double")).collect()}
+    got = made()
+    want = {k: min((round(1000 * routes.apart_km((lat, lon), p[2:]), 6), p[1]) for p in posts) for k, lat, lon in rows[:-1]}
+    assert all(got[k] == (w[1], pytest.approx(w[0], abs=2e-6)) for k, w in want.items()) and got[1002] == (0, None)
+    monkeypatch.setattr(places, "SMALL_CELL_SLACK_M", float("inf"))  # every marker is measured
+    assert made() == got
