@@ -18,6 +18,8 @@ from kerbside.plans.surveys import PIXELS, pixels
 from kerbside.session import ship_package
 from kerbside.sources import geojson, glb, npz
 
+#: Roads in a file that is written.
+ROADS_IN_FILE = 64
 #: A row-major turn about z, a move, and a scale in the last row.
 ALIGNED = [[0.0, -2.0, 0.0, 1.0], [2.0, 0.0, 0.0, -3.0], [0.0, 0.0, 2.0, 0.5], [0.0, 0.0, 0.0, 2.0]]
 
@@ -38,12 +40,14 @@ def geojson_markers(s, d):
 
 @query(", f AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) - 1 AS ord, lat, lon, count(*) OVER (PARTITION BY session_id) AS n FROM fixes) SELECT 'road ' || session_id AS road, CAST(ord AS INT) AS ord, round(lat, 9) AS lat, round(lon, 9) AS lon FROM f WHERE n >= 2")
 def geojson_roads(s, d):
-    """A file for each session's track."""
+    """Tracks of ROADS_IN_FILE sessions or so to a file, so there are no more files than that many roads ask for."""
     o = F.struct("t", "event_id", F.array("lon", "lat").alias("c"))
     lines = shim.fixes(s, d).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(o)), lambda x: x["c"]).alias("c"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.col("c").alias("coordinates")).alias("geometry"), F.struct(F.concat(F.lit("road "), F.col("session_id").cast("string")).alias("road")).alias("properties"))
     path = folder(s, "roads")
-    lines.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    files = max(1, shim.fixes(s, d).select("session_id").distinct().count() // ROADS_IN_FILE)
+    whole = lines.groupBy(F.pmod(F.xxhash64("session_id"), F.lit(files))).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return geojson.read_roads(s, path).withColumns({c: F.round(c, 9) for c in ("lat", "lon")})
 
 

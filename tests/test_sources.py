@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside.functions import vectors
+from kerbside.plans import files
 from kerbside.sources import glb
 
 
@@ -72,3 +73,12 @@ def test_matrices(spark):
     h = a @ b @ np.append(v, 1)
     assert tuple(r.m) == pytest.approx(h[:3] / h[3]) and tuple(r.c) == pytest.approx(-a[:3, :3].T @ a[:3, 3]) and tuple(r.s) == pytest.approx(v + 3 * (1 - v))
     assert tuple(r.n) == (None, None, None)
+
+
+def test_files_of_roads_are_fewer_than_roads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "folder", lambda s, label: f"file://{tmp_path}/{label}")
+    roads = files.geojson_roads(spark, "/root/testdata/sf0.001").select("road").distinct().count()
+    assert len(list(tmp_path.glob("roads/*.txt"))) * 4 < roads or roads < files.ROADS_IN_FILE
+    monkeypatch.setattr(files, "ROADS_IN_FILE", 4)
+    monkeypatch.setattr(files, "folder", lambda s, label: f"file://{tmp_path}/more-{label}")
+    assert files.geojson_roads(spark, "/root/testdata/sf0.001").select("road").distinct().count() == roads
