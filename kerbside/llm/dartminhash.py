@@ -9,7 +9,7 @@ of coordinates make the buckets.
 Copies of one set are one node. Inside a bucket nodes are compared with leaders, not with each other:
 first each node with its least leader, then, in rounds that go on while they find links, with a leader
 drawn from each bucket that still holds several components (the one met in most buckets); and only what is
-left after that pair by pair across components. Each comparison is of the whole sets. Nodes that are
+left after that pair by pair across components, inside tasks. Each comparison is of the whole sets. Nodes that are
 linked already are not compared again, which loses no link between classes. Components come from min-label steps with pointer jumping.
 
 Defined results: words are runs of non-blank characters, lower-cased; a text with fewer than five words
@@ -43,8 +43,9 @@ BANDS, ROWS = 40, 6
 LEADER_ROUNDS, FRUITFUL = 8, 0.06
 #: For pairs that no leader decided: coordinates of a byte each, the estimate from which a pair is compared
 #: whole (4.5 standard deviations below the least similarity; None: every pair is), and nodes of a bucket
-#: in a task's block.
+#: in a task's block. Bytes of whole sets that a task of the last comparison holds of each part.
 SKETCH, DOUBT, BLOCK = 1024, 4.5, 4096
+TASK_BYTES = 4 << 20
 CACHE_WORDS = 100_000
 #: Bytes of texts whose sets a worker holds at once; a longer text stands alone.
 GROUP_BYTES = 2 << 20
@@ -225,14 +226,19 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def undecided(at: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs of nodes of different components in one bucket whose sketches come near the least similarity.
+    """Links (a, b) between nodes of different components in one bucket, enough to join all that are linked.
 
     A bucket is cut into blocks, and every pair of blocks is looked at in a task of its own, so no task
-    holds a bucket and no pair leaves a task unless its sketches are alike. A pair is told in its first
-    common band only.
+    holds a bucket. Nodes whose sketches come near the least similarity, in the first band that they have in
+    common, meet again with their whole sets in tasks cut by bytes. A task tells links of a forest only: no
+    more rows than it has nodes, however many pairs it compares.
     """
     edge = 0.0 if DOUBT is None else least - DOUBT * np.sqrt(least * (1 - least) / SKETCH)
-    rest = stage(at.select("u").distinct(), "rest")
+    size = at.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    place = F.struct("band", "value", "blocks", own.alias("own"))
+    # A node's sketch and set are joined once and then dealt to its tasks.
+    rest = stage(at.join(size, ["band", "value"]).groupBy("u").agg(F.xxhash64(F.first("label")).alias("label"), F.collect_list(place).alias("places")), "rest")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,30 +249,78 @@ def undecided(at: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["u", "sketch"])
 
     kind = rest.schema["u"].dataType.simpleString()
-    sketches = map_arrow(sets.join(smaller(rest), "u").dropDuplicates(["u"]).select("u", "whole"), sketch, f"u {kind}, sketch binary")
-    told = stage(sketches.join(nodes.select("u", "bands"), "u"), "sketches")
-    size = at.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
-    rows = at.join(size, ["band", "value"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(told, "u").select(F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "band", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), F.xxhash64("label").alias("label"), "u", "sketch", "bands")
+    sketches = map_arrow(sets.join(smaller(rest.select("u")), "u").dropDuplicates(["u"]).select("u", "whole"), sketch, f"u {kind}, sketch binary")
+    told = rest.join(sketches, "u").join(nodes.select("u", "bands"), "u").select("u", "label", "sketch", "bands", F.explode("places").alias("p"))
+    rows = told.select("u", "label", "sketch", "bands", "p.*", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("other"))
+    rows = rows.select(F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "band", (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "label", "u", "sketch", "bands")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def alike(table: pa.Table) -> pa.Table:
         left, right = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
         marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         bands = np.array(table["bands"].to_pylist(), np.int64)
-        label, band = table["label"].to_numpy(), table["band"][0].as_py()
-        a, b = [], []
+        label, band, both = table["label"].to_numpy(), table["band"][0].as_py(), np.isin(np.arange(table.num_rows), left)
+        found, bits = np.zeros(len(label), bool), [b""] * len(label)
         for k in left:
-            far = right[label[right] != label[k]]
+            far = right[(label[right] != label[k]) & ((right > k) | ~both[right])]  # rows of one block meet once
             near = far[(marks[far] == marks[k]).mean(axis=1) >= edge]
             near = near[~(bands[near, :band] == bands[k, :band]).any(axis=1)]
-            a += [k] * len(near)
-            b += near.tolist()
+            if len(near):
+                found[near] = found[k] = True
+                bits[k] = np.packbits(np.bincount(near).astype(bool), bitorder="little").tobytes()
+        out = table.select(["task", "u", "label"]).append_column("k", pa.array(np.arange(len(label)), pa.int32())).append_column("near", pa.array(bits, pa.binary()))
+        return out.filter(pa.array(found))
+
+    near = rows.groupBy("task").applyInArrow(alike, f"task long, u {kind}, label long, k int, near binary")
+    wanted = stage(near.groupBy("u").agg(F.first("label").alias("label"), F.collect_list(F.struct("task", "k", "near")).alias("tasks")), "wanted")
+    whole = stage(sets.join(smaller(wanted), "u").dropDuplicates(["u"]).select("u", "label", "tasks", "whole"), "wholes")
+    dealt = whole.select("u", "label", "whole", F.explode("tasks").alias("t")).select("u", "label", "whole", "t.*")
+    parts = dealt.groupBy("task").agg(F.ceil(F.sum(F.octet_length("whole")) / TASK_BYTES).cast("int").alias("parts"))
+    split = stage(parts.where("parts > 1"), "split")
+    if not split.isEmpty():
+        cut = dealt.join(smaller(split), "task", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        mine = F.pmod(F.xxhash64(F.lit("part"), "u"), F.col("parts")).cast("int")
+        cut = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = cut.select("u", "label", "whole", "k", "near", F.xxhash64("task", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        near = [np.flatnonzero(np.unpackbits(np.frombuffer(v.as_py(), np.uint8), bitorder="little")) for v in table["near"]]
+        a, b = forest([w.as_py() for w in table["whole"]], table["label"].to_numpy(), table["k"].to_numpy(), near, least)
         u = table["u"].combine_chunks()
         return pa.table({"a": u.take(pa.array(a, pa.int64())), "b": u.take(pa.array(b, pa.int64()))})
 
-    pairs = rows.groupBy("task").applyInArrow(compare, f"a {kind}, b {kind}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = dealt.groupBy("task").applyInArrow(compare, f"a {kind}, b {kind}")
+    return stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links")
+
+
+def forest(wholes: list[bytes], labels: np.ndarray, names: np.ndarray, near: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Pairs of stored sets that are similar enough and join components (of the labels, and of the pairs so far).
+
+    A set is compared with those that it is near to, by their names; the names may be of sets that are not here.
+    """
+    sets = [stored(w) for w in wholes]
+    sizes, counts = np.array([v.sum() for _, v in sets]), np.array([len(x) for x, _ in sets])
+    elements, weights = (np.concatenate(c) for c in zip(*sets, strict=True))
+    starts = np.cumsum(counts) - counts
+    where = np.full(max(int(names.max()), *(int(n.max(initial=0)) for n in near), 0) + 1, -1)
+    where[names] = np.arange(len(sets))
+    label = np.unique(labels, return_inverse=True)[1]
+    a, b = [], []
+    for k, (x, v) in enumerate(sets):
+        j = where[near[k]]
+        j = j[j >= 0]
+        j = j[label[j] != label[k]]
+        if not len(j):
+            continue
+        row = np.repeat(np.arange(len(j)), counts[j])
+        at = np.arange(len(row)) + (starts[j] - np.cumsum(counts[j]) + counts[j])[row]
+        place = np.minimum(np.searchsorted(x, elements[at]), len(x) - 1)
+        both = np.bincount(row, np.where(x[place] == elements[at], np.minimum(v[place], weights[at]), 0.0), len(j))
+        for i in j[both / (sizes[j] + sizes[k] - both) >= least]:
+            if label[i] != label[k]:
+                label[label == label[i]] = label[k]
+                a.append(k)
+                b.append(int(i))
+    return a, b
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -304,17 +358,16 @@ def classed(signed: DataFrame, least: float) -> DataFrame:
         at = stage(at.join(mixed, ["band", "value"]), "mixed")
         if at.isEmpty():  # every bucket holds one component: no pair is left
             break
-        last = turn >= LEADER_ROUNDS or not fruitful
-        if last:
-            pairs = undecided(at, nodes, sets, least).distinct()
-        else:
-            # First a bucket's least node, then in each round another one of its first component. A node is
-            # held against the leader that it meets in most buckets: the likeliest to be like it.
-            order = F.struct("u") if not turn else F.struct("label", F.xxhash64(F.lit(turn), "u"), "u")
-            leader = at.groupBy("band", "value").agg(F.min_by(F.struct("u", "label"), order).alias("l"))
-            met = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).groupBy("u", F.col("l.u").alias("l")).agg(F.count("*").alias("n"))
-            best = met.groupBy("u").agg(F.max_by("l", F.struct("n", "l")).alias("l"))
-            pairs = best.select(F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")).distinct()
+        if turn >= LEADER_ROUNDS or not fruitful:
+            labels = components(stage(links.unionByName(undecided(at, nodes, sets, least)), "links"))
+            break
+        # First a bucket's least node, then in each round another one of its first component. A node is
+        # held against the leader that it meets in most buckets: the likeliest to be like it.
+        order = F.struct("u") if not turn else F.struct("label", F.xxhash64(F.lit(turn), "u"), "u")
+        leader = at.groupBy("band", "value").agg(F.min_by(F.struct("u", "label"), order).alias("l"))
+        met = at.join(leader, ["band", "value"]).where(F.col("label") != F.col("l.label")).groupBy("u", F.col("l.u").alias("l")).agg(F.count("*").alias("n"))
+        best = met.groupBy("u").agg(F.max_by("l", F.struct("n", "l")).alias("l"))
+        pairs = best.select(F.least("u", "l").alias("a"), F.greatest("u", "l").alias("b")).distinct()
         pairs = stage(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         compared = pairs.count()
         if compared:
@@ -325,9 +378,6 @@ def classed(signed: DataFrame, least: float) -> DataFrame:
         else:
             fruitful = False
         turn += 1
-        if last:
-            labels = components(links)
-            break
     named = nodes.select("node", "u").join(smaller(labels), "u", "left").select("node", F.coalesce("label", "u").alias("class"))
     return signed.select("at", "id", "tk", "node").join(named, "node", "left").drop("node")
 

@@ -498,6 +498,22 @@ def test_all_of_the_smallest_table_by_brute_force(spark):
     assert {r.doc_id: r.class_id for r in catalog.op6_dartminhash(spark, "/root/testdata/sf0.001").collect()} == want and links
 
 
+@pytest.mark.parametrize("most", [1 << 22, 1 << 10])
+def test_a_group_of_near_copies_is_told_by_a_forest(spark, monkeypatch, most):
+    monkeypatch.setattr(dartminhash, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(dartminhash, "TASK_BYTES", most)
+    # Copies k and k + 1 of a text have 89 of 101 shingles in common, k and k + 2 only 79 of 111; all are one class.
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 99])) for k in range(30)]
+    got = {r.doc_id: r.class_id for r in dartminhash.classes(frame(spark, rows)).collect()}
+    assert set(got.values()) == {0} and len(got) == 30
+    # However many of its pairs are alike, a task of n nodes tells n - 1 links.
+    made = np.array([dartminhash.packed(np.arange(i, i + 50, dtype=np.uint64), np.ones(1, np.int64)) for i in range(20)], object)
+    near = [np.setdiff1d(np.arange(20), [k]) for k in range(20)]
+    a, b = dartminhash.forest(list(made), np.arange(20), np.arange(20), near, 0.8)
+    assert len(a) == 19 and all(abs(i - j) <= 5 for i, j in zip(a, b, strict=True))
+
+
 def test_wordless_rows_without_an_id_all_stay(spark):
     rows = [(None, None, "a"), (None, "", "b"), (None, "", "b"), (None, "  ", "a"), (1, None, "a"), (1, "x y", "a"), (1, "x y", "b")]
     out = dartminhash.representatives(frame(spark, rows, "doc_id long, text string, source string")).collect()
