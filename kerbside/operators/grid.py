@@ -14,11 +14,16 @@ LEAST_DEPTH, LEAST_MASKED, LEAST_FLOOR = 1e-4, 5, 1.05
 BINS = 20
 
 
+def step_along(by: list[str], line: str, at: str) -> Column:
+    """The largest relative step of depth to the two neighbours (one apart) along a line of the frame."""
+    o = Window.partitionBy(*by, line).orderBy(at)
+    near = [F.when(F.abs(move(at).over(o) - F.col(at)) == 1, move("depth").over(o)) for move in (F.lag, F.lead)]
+    return F.greatest(*(F.coalesce(F.abs(d - F.col("depth")) / F.col("depth"), F.lit(0.0)) for d in near))
+
+
 def neighbour_step(by: list[str] = ["frame"]) -> Column:  # noqa: B006
     """The largest relative step of depth to the four neighbours (r and c one apart) in the frame."""
-    row, column = Window.partitionBy(*by, "r").orderBy("c"), Window.partitionBy(*by, "c").orderBy("r")
-    near = [F.when(F.abs(move(at).over(o) - F.col(at)) == 1, move("depth").over(o)) for at, o in (("c", row), ("r", column)) for move in (F.lag, F.lead)]
-    return F.greatest(*(F.coalesce(F.abs(d - F.col("depth")) / F.col("depth"), F.lit(0.0)) for d in near))
+    return F.greatest(step_along(by, "r", "c"), step_along(by, "c", "r"))
 
 
 def with_reject(pixels: DataFrame, least_confidence: float, most_step: float) -> DataFrame:

@@ -7,6 +7,7 @@ then work within tasks. Cells are dealt by cell. No stage holds more than a fram
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from kerbside.operators import cells, grid
 from kerbside.operators.stages import cut
 
 FRAME = ["road", "frame"]
+#: Pixels that a task sorts.
+TASK_PIXELS = 100_000
 
 
 class Options(NamedTuple):
@@ -41,13 +44,22 @@ class Options(NamedTuple):
     most_step: float = 0.05
 
 
-def eroded(pixels: DataFrame, mask: str, radius: int, by: list[str], into: str) -> DataFrame:
+def dealt(pixels: DataFrame, by: list[str]) -> DataFrame:
+    """Pixels dealt by frame to tasks of about TASK_PIXELS. Adaptive execution would put partitions together by
+    their compressed bytes, of which a pixel has few, and a task's sorts would grow with the table."""
+    return pixels.repartition(max(1, math.ceil(pixels.count() / TASK_PIXELS)), *by)
+
+
+def eroded(pixels: DataFrame, mask: str, radius: int, by: list[str], into: str, step: str | None = None) -> DataFrame:
     """Pixels (by, r, c, mask) and whether the whole square about each is set: counts along rows, then of
-    whole rows along columns. What is not there counts as not set, so masks lose their outer rim."""
+    whole rows along columns. What is not there counts as not set, so masks lose their outer rim. Under the
+    name `step`, the largest relative step of depth to a neighbour comes from the same two sorts."""
     whole = 2 * radius + 1
     along = lambda line, order: Window.partitionBy(*by, line).orderBy(order).rangeBetween(-radius, radius)
-    rows = pixels.withColumn("_h", F.sum(F.when(F.col(mask), 1).otherwise(0)).over(along("r", "c")) == whole)
-    return rows.withColumn(into, F.sum(F.when(F.col("_h"), 1).otherwise(0)).over(along("c", "r")) == whole).drop("_h")
+    steps = lambda line, order: {f"_{line}": grid.step_along(by, line, order)} if step else {}
+    rows = dealt(pixels, by).withColumns({"_h": F.sum(F.when(F.col(mask), 1).otherwise(0)).over(along("r", "c")) == whole, **steps("r", "c")})
+    both = rows.withColumns({into: F.sum(F.when(F.col("_h"), 1).otherwise(0)).over(along("c", "r")) == whole, **steps("c", "r")})
+    return (both.withColumn(step, F.greatest("_r", "_c")) if step else both).drop("_h", "_r", "_c")
 
 
 def observed(pixels: DataFrame, o: Options) -> DataFrame:

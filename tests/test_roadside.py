@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbside.operators import roadside
+from kerbside.operators import grid, roadside
 from kerbside.plans import roadside as plans
 
 SF = "/root/testdata/sf0.01"
@@ -24,6 +24,18 @@ def test_erosion_equals_windows(spark, radius):
     assert {(x.frame, x.r, x.c) for x in out.where("kept").collect()} == want and want
 
 
+def test_tasks_of_frames_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(roadside, "TASK_PIXELS", 500)
+    px = scene(spark, lambda x, y: 0.2, frames=60)[0]
+    got = roadside.eroded(px, "grass", 1, roadside.FRAME, "kept", "step")
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 60 * 81 and len(sizes) >= 6 and max(sizes) <= 2000
+    step = px.withColumn("want", grid.neighbour_step(roadside.FRAME))
+    assert got.join(step, [*roadside.FRAME, "r", "c"]).where("step <=> want").count() == 60 * 81
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2  # one for each direction
+
+
 def test_two_long_roads_keep_their_cells_apart(spark):
     got = plans.assessed(spark, SF).select("road", "column", "row", "along_m", "frames").collect()
     for road in (0, 1):
