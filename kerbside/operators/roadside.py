@@ -65,15 +65,16 @@ def eroded(pixels: DataFrame, mask: str, radius: int, by: list[str], into: str,
 def observed(pixels: DataFrame, o: Options) -> DataFrame:
     """Usable pixels of each kind (grass, structure): of sound depth, no edge, and above their kind's floor
     of confidence in the frame. Pixels without a confidence pass only where there is no floor."""
-    dealt = pixels.repartition(*FRAME)
-    marked = eroded(dealt, "grass", o.erosion, FRAME, "_grass").withColumn("_step", grid.neighbour_step(FRAME))
-    conf = finite(F.col("conf"))
     masks = {"grass": F.col("_grass"), "structure": F.col("structure")}
-    marked = marked.withColumns({f"_conf_{k}": F.when(m, conf) for k, m in masks.items()})
-    floors = marked.groupBy(*FRAME).agg(*(F.when(F.count(f"_conf_{k}") >= grid.LEAST_MASKED, nearest_rank(f"_conf_{k}", o.confidence_drop)).alias(f"_floor_{k}") for k in masks))
+    marked = eroded(pixels, "grass", o.erosion, FRAME, "_grass", "_step").where(masks["grass"] | masks["structure"])
+    # Floors and pixels come from one table, so the frames are sorted once.
+    marked = dealt(cut(marked.select(*FRAME, "r", "c", "depth", "_step", "_grass", "structure", finite(F.col("conf")).alias("conf"))), FRAME)
+    conf = F.col("conf")
+    of_kind = marked.select(*FRAME, *(F.when(m, conf).alias(f"_conf_{k}") for k, m in masks.items()))
+    floors = of_kind.groupBy(*FRAME).agg(*(F.when(F.count(f"_conf_{k}") >= grid.LEAST_MASKED, nearest_rank(f"_conf_{k}", o.confidence_drop)).alias(f"_floor_{k}") for k in masks))
     sound = F.col("depth").isNotNull() & (F.col("depth") >= grid.LEAST_DEPTH) & (F.col("depth") < float("inf")) & (F.col("_step") <= o.most_step)
     each = F.array_compact(F.array(*(F.when(m & (F.col(f"_floor_{k}").isNull() | (conf >= F.col(f"_floor_{k}"))), F.lit(k)) for k, m in masks.items())))
-    return marked.join(floors, FRAME).where(sound).select(*FRAME, F.explode(each).alias("kind"), "r", "c", "depth")
+    return marked.where(sound).join(floors, FRAME).select(*FRAME, F.explode(each).alias("kind"), "r", "c", "depth")
 
 
 def frames_of_roads(edges: DataFrame, grounds: DataFrame) -> tuple[DataFrame, DataFrame]:
