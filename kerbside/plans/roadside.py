@@ -14,6 +14,8 @@ from kerbside.operators import roadside
 from kerbside.plans.catalog import query
 
 SIDE_PX = 12
+#: Pixels that a task makes.
+TASK_MADE = 1_000_000
 LENS = (20.0, 20.0, 6.0, 6.0)
 OPTIONS = roadside.Options(widest=6.0, cell=2.0, voxel=0.5, least_frames=2, least_voxels=2, tallest=2.0, canopy_extent=0.55, canopy_gap=0.45, slope_rise=0.2, structure_frames=2, side=1, drop_past_ends=True)
 #: The tilted ground of road 1.
@@ -23,7 +25,10 @@ LEAN = 0.05
 def pixels(s, d) -> DataFrame:
     side = F.sequence(F.lit(0), F.lit(SIDE_PX - 1))
     q, r, c = F.col("c_custkey"), F.col("r"), F.col("c")
-    frames = shim.table(s, d, "customer").select("c_custkey", (q % 2).alias("road"), F.floor(q / 2).alias("frame"))
+    made_by = shim.table(s, d, "customer")
+    # A small file makes many pixels: spread first, or a few tasks would hold them all when they are dealt.
+    tasks = max(1, made_by.count() * SIDE_PX * SIDE_PX // TASK_MADE)
+    frames = made_by.select("c_custkey", (q % 2).alias("road"), F.floor(q / 2).alias("frame")).repartition(tasks, "c_custkey")
     p = frames.withColumn("r", F.explode(side)).withColumn("c", F.explode(side))
     tall = (q * 7 + r * 5 + c * 3) % 13 * 0.05 + F.when((q % 50 == 0) & (c >= 6), 2.5).otherwise(0.0) + F.when((q % 2 == 1) & (r > 4), (r - 4) * 0.2).otherwise(0.0)
     return p.select("road", "frame", "r", "c", F.when((q + r * c) % 53 != 0, 20 - tall).alias("depth"), (1 + (q + 3 * r + c) % 10 / 10).alias("conf"), ((r * 12 + c + q) % 61 != 7).alias("grass"), ((q % 40 < 9) & (c >= 4) & (c <= 7)).alias("structure"))
