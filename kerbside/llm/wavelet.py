@@ -13,11 +13,14 @@ document at least.
 
 from __future__ import annotations
 
+import codecs
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,12 +29,17 @@ from kerbside.llm.common import by_chars, map_arrow
 
 #: Ids after which a shard is closed.
 SHARD_TOKENS = 1 << 20
-#: Code points encoded at once.
-GROUP_CHARS = 1 << 21
+#: Code points whose words are encoded at once; eight for each id that is decoded at once.
+ENCODE_CHARS, GROUP_CHARS = 1 << 20, 1 << 21
 #: Bits between two rank samples.
 SAMPLE_BITS = 512
-#: Words that a worker remembers before it starts anew.
+#: The most words that a worker remembers.
 CACHE_WORDS = 700_000
+#: Characters beyond which a word is not remembered.
+LONG_WORD = 256
+_LETTERS = "a-zA-Z" + "".join(chr(c) for c in range(0x80, 0x100) if chr(c).isalpha())
+#: The vocabulary's own pattern on lower-case Latin-1: letters, a number, a contraction, other signs but white space.
+PIECES = re.compile(f"[{_LETTERS}]+|[0-9²³¹¼½¾]|'(?:[stmd]|re|ve|ll)|[^\\t-\\r \x85\xa00-9²³¹¼½¾{_LETTERS}]+")
 
 SHARD = "part long, start_in_part long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, levels int, zeros array<long>, planes array<binary>, samples array<binary>"
 
@@ -121,55 +129,99 @@ class WaveletMatrix:
 
 
 class WordEncoder:
-    """The library's ids for a text, one blank-separated word at a time.
+    """The library's ids for texts, one blank-separated word at a time.
 
     The vocabulary drops white space and no token crosses it, so a word's ids do not depend on its
-    neighbours; words are encoded by the library once and remembered.
+    neighbours; words are encoded once and remembered. On lower-case Latin-1 the normaliser does nothing
+    and the splitter finds PIECES, so there the pieces go to the library's model without those two.
     """
 
     def __init__(self, content: bytes) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(content.decode())
-        self.levels = (self.library.get_vocab_size() - 1).bit_length()
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.library.get_vocab()
+        self.levels = (len(vocabulary) - 1).bit_length()
         self.kind = "<u2" if self.levels <= 16 else "<u4"
+        self.suffix = getattr(self.library.model, "end_of_word_suffix", None)  # of tokens that end a piece
+        self.ends = np.array([bool(self.suffix) and t.endswith(self.suffix) for t, _ in sorted(vocabulary.items(), key=lambda v: v[1])])
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Byte-level vocabularies write printable Latin-1 bytes as themselves and the rest from U+0100 on.
         printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = [b for b in range(256) if b not in printable]
-        sign = {b: chr(b) if b in printable else chr(0x100 + others.index(b)) for b in range(256)}
-        self.byte_signs = {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
-
-    def learn(self, words: list[str], plain: bool) -> dict[str, bytes]:
-        """Ids of words not met before. A full stop or comma after a letter or digit is a piece of its own.
-
-        plain: the text is lower-case Latin-1, on which the normaliser does nothing; a word of letters is
-        then one piece for the library's model, and needs no normaliser or splitter.
-        """
-        ends = {w: w[:-1] for w in words if w[-1:] in (".", ",") and w[-2:-1].isalnum() and w[-2] < "\u0100"}
-        need = list(dict.fromkeys(v for w in words if (v := ends.get(w, w)) not in self.cache))
-        need += [p for p in (".", ",") if p not in self.cache]
-        tokenize = self.library.model.tokenize
-        got = {w: np.array([t.id for t in tokenize(w if w.isascii() else w.translate(self.byte_signs))], self.kind).tobytes() for w in need if plain and w.isalpha()}
-        rest = [w for w in need if w not in got]
-        got |= {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
-        known = lambda w: got[w] if w in got else self.cache[w]
-        got |= {w: known(stem) + known(w[-1]) for w, stem in ends.items()}
-        return {w: known(w) for w in words} | got
-
-    def encode(self, text: str) -> bytes:
-        plain = is_latin(text) and "<|" not in text
-        if plain:
-            text = text.lower()  # as the vocabulary's own normaliser does, so that fewer words differ
-        words = text.replace("\n", " ").split(" ")
+        self.byte_signs = "".join(chr(b) if b in printable or b == 0x20 else chr(0x100 + others.index(b)) for b in range(256))
+
+    def by_library(self, words: list[str]) -> list[bytes]:
+        """Ids of each word by the library's whole pipeline."""
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def by_model(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece by the library's model, which gets them side by side."""
+        found = self.model.encode_batch_fast([codecs.charmap_decode(" ".join(pieces).encode(), "strict", self.byte_signs)[0]], add_special_tokens=False)[0]
+        ids = np.array(found.ids, self.kind)
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)] if stops else []
+
+    def learn(self, words: list[str], plain: bool) -> None:
+        """Remember the ids of words not met before. plain: they are lower-case Latin-1 without special tokens."""
+        if not plain:
+            self.cache.update(zip(words, self.by_library(words), strict=True))
+            return
+        # A full stop or comma behind letters is by far the most common split.
+        split = {w: (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[:-1].isalpha() else PIECES.findall(w) for w in words if not w.isalpha()}
+        pieces = list({w for w in words if w not in split}.union(*split.values()).difference(self.cache))
+        self.cache.update(zip(pieces, self.by_model(pieces), strict=True))
+        self.cache.update((w, b"".join([self.cache[v] for v in p])) for w, p in split.items())
+
+    def look_up(self, words: list[str], plain: bool) -> list[bytes]:
+        """Ids of words that differ. Those not asked for while CACHE_WORDS / 2 others came are forgotten."""
         found = list(map(self.cache.get, words))
-        if None in found:
-            got = self.learn(list(dict.fromkeys(w for w, f in zip(words, found, strict=True) if f is None)), plain)
-            found = [got[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            if len(self.cache) + len(got) > CACHE_WORDS:
-                self.cache.clear()
-            self.cache.update((w, g) for w, g in got.items() if len(w) <= 256)
-        return b"".join(found)
+        new = [w for w, f in zip(words, found, strict=True) if f is None]
+        if new:
+            kept = {w: f for w in new if (f := self.older.get(w)) is not None}
+            self.cache.update(kept)
+            self.learn([w for w in new if w not in kept] if kept else new, plain)
+            found = [self.cache[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            for w in new:
+                if len(w) > LONG_WORD:
+                    self.cache.pop(w, None)
+            if len(self.cache) > CACHE_WORDS // 2:
+                self.cache, self.older = {}, self.cache
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [bool(self.suffix) and is_latin(t) and "<|" not in t for t in texts]
+        out = [b""] * len(texts)
+        for kind in set(plain):
+            at = [k for k, p in enumerate(plain) if p == kind]
+            for k, ids in zip(at, self.encode_alike([texts[k] for k in at], kind), strict=True):
+                out[k] = ids
+        return out
+
+    def encode_alike(self, texts: list[str], plain: bool) -> Iterator[bytes]:
+        """Each word of the texts is looked up once; Arrow numbers the words and NumPy puts their ids in place."""
+        joined = "".join(t + " " for t in texts).replace("\n", " ")
+        if plain:
+            joined = joined.lower()  # as the vocabulary's own normaliser does, so that fewer words differ
+        data = np.frombuffer(joined.encode(), np.uint8)
+        stops = np.concatenate([[0], np.flatnonzero(data == 0x20) + 1])  # of words, each with the blank behind it
+        counts = np.array([t.count(" ") + t.count("\n") + 1 for t in texts])
+        words = pa.StringArray.from_buffers(len(stops) - 1, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        differ = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), "")[0].as_py().split(" ")[:-1]
+        found = self.look_up(differ, plain)
+        size = np.dtype(self.kind).itemsize
+        lengths = np.array(list(map(len, found)), np.int64) // size
+        starts = np.cumsum(lengths) - lengths
+        number = words.indices.to_numpy()
+        each = lengths[number]
+        stops = np.cumsum(each)  # of ids
+        ids = np.frombuffer(b"".join(found), self.kind)[np.arange(stops[-1]) + np.repeat(starts[number] - (stops - each), each)]
+        cuts = [0, *stops[np.cumsum(counts) - 1].tolist()]
+        return (ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False))
 
 
 def is_latin(text: str) -> bool:
@@ -204,9 +256,11 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
         doc_ids: list[int] = []
         ids: list[bytes] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            coded = (c for lo, hi in by_chars(texts, ENCODE_CHARS) for c in enc.encode(texts[lo:hi]))
+            for doc_id, found in zip(batch.column(0).to_pylist(), coded, strict=True):
                 doc_ids.append(doc_id)
-                ids.append(enc.encode(text.as_py() or "") + end)
+                ids.append(found + end)
                 held += len(ids[-1]) // np.dtype(enc.kind).itemsize
                 if held >= shard_tokens:
                     yield shard(start, doc_ids, ids, enc)

@@ -106,6 +106,21 @@ def test_shards_hold_the_librarys_ids_in_order(spark, odd, tmp_path):
     assert ends == [r.start + r.n_tokens - 1 for r in rows]
 
 
+def test_latin_words_take_the_model_alone(monkeypatch):
+    """Punctuation, numbers and contractions too: the library's pipeline costs several times as much."""
+    content = open(WORDS, "rb").read()
+    enc, library, dice = wavelet.WordEncoder(content), Tokenizer.from_str(content.decode()), random.Random(3)
+    latin, other = [chr(k) for k in range(256) if chr(k) != "|"], [*"ab'ré2. \n", *map(chr, range(0x180)), *"\u0301Σςİﬁ中あ한😀", "<|endoftext|>"]
+    texts = ["", " ", "don't, we'll!! 3.14 x²½ ab''s", *("".join(dice.choices(latin, k=dice.randint(0, 60))) for _ in range(2000))]
+    want = lambda some: [np.array(e.ids, enc.kind).tobytes() for e in library.encode_batch_fast(some, add_special_tokens=False)]
+    mixed = ["".join(dice.choices(other, k=dice.randint(0, 40))) for _ in range(2000)] + texts[:5]
+    monkeypatch.setattr(wavelet, "CACHE_WORDS", 500)  # words are forgotten and met again
+    assert [i for k in range(0, len(mixed), 90) for i in enc.encode(mixed[k : k + 90])] == want(mixed)
+    asked = []
+    monkeypatch.setattr(enc, "by_library", lambda words: asked.extend(words))
+    assert enc.encode(texts) == want(texts) and not asked
+
+
 def test_no_documents_make_no_shards(spark, empty, tmp_path):
     wavelet.write_shards(empty, str(tmp_path / "t"), WORDS, 2)
     assert wavelet.read_documents(wavelet.read_shards(spark, str(tmp_path / "t"))).count() == 0
