@@ -40,8 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document, and whether they decode to its text's bytes."""
-    coded = bytebpe.encode(docs.select("doc_id", "text"), catalog.RANKS, keep=["doc_id", "text"], with_bytes=True)
-    return coded.select("doc_id", "n_tokens", "ids", (F.col("bytes") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("intact"))
+    return bytebpe.encode(docs, catalog.RANKS, keep=["doc_id"], checked=True).select("doc_id", "n_tokens", "ids", "intact")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

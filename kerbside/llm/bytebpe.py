@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 from kerbside.llm.common import by_chars, give_back, map_arrow, text_first, with_columns
 
 #: Code points handled at once.
-GROUP_CHARS = 1 << 19
+GROUP_CHARS = 1 << 17
 #: Pieces that a worker remembers before it starts anew.
 CACHE_PIECES = 250_000
+#: Code points that are put into classes at once.
+CLASS_POINTS = 1 << 14
 
 LETTER, NUMBER, OTHER, QUOTE, QUOTE_1, QUOTE_2, SPACE_JOINS, BLANK_ALONE, BLANK_RUN, EDGE = range(10)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, JOINING, IN_BLANKS, ONE_LEFT, TWO_LEFT = range(8)
@@ -86,15 +88,17 @@ def code_point_classes() -> np.ndarray:
     """The class of every code point, once for each worker.
 
     Which characters are letters, numbers or blanks changes with Unicode's versions, so the library whose
-    ids are wanted says it: a pattern of the class alone picks its characters from all there are.
+    ids are wanted says it: a pattern of the class alone picks its characters from all there are, some
+    thousand at a time, as the library's answer takes many times the memory of what it is asked.
     """
     import tiktoken
 
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK_RUN, r"\s")):
-        picked = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)
-        out[np.frombuffer(bytes(picked).decode().encode("utf-32-le"), np.uint32)] = kind
+        library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        for low in range(0, len(out), CLASS_POINTS):
+            picked = library.encode_ordinary("".join(chr(c) for c in range(low, low + CLASS_POINTS) if not 0xD800 <= c < 0xE000))
+            out[np.frombuffer(bytes(picked).decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -247,20 +251,22 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, content: bytes) -> bytes:
     return b"".join(map(vocabulary(content)[1].__getitem__, ids.tolist()))
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None, with_bytes: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None, with_bytes: bool = False, checked: bool = False) -> DataFrame:
     """The kept columns (all but the text unless named), ids and offsets, both as little-endian
     unsigned 32-bit integers, and n_tokens.
 
     with_bytes: decode each text's ids too, where they were made, and give the bytes in place of the
     offsets; the ids need not go through a second set of Python workers then.
+    checked: give `intact` in place of the offsets, whether the decoded bytes are the text's; neither the
+    text nor the bytes leave the worker then.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    second = "bytes" if with_bytes else "offsets"
+    second = "intact" if checked else "bytes" if with_bytes else "offsets"
     if clash := {"ids", second, "n_tokens"} & set(keep):
         raise ValueError(f"columns in the way: {sorted(clash)}")
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     fields = [df.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField(second, T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([*fields, T.StructField("ids", T.BinaryType()), T.StructField(second, T.BooleanType() if checked else T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()  # what other stages have left in this worker
@@ -269,8 +275,11 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", keep: list[str] |
             rest = batch.select(batch.schema.names[1:]).rename_columns(keep) if keep else None
             for a, b in by_chars(texts, GROUP_CHARS):
                 pairs = list(encode_texts(texts[a:b], content.value))
-                more = [decode_ids(i, o, content.value) if with_bytes else o.tobytes() for i, o in pairs]
-                new = {"ids": pa.array([i.tobytes() for i, _ in pairs], pa.binary()), second: pa.array(more, pa.binary()), "n_tokens": pa.array([len(i) for i, _ in pairs], pa.int64())}
+                if checked:
+                    more = pa.array([decode_ids(i, o, content.value) == t.encode() for (i, o), t in zip(pairs, texts[a:b], strict=True)], pa.bool_())
+                else:
+                    more = pa.array([decode_ids(i, o, content.value) if with_bytes else o.tobytes() for i, o in pairs], pa.binary())
+                new = {"ids": pa.array([i.tobytes() for i, _ in pairs], pa.binary()), second: more, "n_tokens": pa.array([len(i) for i, _ in pairs], pa.int64())}
                 yield with_columns(rest.slice(a, b - a), keep, **new) if keep else pa.RecordBatch.from_arrays(list(new.values()), names=list(new))
         give_back()
 

@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -78,6 +81,27 @@ def test_bpe_rows(odd, empty):
         bytebpe.encode(odd.withColumn("ids", F.lit(1)), RANKS)
 
 
+def test_classes_of_code_points_take_little_memory():
+    """Two workers of an executor make them at the same time; all at once they took some 120 MB each."""
+    code = f"import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(bytebpe.__file__.rsplit('/', 1)[0]))!r})\n" + """
+import re, tiktoken
+from kerbside.llm import bytebpe
+most = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read()).group(1)) / 1024
+tiktoken.Encoding("warm", pat_str=r"\\s", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary("a ")
+before = most()
+bytebpe.code_point_classes()
+print(most() - before)
+"""
+    assert float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 40
+
+
+def test_checked_ids_need_no_bytes(spark, odd):
+    coded = bytebpe.encode(odd, RANKS, keep=["doc_id"], checked=True)
+    assert coded.columns == ["doc_id", "ids", "intact", "n_tokens"] and coded.where("NOT intact").count() == 0
+    key = lambda r: (str(r.doc_id), bytes(r.ids), r.n_tokens)
+    assert sorted(map(key, coded.collect())) == sorted(map(key, bytebpe.encode(odd, RANKS, keep=["doc_id"]).collect()))
+
+
 # 5 wavelet shards
 
 
