@@ -18,13 +18,17 @@ def folder(s: SparkSession, label: str) -> str:
     return f"{shared_folder(s)}/kerbside/{s.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def arriving(df: DataFrame, order: str, parts: int, path: str) -> None:
-    """Write df as files that appear one after the other, in order."""
+#: Files in which a part of a stream's input arrives.
+FILES = 8
+
+
+def arriving(df: DataFrame, key: str, order: str, parts: int, path: str) -> None:
+    """Write df in parts of FILES files at most that appear one after the other, in order; a part has a key in one file."""
     cuts = df.select(F.expr(f"percentile_approx({order}, array({', '.join(str(k / parts) for k in range(1, parts))}), 10000)").alias("c")).first().c or []
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = df.where(F.lit(True) if low is None else F.col(order) > low).where(F.lit(True) if high is None else F.col(order) <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(FILES, key).write.mode("append").parquet(path)
 
 
 def run_out(stream: DataFrame, path: str) -> DataFrame:
@@ -35,11 +39,11 @@ def run_out(stream: DataFrame, path: str) -> DataFrame:
 
 @query(ORACLES["claims_with_expiry"].removeprefix(shim.PROLOGUE))
 def claims_stream(s, d):
-    """claims_with_expiry, told by a stream in which the attempts arrive in four files."""
+    """claims_with_expiry, told by a stream in which the attempts arrive in four parts."""
     tried = shim.moments(s, d).select("session_id", "event_id", F.floor(F.col("t") / 1000000000).cast("long").alias("asked"))
     path = folder(s, "claims")
-    arriving(tried, "asked", 4, f"{path}/in")
-    source = s.readStream.schema(tried.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    arriving(tried, "session_id", "asked", 4, f"{path}/in")
+    source = s.readStream.schema(tried.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
     return run_out(claims.claims(source, "session_id", "asked", "event_id", DAYS), path).withColumnRenamed("attempt", "event_id").select("session_id", "asked", "event_id", "fate")
 
 

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kerbside.operators import claims as batch_claims
@@ -139,3 +140,14 @@ def test_a_tick_that_runs_again_writes_the_same(spark, tmp_path):
     assert sorted((r.id, r.batch) for r in spark.read.parquet(done).collect()) == [(0, 1), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0)]
     nothing = backfill.tick(2, pending, fine, done, "id", "at", 4)
     assert nothing == {"tried": 0, "found": 0, "failed": 0}
+
+
+def test_attempts_reach_the_state_in_packs(spark, monkeypatch):
+    """One row for each key and task, not one for each attempt; packs are cut where they grow large."""
+    batches = [pa.RecordBatch.from_pydict({"key": [k % 3 if k % 4 else None for k in range(a, a + 20)], "asked": list(range(a, a + 20)), "attempt": list(range(a, a + 20))}) for a in (0, 20, 40)]
+    for most, rows in ((1 << 18, 4), (20, 12)):
+        monkeypatch.setattr(claims, "PACK_ROWS", most)
+        got = [r for b in claims.packs(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == rows
+        assert sorted((str(r["key"]), a, t) for r in got for a, t in zip(r["asked"], r["attempt"], strict=True)) == sorted((str(k % 3 if k % 4 else None), k, k) for k in range(60))
+    assert list(claims.packs(iter([]))) == []
