@@ -21,6 +21,9 @@ from kerbside.session import ship_package
 BATCH_ROWS, BATCH_BYTES = 1024, 1 << 24
 #: Bytes of rows up to which a table is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Whether Parquet asks for a column's ranges at once. From local files each range comes through a direct buffer of its
+#: size (up to a row group's column), which its thread keeps; read one after the other, they are heap only.
+RANGES_AT_ONCE = "parquet.hadoop.vectored.io.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +52,12 @@ def staged(spark: SparkSession) -> list[str]:
     return context._kerbside_staged
 
 
+def read_in_turn(spark: SparkSession) -> None:
+    """From now on Parquet tables are read without large direct buffers, unless the session says otherwise."""
+    if spark.conf.get(RANGES_AT_ONCE, None) is None:
+        spark.conf.set(RANGES_AT_ONCE, "false")
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema) in batches that fit a worker even when texts are long.
 
@@ -56,6 +65,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     leaves them so: Spark reads them when the plan runs, not when it is made.
     """
     ship_package(df.sparkSession)
+    read_in_turn(df.sparkSession)
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = conf.get(key, None)
@@ -79,6 +89,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     no recomputation. Tables live until drop_stages() or as long as the shared folder.
     """
     spark = df.sparkSession
+    read_in_turn(spark)
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import map_arrow, text_first, with_columns
+from kerbside.llm.common import map_arrow, read_in_turn, text_first, with_columns
 
 #: The bound of the training sample, in pairs of a label row and a document of its doc_id.
 SAMPLE_ROWS = 8_000
@@ -143,6 +143,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: list[str], rows:
     First the hash that ends the sample is found, from ids alone; so only the sample's texts become
     feature numbers, where they are read, and only those come to the driver.
     """
+    read_in_turn(documents.sparkSession)
     named = [F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)]
     picked = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), *named, F.xxhash64("doc_id").alias("o")).orderBy("o", *(f"y{k}" for k in range(len(named)))).limit(rows)
     whole = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")

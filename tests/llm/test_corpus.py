@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kerbside.llm import bytebpe, contamination, dartminhash, language, quality, secrets, substrings, toxicity, urls, wavelet
+from kerbside.llm import bytebpe, common, contamination, dartminhash, language, quality, secrets, substrings, toxicity, urls, wavelet
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -679,3 +679,28 @@ def test_pipeline_on_the_smallest_tables(spark):
     texts = {r.doc_id: r.text for r in before.collect()}
     assert not any(secrets.base_spans(t or "") for t in texts.values())
     assert len({hashlib.sha256((t or "").encode()).digest() for t in texts.values()}) == len(texts)
+
+
+def test_reading_a_large_column_leaves_no_direct_buffers(spark):
+    """A row group's column used to stay in a buffer beside the heap, one for each thread that read one."""
+    beans = spark.sparkContext._jvm.java.lang
+    kind = beans.Class.forName("java.lang.management.BufferPoolMXBean")
+
+    def direct():
+        return sum(p.getMemoryUsed() for p in beans.management.ManagementFactory.getPlatformMXBeans(kind) if p.getName() == "direct")
+
+    digest = lambda k: F.unhex(F.sha2(F.concat("id", F.lit(k)).cast("string"), 512))
+    table = common.stage(spark.range(4000).repartition(1).select(F.concat(*map(digest, range(160))).alias("whole")), "large")
+    before = direct()
+    assert table.where(F.length("whole") == 160 * 64).agg(F.max("whole").isNotNull(), F.count("*")).first()[1] == 4000
+    assert direct() - before < 8 << 20
+
+
+def test_a_session_may_still_read_ranges_at_once(spark):
+    own = spark.newSession()
+    own.conf.set(common.RANGES_AT_ONCE, "true")
+    common.read_in_turn(own)
+    assert own.conf.get(common.RANGES_AT_ONCE) == "true"
+    other = spark.newSession()
+    common.read_in_turn(other)
+    assert other.conf.get(common.RANGES_AT_ONCE) == "false"
