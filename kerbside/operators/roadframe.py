@@ -95,11 +95,13 @@ def thinned_vertices(poses: DataFrame, grounds: DataFrame) -> DataFrame:
     """(road, ord, x, y, z): each track's places on the ground, those kept that lie SPACING_M or more from
     the last one kept. A track that stays within that keeps its first and its last place, if they differ.
 
-    Which are kept goes from one to the next, so a track is read by one task, as a stream.
+    Which are kept goes from one to the next, so a track is read by one task, as a stream. Tracks are dealt by a
+    hash of their road: by the road itself Spark would leave the dealing to the join before, whose rows it may read
+    as they lie once it broadcasts the other side, a track's in many tasks.
     """
     ship_package(poses.sparkSession)
     there = finite_poses(poses).where("_p IS NOT NULL").join(uprights(grounds), "road")
-    flat = there.select("road", "ord", "_p", on_ground(F.col("_p")).alias("_q")).repartition("road").sortWithinPartitions("road", "ord", "_p")
+    flat = there.select("road", "ord", "_p", on_ground(F.col("_p")).alias("_q")).repartition(F.xxhash64("road")).sortWithinPartitions("road", "ord", "_p")
     schema = StructType([StructField("road", poses.schema["road"].dataType), StructField("ord", LongType()), *(StructField(c, DoubleType()) for c in AXES)])
     return flat.select("road", *(F.col("_q")[c].alias(c) for c in AXES)).mapInArrow(kept_places, schema)
 

@@ -82,3 +82,18 @@ def test_places_meet_the_piece_they_are_on(spark):
     got = {r.k: r.x for r in roadframe.to_world(places, lines, ground(spark, "r")).collect()}
     assert [got[k] for k in range(len(where))] == pytest.approx([min(max(x, 0.0), xs[-1]) for x in where])
     assert "_line" not in roadframe.pieces(lines).columns  # pieces stay rows
+
+
+def test_a_track_stays_whole_if_its_ground_is_broadcast_late(spark):
+    """The join is planned by shuffles and becomes a broadcast one when the grounds turn out to be few."""
+    late = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    poses = spark.range(0, 400, 1, 8).select((F.col("id") % 2).alias("road"), F.col("id").alias("ord"), (F.floor(F.col("id") / 2) * 0.2).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    grounds = ground(spark, "0", "1").withColumn("road", F.col("road").cast("long"))
+    for k, v in late.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted((r.road, r.ord, r.x) for r in roadframe.thinned_vertices(poses, grounds).collect())
+    finally:
+        for k in late:
+            spark.conf.unset(k)
+    assert got == [(r, k, pytest.approx(0.6 * k)) for r in (0, 1) for k in range(67)]
