@@ -68,6 +68,15 @@ def test_keys_of_one_spot_are_paired_over_all_their_parts(spark, monkeypatch):
     assert got == [(a, b, round(1000 * routes.apart_km(rows[a][3:], rows[b][3:]), 3)) for a in range(60) for b in range(a + 1, 60)]
 
 
+def test_pairs_of_two_parts_are_not_held_at_once(spark):
+    """What is exploded first is no part of the generated code that makes the pairs."""
+    rows = [("r", k, 0.5 * (k % 3), -23.0 + 0.0045 * (k % 3), -46.0) for k in range(60)]
+    out = places.neighbour_pairs(spark.createDataFrame(rows, COLUMNS), "stop_id")
+    assert len(out.collect()) == 60 * 59 / 2
+    first, last = (next(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(" in line and made in line) for made in ("[_x#", "[_y#"))
+    assert "*(" in last and "*(" not in first
+
+
 def test_the_nearest_marker_has_no_limit(spark):
     markers = spark.createDataFrame([("M", 3, 0.0, 0.0), ("N", 1, 0.0, 0.0), ("O", 7, 10.0, 10.0)], "marker string, km int, mlat double, mlon double")
     out = places.nearest_of_all(spark.createDataFrame([(1, 1.0, 1.0), (2, 60.0, 60.0)], "k int, lat double, lon double"), markers).orderBy("k").collect()
