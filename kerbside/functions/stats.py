@@ -37,7 +37,9 @@ def counted(condition: Column) -> Column:
 def rounded(x: Column, digits: int) -> Column:
     """x times a power of ten to the nearest whole number, halves away from 0, as SQL engines round doubles.
 
-    Spark's round goes by a double's shortest decimals, so the two differ for values next to a half.
+    Spark's round goes by a double's shortest decimals, so the two differ for values next to a half and for large ones.
     """
-    whole = F.floor(F.abs(x) * 10.0**digits + 0.5)
-    return F.when(finite(x).isNotNull(), F.signum(x) * whole / 10.0**digits).otherwise(x)
+    size = F.abs(x) * 10.0**digits
+    even = F.rint(size)  # halves to the even one; exact for doubles without a part after the point
+    whole = F.when(size - even == 0.5, even + 1).otherwise(even)
+    return F.when(finite(size).isNotNull(), F.signum(x) * whole / 10.0**digits).otherwise(x)

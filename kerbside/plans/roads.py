@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside import shim
+from kerbside.functions.stats import rounded
 from kerbside.operators import roadframe
 from kerbside.operators.cloud import points_of_tracks
 from kerbside.plans.catalog import query
@@ -52,7 +53,7 @@ EDGES = (
 
 @query(EDGES + " SELECT road, ord, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM edges")
 def road_edges(s, d):
-    return roadframe.edges(poses(s, d), grounds(s, d), 1.5).select("road", "ord", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return roadframe.edges(poses(s, d), grounds(s, d), 1.5).select("road", "ord", *(rounded(F.col(c), 6).alias(c) for c in "xyz"))
 
 
 
@@ -79,7 +80,7 @@ def placed(s, d) -> DataFrame:
 
 @query(places_sql(PLACES) + " SELECT k, pl.road, pl.along, pl.distance, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pl LEFT JOIN world USING (k)")
 def road_to_world(s, d):
-    return placed(s, d).select("k", "road", "along", "distance", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return placed(s, d).select("k", "road", "along", "distance", *(rounded(F.col(c), 6).alias(c) for c in "xyz"))
 
 
 CORNERS = "SELECT k * 4 + corner AS k, road, along + [-0.25, 0.25, 0.25, -0.25][corner + 1]::DOUBLE AS along, distance + [-0.25, -0.25, 0.25, 0.25][corner + 1]::DOUBLE AS distance FROM (" + PLACES + "), (SELECT unnest([0, 1, 2, 3]) AS corner)"
@@ -90,7 +91,7 @@ def cell_corners(s, d):
     q = F.col("c_custkey")
     at = shim.table(s, d, "customer").select(q.alias("k"), (q % 12).alias("road"), (q * 7 % 90 / 4.0 - 2).alias("along_m"), (q % 9 / 4.0).alias("distance_m"))
     quads = roadframe.cell_quads(at, roadframe.edges(poses(s, d), grounds(s, d), 1.5), grounds(s, d), 0.5)
-    return quads.select("k", "corner", "road", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return quads.select("k", "corner", "road", *(rounded(F.col(c), 6).alias(c) for c in "xyz"))
 
 
 BAND = (
@@ -106,5 +107,5 @@ BAND = (
 @query(BAND + " SELECT road, kind, ord, " + ", ".join(f"round({a}{c}{'_' if a + c == 'by' else ''}, 6) AS {a}{c}" for a in "ab" for c in "xyz") + " FROM sg")
 def band_segments(s, d):
     found = roadframe.band_segments(roadframe.edges(poses(s, d), grounds(s, d), 1.5), grounds(s, d), 3.0, 2.0)
-    return found.select("road", "kind", "ord", *(F.round(f"{a}{c}", 6).alias(f"{a}{c}") for a in "ab" for c in "xyz"))
+    return found.select("road", "kind", "ord", *(rounded(F.col(f"{a}{c}"), 6).alias(f"{a}{c}") for a in "ab" for c in "xyz"))
 

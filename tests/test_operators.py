@@ -264,6 +264,15 @@ def test_halves_are_rounded_as_sql_rounds_doubles(spark):
     assert got[0] == 48.714663816
 
 
+def test_large_doubles_are_rounded_as_sql_rounds_them(spark):
+    import duckdb
+
+    odd = [9779951100.564025, 9779951103.410909, 4600000000.000001, -4600000000.000003, 136919316.4965475, 3.9e12 + 0.123, -2.5e13, 1e300, 1.7e308, 0.49999949999999997, 1.5e-6, 2.5e-6]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(odd)], "k int, v double")
+    got = [r.w for r in df.select("k", stats.rounded(F.col("v"), 6).alias("w")).orderBy("k").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in odd]
+
+
 def test_frame_readings_read_the_cells_once(spark, capsys):
     vote = "struct<frameIndex: int, sampleCount: bigint, h95M: double>"
     rows = [(1, 0, 0.5, 1.0, [0, 2], [(0, 3, 1.5)]), (1, 1, 0.5, None, None, [(0, 2, 2.0)]), (1, 2, 0.5, 1.0, [2], None)]
